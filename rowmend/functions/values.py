@@ -53,14 +53,21 @@ def clamp_threshold(raw: Any, default: float = 0.5) -> float:
     return max(0.0, min(1.0, default if value is None else value))
 
 
-def epoch_ms(moment: Column) -> Column:
-    """Milliseconds since the epoch, 0 for none."""
-    return F.coalesce(F.unix_millis(moment), F.lit(0).cast("long"))
+def epoch_ms(moment: Column, zoned: bool = True) -> Column:
+    """Milliseconds since the epoch, 0 for none; a time without a zone counts as UTC."""
+    if zoned:
+        millis = F.unix_millis(moment)
+    else:
+        millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), moment)
+    return F.coalesce(millis, F.lit(0).cast("long"))
 
 
-def from_epoch_ms(millis: Column) -> Column:
-    """Timestamp of the milliseconds, null for 0 and below."""
-    return F.when(millis > 0, F.timestamp_millis(millis))
+def from_epoch_ms(millis: Column, zoned: bool = True) -> Column:
+    """Time of the milliseconds, null for 0 and below."""
+    if zoned:
+        return F.when(millis > 0, F.timestamp_millis(millis))
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.when(millis > 0, start + F.make_dt_interval(secs=millis / 1000))
 
 
 def fbeta(precision: Column, recall: Column, beta: float) -> Column:

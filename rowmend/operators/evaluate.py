@@ -125,16 +125,15 @@ def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
 def roc_curve(df: DataFrame, actual: str, score: str) -> DataFrame:
     """``(fpr, tpr, threshold)`` from the origin on, without points inside a straight line."""
     counted = _score_counts(df, actual, score)
-    totals = counted.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    totals = counted.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
     ranked = running_totals(counted, "score", ["pos", "neg"])
     last = F.col("pos_next").isNull()
     straight = (F.col("pos_next") == F.col("pos")) & (F.col("neg_next") == F.col("neg"))
     points = (
         ranked.filter(last | ~straight)
-        .join(F.broadcast(totals))
         .select(
-            F.round(F.col("neg_upto") / F.col("all_neg"), 9).alias("fpr"),
-            F.round(F.col("pos_upto") / F.col("all_pos"), 9).alias("tpr"),
+            F.round(F.col("neg_upto") / F.lit(totals["neg"]), 9).alias("fpr"),
+            F.round(F.col("pos_upto") / F.lit(totals["pos"]), 9).alias("tpr"),
             F.round("score", 9).alias("threshold"),
         )
     )

@@ -112,7 +112,7 @@ def _trials(active: DataFrame, names: list[str], mutable: list[Feature], bounds:
         candidate = fit_candidate(
             f, schema[f.name].dataType, F.col(f"agreed_{f.name}"), current, bounds.get(f.name)
         )
-        changed = F.exists("changes", lambda c, name=f.name: c["feature"] == name)
+        changed = F.array_contains("changes.feature", f.name)
         row = F.struct(*[(candidate if n == f.name else F.col(n)).alias(n) for n in names])
         option = F.struct(
             F.lit(place).alias("place"), F.lit(float(f.weight)).alias("weight"), F.lit(f.name).alias("feature"),

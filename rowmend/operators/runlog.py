@@ -46,11 +46,12 @@ def render_payload(log: DataFrame, struct: str, name: str) -> DataFrame:
 
 
 def with_epoch_ms(log: DataFrame, moment: str, name: str) -> DataFrame:
-    return log.withColumn(name, epoch_ms(F.col(moment)))
+    zoned = not isinstance(log.schema[moment].dataType, T.TimestampNTZType)
+    return log.withColumn(name, epoch_ms(F.col(moment), zoned))
 
 
-def with_timestamp(log: DataFrame, millis: str, name: str) -> DataFrame:
-    return log.withColumn(name, from_epoch_ms(F.col(millis)))
+def with_timestamp(log: DataFrame, millis: str, name: str, zoned: bool = True) -> DataFrame:
+    return log.withColumn(name, from_epoch_ms(F.col(millis), zoned))
 
 
 __all__ = [

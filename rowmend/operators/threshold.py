@@ -47,14 +47,17 @@ def rate_thresholds(df: DataFrame, actual: str, score: str, candidates: list[flo
         [(float(i), c) for i, c in enumerate([None, *candidates])], "slot double, threshold double"
     )
     full = slots.join(counted, "slot", "left").fillna(0, ["pos", "neg"])
+    # A row per slot, at most 56.
+    everything = Window.partitionBy()
     above = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
     summed = full.select(
         "threshold",
         F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"),
-        F.sum("pos").over(Window.partitionBy()).alias("positives"),
+        F.sum("pos").over(everything).alias("positives"),
+        F.sum(F.col("pos") + F.col("neg")).over(everything).alias("n_rows"),
     ).filter("threshold is not null")
     rated = summed.select(
-        "threshold",
+        "threshold", "n_rows",
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("positives")).alias("recall"),
     )
@@ -69,25 +72,23 @@ def select_threshold(
     Candidates below the precision floor are out; then best F-beta, recall, precision,
     closeness to the default, smallest. If none is left the default is taken.
     """
-    rated = rate_thresholds(df, actual, score, threshold_candidates(df, score, rule, small), rule.beta)
+    candidates = sorted({*threshold_candidates(df, score, rule, small), rule.default})
+    rated = rate_thresholds(df, actual, score, candidates, rule.beta)
     ok = F.col("precision") >= rule.min_precision
-    is_default = F.col("threshold") == rule.default
     best = (
-        rated.filter(ok | is_default)
+        rated.filter(ok | (F.col("threshold") == rule.default))
         .orderBy(
             F.desc(ok), F.desc("fbeta"), F.desc("recall"), F.desc("precision"),
             F.abs(F.col("threshold") - rule.default), "threshold",
         )
         .limit(1)
     )
-    rows = df.agg(F.count(F.lit(1)).alias("threshold_rows"))
-    picked = rows.join(F.broadcast(best), F.lit(True), "left")
-    return picked.select(
-        F.coalesce("threshold", F.lit(rule.default)).alias("decision_threshold"),
+    return best.select(
+        F.col("threshold").alias("decision_threshold"),
         F.lit(rule.beta).alias("beta"),
         F.lit(rule.min_precision).alias("min_precision"),
-        F.when(F.col("threshold_rows") > 0, F.col("fbeta")).otherwise(0.0).alias("selected_fbeta"),
-        F.when(F.col("threshold_rows") > 0, F.col("recall")).otherwise(0.0).alias("selected_recall"),
-        F.when(F.col("threshold_rows") > 0, F.col("precision")).otherwise(0.0).alias("selected_precision"),
-        F.col("threshold_rows"),
+        F.col("fbeta").alias("selected_fbeta"),
+        F.col("recall").alias("selected_recall"),
+        F.col("precision").alias("selected_precision"),
+        F.col("n_rows").alias("threshold_rows"),
     )
