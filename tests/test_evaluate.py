@@ -39,14 +39,14 @@ def test_auc_needs_two_classes(spark):
 def test_roc_points(scored):
     df, y, p = scored
     got = sorted((r["fpr"], r["tpr"]) for r in evaluate.roc_curve(df, "y", "score").collect())
-    every = [((p[y == 0] >= t).mean(), (p[y == 1] >= t).mean()) for t in sorted(set(p))]
-    assert got[0] == (0.0, 0.0) and got[-1] == (1.0, 1.0)
-    rounded = {(round(a, 9), round(b, 9)) for a, b in every} | {(0.0, 0.0)}
-    assert set(got) <= rounded
-    # Dropped points lie on the line between their neighbours.
-    fpr, tpr = np.array(got).T
-    for a, b in every:
-        assert np.interp(a, fpr, tpr) >= b - 1e-9
+    steps = [((y[p == t] == 0).sum(), (y[p == t] == 1).sum()) for t in sorted(set(p), reverse=True)]
+    wanted, fp, tp = [(0.0, 0.0)], 0, 0
+    for i, (neg, pos) in enumerate(steps):
+        fp, tp = fp + neg, tp + pos
+        # A point between two equal steps lies on a straight line and is left out.
+        if i == len(steps) - 1 or steps[i + 1] != (neg, pos):
+            wanted.append((round(fp / (y == 0).sum(), 9), round(tp / (y == 1).sum(), 9)))
+    assert got == sorted(wanted) and got[-1] == (1.0, 1.0)
 
 
 def test_threshold_search(scored):

@@ -49,7 +49,7 @@ def test_metrics_and_threshold(risk):
     _, result = risk
     found = values(result)
     assert 0.0 <= found["decision_threshold"] <= 1.0
-    assert found["decision_threshold"] == result.detector.threshold
+    assert found["decision_threshold"] == pytest.approx(result.detector.threshold)
     for name in ("f1_anomaly", "precision_weighted", "threshold_rows", "auc", "confusion_tp"):
         assert name in found
     assert result.normal_rows.count() > 0
