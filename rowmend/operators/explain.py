@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowmend import shipping, storage
+from rowmend import errors, parallel, shipping, storage
 from rowmend.operators.quantiles import SMALL, exact_quantiles
 
+# Different features on one path; the tables have two to this power of rows.
+MAX_PATH = 12
+
 
 def _tree_nodes(detector, spark) -> list[tuple[float, dict[int, Any]]]:
     """``(tree weight, {node id: row})`` from the saved model; size is trees times nodes."""
@@ -45,6 +48,10 @@ def _leaf_table(path: list[tuple[int, float]], value: float) -> tuple[list[int],
         shares[feature] = shares.get(feature, 1.0) * share
     players = list(shares)
     d = len(players)
+    if d > MAX_PATH:
+        raise errors.DataError(
+            errors.INVALID_INPUT, "trees are too deep to explain", features=d, maximum=MAX_PATH
+        )
     table = np.zeros((1 << d, d))
     z = [shares[p] for p in players]
     for pattern in product((0, 1), repeat=d):
@@ -111,9 +118,8 @@ def _contributions(x: np.ndarray, leaves: list[dict[str, Any]], width: int) -> n
     return total
 
 
-def attribute_rows(detector, df: DataFrame, row_id: str) -> DataFrame:
-    """``(row_id, feature, contribution, base, margin)``: per row the contributions add up
-    from the base to the margin of the model."""
+def contribution_arrays(detector, df: DataFrame, row_id: str) -> tuple[DataFrame, float]:
+    """``(row_id, parts, margin)`` with one contribution per feature, and the base value."""
     spark = df.sparkSession
     shipping.ship_package(spark)
     leaves, base = [], 0.0
@@ -124,7 +130,7 @@ def attribute_rows(detector, df: DataFrame, row_id: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(leaves)
     names = list(detector.features)
     origin = np.array([names.index(c) for c in detector.origin])
-    vectors = detector.model.transform(df).select(
+    vectors = detector.model.transform(parallel.spread(df, row_id)).select(
         row_id, vector_to_array("vector").alias("x"), vector_to_array("rawPrediction")[1].alias("margin")
     )
 
@@ -146,16 +152,38 @@ def attribute_rows(detector, df: DataFrame, row_id: str) -> DataFrame:
             )
 
     schema = f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, parts array<double>, margin double"
-    wide = vectors.mapInArrow(explain, schema)
+    return vectors.mapInArrow(explain, schema), base
+
+
+def attribute_rows(detector, df: DataFrame, row_id: str) -> DataFrame:
+    """``(row_id, feature, contribution, base, margin)``: per row the contributions add up
+    from the base to the margin of the model."""
+    wide, base = contribution_arrays(detector, df, row_id)
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col("parts")[i].alias("contribution"))
-        for i, c in enumerate(names)
+        for i, c in enumerate(detector.features)
     ])
     return wide.select(row_id, F.lit(base).alias("base"), "margin", F.inline(entries)).select(
         row_id, "feature", "contribution", "base", "margin"
     )
 
 
+def top_features_by_row(detector, df: DataFrame, row_id: str, n: int = 3) -> DataFrame:
+    """``top_positive_features`` of the rows of a table, without a shuffle: a row's
+    contributions are at hand as an array, which is filtered, sorted and cut in place."""
+    wide, _ = contribution_arrays(detector, df, row_id)
+    entries = F.array(*[
+        F.struct((-F.col("parts")[i]).alias("order"), F.lit(c).alias("feature"))
+        for i, c in enumerate(detector.features)
+    ])
+    positive = F.filter(entries, lambda e: e["order"] < 0)
+    best = F.slice(F.sort_array(positive), 1, n)
+    return wide.select(row_id, F.posexplode(best).alias("position", "entry")).select(
+        row_id, F.col("entry.feature").alias("feature"), (-F.col("entry.order")).alias("contribution"),
+        (F.col("position") + 1).alias("place"),
+    )
+
+
 def top_positive_features(contributions: DataFrame, row_id: str, n: int = 3) -> DataFrame:
     """The largest contributions of a row, only those above zero, with their place."""
     order = Window.partitionBy(row_id).orderBy(F.desc("contribution"), "feature")

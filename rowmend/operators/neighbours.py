@@ -9,9 +9,9 @@ a lower bound. The join then runs in two steps:
 2. the query is sent to the cells whose lower bound does not exceed that limit, and
    to no others; what the blocks return is merged with a per-query top-k.
 
-Both steps are equi-joins on the cell between packed query rows and packed pool rows.
-Blocks have a bounded number of rows, however many rows a cell has, so a cell holding
-a third of the pool is many blocks. Pool rows with equal features are reduced to the k
+Both steps are equi-joins on the block between packed query rows and packed pool rows.
+Blocks have a bounded number of rows, however many rows a cell has: a cell holding a
+third of the pool is many blocks with keys of their own. Pool rows with equal features are reduced to the k
 smallest keys beforehand, because ties are broken by the key and no further copy can
 ever be among the k nearest.
 """
@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from rowmend import errors, shipping, storage
+from rowmend import errors, parallel, shipping, storage
 from rowmend.functions.kinds import Feature
 
 MAX_CELLS = 32_768
 BLOCK_ROWS = 8_192
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 HOT_QUERIES = 500
 SALTS = 64
 VALUE_LIMIT = 64
@@ -72,8 +72,10 @@ class NeighbourIndex:
     cells: dict[str, np.ndarray]
 
     @property
-    def rows(self) -> int:
-        return int(self.cells["n"].sum())
+    def size(self) -> int:
+        """Bytes of all packed rows: eight per number, and the length of every text."""
+        rows = int(self.cells["n"].sum())
+        return rows * 8 * (len(self.features) + 1) + int(self.cells["text"].sum())
 
 
 def _clean(df: DataFrame, features: tuple[Feature, ...]) -> list[Column]:
@@ -200,6 +202,9 @@ def build_index(
     used = tuple(features)
     spark = pool.sparkSession
     clean = pool.select(F.col(id_column), *_clean(pool, used))
+    if parallel.is_small(clean):
+        # The passes below then read a few spread rows and not the steps behind them.
+        clean = storage.cut_lineage(parallel.spread(clean, id_column))
     splits, distinct_share = _plan_splits(clean, used, max(rows_per_cell, 4 * k))
     names = [f.name for f in used]
     placed = clean.withColumn("cell", _cell_number(splits, clean.schema))
@@ -241,6 +246,15 @@ def _summarise(
         F.min(F.size("pool_rows")).alias("smallest"),
         F.count(F.lit(1)).alias("pieces"),
     ]
+    row_type = blocks.schema["pool_rows"].dataType.elementType
+    texts = [f.name for f in row_type.fields if isinstance(f.dataType, T.StringType)]
+    lengths = F.lit(0).cast("long")
+    for name in texts:
+        lengths = lengths + F.aggregate(
+            F.col(f"pool_rows.{name}"), F.lit(0).cast("long"),
+            lambda total, v: total + F.coalesce(F.octet_length(v), F.lit(0)),
+        )
+    measures.append(F.sum(lengths).alias("text"))
     numeric = [f.name for f in features if not f.discrete]
     for i, name in enumerate(numeric):
         values = F.col(f"pool_rows.{name}")
@@ -250,7 +264,7 @@ def _summarise(
             F.max(F.exists(values, lambda v: v.isNull())).alias(f"null_{i}"),
         ]
     found = blocks.groupBy("cell").agg(*measures).toPandas().sort_values("cell")
-    arrays = {c: found[c].to_numpy() for c in ("cell", "n", "smallest", "pieces")}
+    arrays = {c: found[c].to_numpy() for c in ("cell", "n", "smallest", "pieces", "text")}
     for i, name in enumerate(numeric):
         arrays[f"low:{name}"] = found[f"low_{i}"].to_numpy(dtype=float)
         arrays[f"high:{name}"] = found[f"high_{i}"].to_numpy(dtype=float)
@@ -445,10 +459,18 @@ def _make_visits(task: _Task, shared_cells: Any):
                     target, who = np.nonzero(
                         (_bounds(task, cells, part, False) <= reach[tile, None]).T
                     )
+                    # Every block of a cell is visited under its own key.
+                    pieces = cells["pieces"][target]
+                    who, target = np.repeat(who, pieces), np.repeat(target, pieces)
+                    chunk = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    key = (target.astype(np.int64) << 32) | chunk
+                    order = np.argsort(key, kind="stable")
+                    who, target, chunk, key = who[order], target[order], chunk[order], key[order]
                     chosen = part.take(pa.array(who))
                     columns = {f.name: chosen.field(f.name) for f in chosen.type}
                     columns["limit"] = pa.array(reach[tile][who])
-                    packed = _packed({"cell": cells["cell"][target]}, _struct(columns), target)
+                    keys = {"cell": cells["cell"][target], "chunk": chunk}
+                    packed = _packed(keys, _struct(columns), key)
                     if packed is not None:
                         yield packed
 
@@ -500,7 +522,7 @@ def nearest(
     queries: DataFrame,
     row_id: str,
     k: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``(row_id, pool_id, distance, neighbour, rank)``: the k nearest pool rows of every query.
 
@@ -531,7 +553,8 @@ def nearest(
          T.StructField("query_rows", T.ArrayType(query_type))]
     )
     visit_type = T.StructType(
-        [T.StructField("cell", T.IntegerType()), T.StructField("query_rows", T.ArrayType(limited_type))]
+        [T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType()),
+         T.StructField("query_rows", T.ArrayType(limited_type))]
     )
     result_type = T.StructType(
         [T.StructField(row_id, clean.schema[row_id].dataType),
@@ -540,8 +563,8 @@ def nearest(
          T.StructField("neighbour", T.StructType([pool_type[f.name] for f in index.features]))]
     )
     # A pool this small goes to every task; a larger one is joined by a shuffle on the cell.
-    blocks = F.broadcast(index.blocks) if index.rows <= broadcast_rows else index.blocks
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    blocks = F.broadcast(index.blocks) if index.size <= broadcast_bytes else index.blocks
+    tasks = parallel.tasks(spark)
     homes = (
         clean.repartition(tasks, row_id)
         .mapInArrow(_make_home(task, shared), placed_type)
@@ -550,7 +573,7 @@ def nearest(
     first = homes.mapInArrow(_pack_queries, home_type).join(blocks, ["cell", "chunk"])
     second = first.select("query_rows", "pool_rows").mapInArrow(
         _make_visits(task, shared), visit_type
-    ).join(blocks, "cell")
+    ).join(blocks, ["cell", "chunk"])
     candidates = second.select("query_rows", "pool_rows").mapInArrow(
         _make_closest(task, row_id), result_type
     )

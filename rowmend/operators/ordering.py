@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowmend import storage
+from rowmend import parallel, storage
 
-BUCKETS = 256
+BUCKETS = 1_000
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
@@ -17,7 +17,7 @@ def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
     quantiles; a bucket is summed on its own and lifted by the total of those before it.
     The table of bucket totals has at most ``BUCKETS`` rows.
     """
-    edges = sorted({float(e) for e in df.approxQuantile(order, [i / BUCKETS for i in range(1, BUCKETS)], 0.001)})
+    edges = sorted({float(e) for e in df.approxQuantile(order, [i / BUCKETS for i in range(1, BUCKETS)], 0.0005)})
     placed = Bucketizer(
         splits=[-float("inf"), *edges, float("inf")], inputCol=order, outputCol="bucket"
     ).transform(df)
@@ -53,10 +53,7 @@ def dense_positions(df: DataFrame, order: list[str | Column], name: str, start:
     plus the rows of the partitions before. The sorted rows are written out first, so
     that a lost executor cannot produce other partition boundaries.
     """
-    tasks = max(
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        df.sparkSession.sparkContext.defaultParallelism,
-    )
+    tasks = parallel.tasks(df.sparkSession)
     placed = storage.cut_lineage(
         df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
         .withColumn("placed", F.monotonically_increasing_id())

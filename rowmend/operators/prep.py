@@ -108,12 +108,13 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
     """Add the balanced weight rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    weights = counts.agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"),
-        F.collect_list(F.struct(F.col(label), F.col("n"))).alias("found"),
-    ).select("rows", "classes", F.inline("found")).select(
-        label, (F.col("rows") / (F.col("classes") * F.col("n"))).alias(name)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LEVELS + 1).collect()
+    if len(counts) > MAX_LEVELS:
+        raise errors.DataError(errors.INVALID_INPUT, "too many classes", column=label, maximum=MAX_LEVELS)
+    rows = sum(r["n"] for r in counts)
+    weights = df.sparkSession.createDataFrame(
+        [(r[label], rows / (len(counts) * r["n"])) for r in counts],
+        f"`{label}` {df.schema[label].dataType.simpleString()}, `{name}` double",
     )
     return df.join(F.broadcast(weights), label)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmend.functions import kinds
 from rowmend.operators.consensus import gower_index, suggested_values
-from rowmend.operators.explain import attribute_rows, top_positive_features
+from rowmend.operators.explain import top_features_by_row
 from rowmend.operators.neighbours import nearest
 
 # Neighbours behind a suggestion, features suggested per row.
@@ -47,7 +47,7 @@ def suggest_repairs(
     nearest healthy rows have instead."""
     names = detector.features
     rows = anomalies.select(row_id, *names)
-    top = top_positive_features(attribute_rows(detector, rows, row_id), row_id, n)
+    top = top_features_by_row(detector, rows, row_id, n)
     index = gower_index(pool, names, pool_id, k)
     suggested = suggested_values(nearest(index, rows, row_id), list(index.features), row_id)
     return join_suggestions(top, suggested, rows, row_id, names, k)

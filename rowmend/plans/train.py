@@ -5,14 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowmend import errors, storage
+from rowmend import errors, parallel, storage
 from rowmend.functions import kinds
 from rowmend.functions.values import clamp_threshold
 from rowmend.operators import evaluate, prep, profile, split
@@ -178,9 +176,8 @@ def fit_detector(
             errors.TRAINING_FAILED, "more than two classes must be integers", target=target
         )
     labelled = _internal_label(table.select(row_id, target, *features), target, options, binary)
-    parts = storage.cut_lineage(
-        split.stratified_split(labelled, "label__", row_id, options.test_size, options.seed)
-    )
+    divided = split.stratified_split(labelled, "label__", row_id, options.test_size, options.seed)
+    parts = storage.cut_lineage(parallel.spread(divided, row_id))
     train, test = parts.filter("is_train"), parts.filter(~F.col("is_train"))
     stages, inputs, origin, arity = fit_preparation(parts, train, features)
     prepare = PipelineModel(stages)
@@ -192,7 +189,8 @@ def fit_detector(
         if check_rows.isEmpty():
             check_rows = fit_rows
         trial = booster(options, arity).fit(prepare.transform(_weighted(fit_rows, "label__")))
-        scored = Detector(PipelineModel([*stages, trial]), features, inputs, origin, 0.5).score(check_rows)
+        judge = Detector(PipelineModel([*stages, trial]), features, inputs, origin, 0.5)
+        scored = storage.cut_lineage(judge.score(check_rows).select("label__", "score"))
         record = select_threshold(scored, "label__", "score", options.rule).first().asDict()
         threshold = clamp_threshold(record.pop("decision_threshold"), options.rule.default)
         search = {f"threshold_{k}" if not k.startswith("threshold") else k: v for k, v in record.items()}

@@ -145,6 +145,13 @@ def test_contributions_equal_enumeration(spark, risk):
         assert r["base"] + sum(by_row[r["row_id"]].values()) == pytest.approx(r["margin"])
 
 
+def test_top_features_need_no_shuffle(spark, risk):
+    df, result = risk
+    narrow = explain.top_features_by_row(result.detector, df, "row_id")
+    wide = explain.top_positive_features(explain.attribute_rows(result.detector, df, "row_id"), "row_id")
+    assert sorted(tuple(r) for r in narrow.collect()) == sorted(tuple(r) for r in wide.collect())
+
+
 def test_isolation_forest(spark):
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(0, 1, (600, 3)), rng.normal(9, 0.5, (12, 3))])

@@ -77,7 +77,7 @@ def agree(got, wanted):
     assert np.allclose([g[3] for g in got], [w[3] for w in wanted])
 
 
-@pytest.mark.parametrize("copies,gaps,limit", [(0.0, 0.0, 500_000), (0.4, 0.1, 500_000), (0.4, 0.1, 0)])
+@pytest.mark.parametrize("copies,gaps,limit", [(0.0, 0.0, 1 << 20), (0.4, 0.1, 1 << 20), (0.4, 0.1, 0)])
 def test_equals_brute_force(spark, monkeypatch, copies, gaps, limit):
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
     monkeypatch.setattr(neighbours, "HOT_QUERIES", 5)
@@ -85,7 +85,7 @@ def test_equals_brute_force(spark, monkeypatch, copies, gaps, limit):
     queries.loc[0, "color"] = "never seen"
     index = neighbours.build_index(frame(spark, pool), FEATURES, "key", 7, rows_per_cell=10)
     assert len(index.splits) >= 2
-    got = found(spark, index, frame(spark, queries), broadcast_rows=limit)
+    got = found(spark, index, frame(spark, queries), broadcast_bytes=limit)
     agree(got, brute(queries, pool, FEATURES, 7))
 
 
