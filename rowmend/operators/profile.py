@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowmend import errors
 from rowmend.functions import kinds
@@ -99,17 +99,15 @@ def numeric_describe(df: DataFrame, cols: list[str] | None = None, small: int =
 def category_distribution(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column, value, n, percent)`` for all categorical columns in one pass; nulls left out."""
     cols = cols or kinds.text_columns(df)
+    rows = df.count()
     values = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column", "value"
     )
-    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    # The share is of all rows; the null group is counted first and dropped after. Totals
-    # come from a second small aggregate: a window per column would put it in one task.
-    totals = counts.groupBy("column").agg(F.sum("n").alias("n_rows"))
+    # Every column has all rows, so the share needs no total per column.
     return (
-        counts.join(F.broadcast(totals), "column")
-        .filter("value is not null")
-        .select("column", "value", "n", F.round(F.col("n") / F.col("n_rows") * 100, 2).alias("percent"))
+        values.filter("value is not null")
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("percent", F.round(F.col("n") / F.lit(max(rows, 1)) * 100, 2))
         .orderBy("column", F.desc("n"), "value")
     )
 

@@ -101,6 +101,11 @@ def save_state(spark, sf):
     return saved.detector.score(saved.test_rows).select(KEY, "label", "score", "pred")
 
 
+def load_state(spark, sf):
+    path = state.save_state(trained(spark, sf), storage.fresh_path(spark, "state"))
+    return state.load_state(spark, path).normal_rows
+
+
 # --- profiling ---------------------------------------------------------------------------
 
 
@@ -572,7 +577,7 @@ def epoch_ms(spark, sf):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        csv_scan, head_preview, scored_csv_sink, repair_report_sink, save_state,
+        csv_scan, head_preview, scored_csv_sink, repair_report_sink, save_state, load_state,
         table_overview, missing_report, numeric_describe, category_distribution, target_distribution, target_check,
         drop_columns, mean_impute, row_filter, label_encode, one_hot, standardise, stratified_split,
         validation_split, random_split, class_weights, healthy_pool, discrete_columns,

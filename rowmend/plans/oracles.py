@@ -275,6 +275,7 @@ _OUTCOMES = f"""{FLAGGED}, oc as (
 def all_oracles() -> dict[str, str]:
     sql = {
         "csv_scan": f"with {CUSTOMERS} select * from cm",
+        "load_state": f"with {TRAIN} select row_id, {LIST} from train where is_train = 1 and label = 0",
         "head_preview": f"with {ORDERS} select row_id, {LIST} from om order by row_id limit 5",
         "scored_csv_sink": f"with {DETECTED} select * from bd",
         "table_overview": f"""with {LINES} select count(*) as n_rows, 7::bigint as n_columns,

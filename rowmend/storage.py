@@ -17,21 +17,17 @@ from rowmend import errors
 
 def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if configured:
-        if current is None:
-            context.setCheckpointDir(configured)
-        return configured
-    if current is not None:
-        return current
-    if not context.master.startswith("local"):
-        raise errors.DataError(
-            errors.INVALID_INPUT,
-            "set spark.checkpoint.dir to a folder every executor can reach",
-            field="spark.checkpoint.dir",
-        )
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="rowmend-"))
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise errors.DataError(
+                    errors.INVALID_INPUT,
+                    "set spark.checkpoint.dir to a folder every executor can reach",
+                    field="spark.checkpoint.dir",
+                )
+            folder = tempfile.mkdtemp(prefix="rowmend-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
