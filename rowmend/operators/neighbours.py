@@ -34,6 +34,8 @@ BLOCK_ROWS = 8_192
 BROADCAST_BYTES = 64 << 20
 HOT_QUERIES = 500
 SALTS = 64
+CELL_PARTS = 64
+PART_SHIFT = 24
 VALUE_LIMIT = 64
 NUMERIC_BINS = 16
 SAMPLE_ROWS = 200_000
@@ -209,24 +211,16 @@ def build_index(
     names = [f.name for f in used]
     placed = clean.withColumn("cell", _cell_number(splits, clean.schema))
 
-    # A count per cell: bounded by the splits, whatever the size of the pool.
-    raw = placed.groupBy("cell").count().collect()
     if distinct_share < 0.9:
         copies = Window.partitionBy(*names).orderBy(id_column)
-        placed = (
+        placed = storage.cut_lineage(
             placed.withColumn("copy", F.row_number().over(copies))
             .filter(F.col("copy") <= k)
             .drop("copy")
         )
-    large = [(int(r["cell"]), -(-int(r["count"]) // BLOCK_ROWS)) for r in raw if r["count"] > BLOCK_ROWS]
-    if large:
-        sizes = spark.createDataFrame(large, "cell int, pieces int")
-        placed = placed.join(F.broadcast(sizes), "cell", "left").withColumn(
-            "chunk", F.pmod(F.xxhash64(id_column), F.coalesce("pieces", F.lit(1))).cast("int")
-        ).drop("pieces")
-    else:
-        placed = placed.withColumn("chunk", F.lit(0))
-
+    # A count per cell: bounded by the splits, whatever the size of the pool.
+    counts = {int(r["cell"]): int(r["count"]) for r in placed.groupBy("cell").count().collect()}
+    placed = _cut_large_cells(placed, used, id_column, counts)
     blocks = placed.groupBy("cell", "chunk").agg(
         F.collect_list(F.struct(F.col(id_column).alias("pool_id"), *names)).alias("pool_rows")
     )
@@ -237,14 +231,75 @@ def build_index(
     )
 
 
+def _cut_large_cells(
+    placed: DataFrame, features: tuple[Feature, ...], id_column: str, counts: dict[int, int]
+) -> DataFrame:
+    """Add ``chunk``, which together with the cell names a block.
+
+    A cell with more rows than a block is cut along the numeric feature that varies most
+    inside it, at its own quantiles, so that a dense cell is searched in part only. What
+    is still too large is divided by hash. The chunk is the part shifted left, plus the
+    piece within the part.
+    """
+    limit = max(BLOCK_ROWS, -(-sum(counts.values()) // MAX_CELLS))
+    large = {c: n for c, n in counts.items() if n > limit}
+    if not large:
+        return placed.withColumn("chunk", F.lit(0))
+    spark = placed.sparkSession
+    numeric = [f for f in features if not f.discrete and f.weight > 0]
+    wanted = spark.createDataFrame([(c,) for c in large], "cell int")
+    dense = placed.join(F.broadcast(wanted), "cell", "left_semi")
+    cuts = []
+    if numeric:
+        probs = [i / CELL_PARTS for i in range(1, CELL_PARTS)]
+        found = dense.groupBy("cell").agg(*[
+            F.percentile_approx(F.col(f.name).cast("double"), probs, 500).alias(f"q_{i}")
+            for i, f in enumerate(numeric)
+        ]).collect()
+        for row in found:
+            parts = 1 << min(CELL_PARTS, -(-large[row["cell"]] // limit)).bit_length() - 1
+            spans = [
+                f.weight * (q[-3] - q[2]) / max(f.scale, 1e-12) if (q := row[f"q_{i}"]) else 0.0
+                for i, f in enumerate(numeric)
+            ]
+            widest = int(np.argmax(spans))
+            if parts > 1 and spans[widest] > 0:
+                step = CELL_PARTS // parts
+                edges = sorted({float(e) for e in row[f"q_{widest}"][step - 1 :: step]})
+                cuts.append((row["cell"], widest, edges))
+    if cuts:
+        table = spark.createDataFrame(cuts, "cell int, axis int, edges array<double>")
+        value = F.lit(None).cast("double")
+        for i, f in enumerate(numeric):
+            value = F.when(F.col("axis") == i, F.col(f.name).cast("double")).otherwise(value)
+        passed = F.size(F.filter("edges", lambda edge: edge <= F.col("along")))
+        part = F.when(F.col("axis").isNull(), 0).when(F.col("along").isNull(), CELL_PARTS).otherwise(passed)
+        placed = (
+            placed.join(F.broadcast(table), "cell", "left")
+            .withColumn("along", value).withColumn("part", part)
+            .drop("axis", "edges", "along")
+        )
+    else:
+        placed = placed.withColumn("part", F.lit(0))
+    sizes = placed.groupBy("cell", "part").count().filter(F.col("count") > BLOCK_ROWS).collect()
+    pieces = [(r["cell"], r["part"], -(-r["count"] // BLOCK_ROWS)) for r in sizes]
+    piece = F.lit(0)
+    if pieces:
+        table = spark.createDataFrame(pieces, "cell int, part int, pieces int")
+        placed = placed.join(F.broadcast(table), ["cell", "part"], "left")
+        piece = F.pmod(F.xxhash64(id_column), F.coalesce("pieces", F.lit(1))).cast("int")
+    return placed.withColumn("chunk", F.shiftleft("part", PART_SHIFT) + piece).drop("part", "pieces")
+
+
 def _summarise(
     blocks: DataFrame, features: tuple[Feature, ...], splits: tuple[_Split, ...]
 ) -> dict[str, np.ndarray]:
-    """Rows, smallest block and box of every cell as arrays, one entry per cell."""
+    """Rows, blocks, smallest block and box as arrays, one entry per cell and part."""
     measures = [
         F.sum(F.size("pool_rows")).alias("n"),
         F.min(F.size("pool_rows")).alias("smallest"),
-        F.count(F.lit(1)).alias("pieces"),
+        F.count(F.lit(1)).alias("blocks"),
+        F.max("chunk").alias("last"),
     ]
     row_type = blocks.schema["pool_rows"].dataType.elementType
     texts = [f.name for f in row_type.fields if isinstance(f.dataType, T.StringType)]
@@ -263,8 +318,12 @@ def _summarise(
             F.max(F.array_max(values)).cast("double").alias(f"high_{i}"),
             F.max(F.exists(values, lambda v: v.isNull())).alias(f"null_{i}"),
         ]
-    found = blocks.groupBy("cell").agg(*measures).toPandas().sort_values("cell")
-    arrays = {c: found[c].to_numpy() for c in ("cell", "n", "smallest", "pieces", "text")}
+    part = F.shiftright("chunk", PART_SHIFT).alias("part")
+    found = blocks.groupBy("cell", part).agg(*measures).toPandas().sort_values(["cell", "part"])
+    arrays = {c: found[c].to_numpy() for c in ("cell", "part", "n", "smallest", "last", "text")}
+    # Hashing may leave a piece empty: then the number of blocks is less than the last one's.
+    arrays["pieces"] = arrays["last"] - (arrays["part"].astype(np.int64) << PART_SHIFT) + 1
+    arrays["whole"] = arrays["pieces"] == found["blocks"].to_numpy()
     for i, name in enumerate(numeric):
         arrays[f"low:{name}"] = found[f"low_{i}"].to_numpy(dtype=float)
         arrays[f"high:{name}"] = found[f"high_{i}"].to_numpy(dtype=float)
@@ -417,7 +476,10 @@ def _make_home(task: _Task, shared_cells: Any):
                 home[tile] = guess.argmin(axis=1)
             position = np.arange(seen, seen + len(queries))
             seen += len(queries)
-            chunk = (position % few["pieces"][home]).astype(np.int32)
+            first = few["last"][home] - few["pieces"][home] + 1
+            chunk = np.where(
+                few["whole"][home], first + position % few["pieces"][home], few["last"][home]
+            ).astype(np.int32)
             # A cell that draws many queries is spread over several tasks.
             drawn = np.bincount(home, minlength=len(eligible))[home]
             salt = np.where(drawn > HOT_QUERIES, position % SALTS, 0).astype(np.int32)
@@ -462,7 +524,8 @@ def _make_visits(task: _Task, shared_cells: Any):
                     # Every block of a cell is visited under its own key.
                     pieces = cells["pieces"][target]
                     who, target = np.repeat(who, pieces), np.repeat(target, pieces)
-                    chunk = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    piece = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    chunk = cells["last"][target].astype(np.int64) - cells["pieces"][target] + 1 + piece
                     key = (target.astype(np.int64) << 32) | chunk
                     order = np.argsort(key, kind="stable")
                     who, target, chunk, key = who[order], target[order], chunk[order], key[order]

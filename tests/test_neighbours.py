@@ -89,6 +89,35 @@ def test_equals_brute_force(spark, monkeypatch, copies, gaps, limit):
     agree(got, brute(queries, pool, FEATURES, 7))
 
 
+@pytest.mark.parametrize("numeric", [True, False])
+def test_dense_cell_is_cut(spark, monkeypatch, numeric):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(12)
+    pool, queries = make(1200, 10, gaps=0.05), make(60, 11)
+    # Half of the pool and of the queries are near-copies within one cell.
+    for df, dense in ((pool, 600), (queries, 30)):
+        df.loc[: dense - 1, ["color", "city", "grade"]] = ["red", "c1", 1]
+        df.loc[: dense - 1, "x"] = rng.normal(0.3, 0.01, dense).round(4)
+        df.loc[: dense - 1, "y"] = rng.normal(0.7, 0.001, dense).round(5)
+    features = FEATURES if numeric else [
+        Feature(f.name, f.discrete, f.weight if f.discrete else 0.0, f.scale) for f in FEATURES
+    ]
+    index = neighbours.build_index(frame(spark, pool), features, "key", 4, rows_per_cell=100)
+    assert (index.cells["part"].max() > 0) == numeric
+    assert index.cells["pieces"].max() > 1
+    for limit in (1 << 20, 0):
+        got = found(spark, index, frame(spark, queries), broadcast_bytes=limit)
+        agree(got, brute(queries, pool, features, 4))
+
+
+def test_empty_pieces_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 1)
+    pool, queries = make(60, 13), make(30, 14)
+    index = neighbours.build_index(frame(spark, pool), FEATURES, "key", 3)
+    assert not index.cells["whole"].all()
+    agree(found(spark, index, frame(spark, queries)), brute(queries, pool, FEATURES, 3))
+
+
 def test_lopsided_weights_and_small_pool(spark):
     features = [Feature(f.name, f.discrete, w, f.scale) for f, w in zip(FEATURES, (1e-6, 1e-6, 0.0, 0.9, 0.1))]
     pool, queries = make(300, 3), make(60, 4)
