@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowmend import errors
+from rowmend import errors, storage
 
 PREFIX = 4
 
@@ -39,7 +39,11 @@ def stratified_split(
     """Add a boolean column: true for the training part, the exact share of every class."""
     hashed = df.select(F.col(label).alias("label"), F.col(row_id).alias("key"), shuffle_hash(row_id, seed).alias("h"))
     prefix = F.substring("h", 1, PREFIX)
-    counts = {r["label"]: r["count"] for r in hashed.groupBy("label").count().collect()}
+    # One row per class and prefix: at most 16 ** PREFIX per class.
+    sizes = storage.cut_lineage(
+        hashed.groupBy("label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     rows = sum(counts.values())
     if len(counts) > 1:
         test = math.ceil(test_size * rows)
@@ -49,11 +53,9 @@ def stratified_split(
                 min_class_count=min(counts.values(), default=0),
             )
     wanted = class_shares(counts, test_size)
-    # One row per class and prefix: at most 16 ** PREFIX per class.
     along = Window.partitionBy("label").orderBy("prefix")
     located = (
-        hashed.groupBy("label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(along))
+        sizes.withColumn("upto", F.sum("n").over(along))
         .join(
             F.broadcast(df.sparkSession.createDataFrame(
                 [(c, n) for c, n in wanted.items()], f"label {df.schema[label].dataType.simpleString()}, want long"

@@ -274,10 +274,11 @@ _OUTCOMES = f"""{FLAGGED}, oc as (
 
 def all_oracles() -> dict[str, str]:
     sql = {
-        "csv_scan": f"with {CUSTOMERS} select * from cm",
+        "csv_scan": f"with {CUSTOMERS} select * replace (c_nationkey::bigint as c_nationkey) from cm",
         "load_state": f"with {TRAIN} select row_id, {LIST} from train where is_train = 1 and label = 0",
         "head_preview": f"with {ORDERS} select row_id, {LIST} from om order by row_id limit 5",
-        "scored_csv_sink": f"with {DETECTED} select * from bd",
+        "scored_csv_sink": f"""with {DETECTED} select * replace (o_month::bigint as o_month,
+            c_nationkey::bigint as c_nationkey, prediction::bigint as prediction) from bd""",
         "table_overview": f"""with {LINES} select count(*) as n_rows, 7::bigint as n_columns,
             (count(*) * 7 - count(l_linenumber) - count(l_quantity) - count(l_extendedprice) - count(l_discount)
              - count(l_tax) - count(l_returnflag) - count(l_linestatus))::bigint as missing_cells,
