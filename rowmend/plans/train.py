@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -143,10 +144,6 @@ def fit_preparation(
     return stages, inputs, origin, arity
 
 
-def _weighted(df: DataFrame, label: str) -> DataFrame:
-    return prep.class_weights(df, label)
-
-
 def _internal_label(df: DataFrame, target: str, options: TrainOptions, binary: bool) -> DataFrame:
     y = F.col(target)
     if not binary:
@@ -188,19 +185,21 @@ def fit_detector(
         fit_rows, check_rows = marked.filter("is_fit"), marked.filter(~F.col("is_fit"))
         if check_rows.isEmpty():
             check_rows = fit_rows
-        trial = booster(options, arity).fit(prepare.transform(_weighted(fit_rows, "label__")))
+        # The final model does not need the threshold, so both fits share the cluster.
+        fits = [prepare.transform(prep.class_weights(rows, "label__")) for rows in (fit_rows, train)]
+        with ThreadPoolExecutor(max_workers=2) as side_by_side:
+            trial, model = side_by_side.map(lambda rows: booster(options, arity).fit(rows), fits)
         judge = Detector(PipelineModel([*stages, trial]), features, inputs, origin, 0.5)
         scored = storage.cut_lineage(judge.score(check_rows).select("label__", "score"))
         record = select_threshold(scored, "label__", "score", options.rule).first().asDict()
         threshold = clamp_threshold(record.pop("decision_threshold"), options.rule.default)
         search = {f"threshold_{k}" if not k.startswith("threshold") else k: v for k, v in record.items()}
-        model = booster(options, arity).fit(prepare.transform(_weighted(train, "label__")))
     else:
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label__", weightCol="class_weight", seed=options.seed,
             maxBins=max(32, arity), numTrees=50, maxDepth=8,
         )
-        model = forest.fit(prepare.transform(_weighted(train, "label__")))
+        model = forest.fit(prepare.transform(prep.class_weights(train, "label__")))
     detector = Detector(PipelineModel([*stages, model]), features, inputs, origin, threshold, binary)
 
     scored = storage.cut_lineage(detector.score(test.select(row_id, *features, "label__")))
