@@ -15,8 +15,10 @@ def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
 
     ``order`` is a double with distinct values. Rows go to buckets between approximate
     quantiles; a bucket is summed on its own and lifted by the total of those before it.
-    The table of bucket totals has at most ``BUCKETS`` rows.
+    The table of bucket totals has at most ``BUCKETS`` rows. The input is written out
+    first, because it is read for the quantiles, the totals and the sums.
     """
+    df = storage.cut_lineage(df)
     edges = sorted({float(e) for e in df.approxQuantile(order, [i / BUCKETS for i in range(1, BUCKETS)], 0.0005)})
     placed = Bucketizer(
         splits=[-float("inf"), *edges, float("inf")], inputCol=order, outputCol="bucket"

@@ -92,7 +92,10 @@ def scored_csv_sink(spark, sf):
 
 def repair_report_sink(spark, sf):
     paths = sinks.write_repair_report(frozen_repair(spark, sf), storage.fresh_path(spark, "repair"), KEY)
-    return csv.csv_scan(spark, paths["changes"])
+    return csv.csv_scan(spark, paths["changes"]).select(
+        KEY, "feature", F.round("before_score", 6).alias("before_score"),
+        F.round("after_score", 6).alias("after_score"),
+    )
 
 
 def save_state(spark, sf):

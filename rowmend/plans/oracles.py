@@ -203,7 +203,7 @@ def _stand_in_sql() -> str:
     return f"with {ORDERS} " + " union all ".join(parts)
 
 
-def _repair_sql(rounds: int, k: int) -> str:
+def _repair_rounds(rounds: int, k: int) -> str:
     """The greedy search written out round by round."""
     weights = feature_weights(catalog.FROZEN_IMPORTANCES)
     mutable = [c for c in sorted(FEATURES, key=lambda c: -weights[c]) if c != "c_nationkey"]
@@ -242,8 +242,12 @@ def _repair_sql(rounds: int, k: int) -> str:
            case when b.row_id is null then s.changed else list_append(s.changed, b.feature) end as changed,
            s.open and b.row_id is not null and b.pred = 1 as open
     from st{i} s left join be{i} b on b.row_id = s.row_id)""")
+    return ",\n".join(parts)
+
+
+def _repair_sql(rounds: int, k: int) -> str:
     shown = ", ".join(f"round({c}, 6) as {c}" if c in ("o_totalprice", "c_acctbal") else c for c in FEATURES)
-    return ",\n".join(parts) + f"""
+    return _repair_rounds(rounds, k) + f"""
   select row_id, {shown},
          case when pred = 0 then 'repaired' when score < before_score then 'partially_repaired'
               else 'not_repaired' end as status,
@@ -252,6 +256,14 @@ def _repair_sql(rounds: int, k: int) -> str:
   from st{rounds}"""
 
 
+def _changes_sql(rounds: int, k: int) -> str:
+    made = " union all ".join(
+        f"select row_id, feature, round(was, 6) as before_score, round(score, 6) as after_score from be{i}"
+        for i in range(rounds)
+    )
+    return f"{_repair_rounds(rounds, k)} {made}"
+
+
 _LEVELS = " union all ".join(
     f"""select d.doc_id, '{c}_' || l.v as indicator, (d.{c} is not distinct from l.v)::int as flag
         from dl d, (select v from (select distinct {c} as v from dl where {c} is not null)
@@ -407,6 +419,7 @@ def all_oracles() -> dict[str, str]:
                    (o.score >= 0.5)::int as before_pred, (af.s >= 0.5)::int as after_pred,
                    (af.s < 0.5)::int as success from an o join af on af.row_id = o.row_id""",
         "greedy_repair": _repair_sql(3, 9),
+        "repair_report_sink": _changes_sql(3, 9),
         "clip_bounds": f"""with {ORDERS} select row_id,
             least(greatest(o_totalprice, 20000.0::double), 300000.0::double) as o_totalprice,
             greatest(c_acctbal, 0.0::double) as c_acctbal from om""",
