@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,24 +29,27 @@ def plain_katz(rows, learn):
     numbers = lambda counts: [sum(c == r for c in counts.values()) for r in range(1, katz.LARGEST + 2)]
     model = katz.WordModel.of(total, different, numbers(words))
     keep = katz.Discounts.of(numbers(pairs)).factor
-    one = lambda w: float(model.p(np.array([words[w]]))[0])
+    one = cache(lambda w: float(model.p(np.array([words[w]]))[0]))
     after = defaultdict(dict)
     for (a, b), c in pairs.items():
         after[a][b] = c
 
-    def share(context, word):
+    @cache
+    def plan(context):
         seen = after.get(context)
         if not seen:
-            return one(word)
+            return None
         size = sum(seen.values())
-        kept = {w: c * keep[min(c, katz.LARGEST + 1)] for w, c in seen.items()}
-        left = 1 - sum(kept.values()) / size
-        scale = 1.0
+        kept = {w: c * keep[min(c, katz.LARGEST + 1)] / size for w, c in seen.items()}
+        left = 1 - sum(kept.values())
         if left < 1e-12:
-            scale, left = size / (size + 1), 1 / (size + 1)
-        if word in seen:
-            return kept[word] / size * scale
-        return left / max(1 - sum(map(one, seen)), model.unknown) * one(word)
+            kept, left = {w: v * size / (size + 1) for w, v in kept.items()}, 1 / (size + 1)
+        return kept, left / max(1 - sum(map(one, seen)), model.unknown)
+
+    def share(context, word):
+        if not (found := plan(context)):
+            return one(word)
+        return found[0][word] if word in found[0] else found[1] * one(word)
 
     out = []
     for (_, text), use in zip(rows, learn):
