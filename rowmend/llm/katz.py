@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowmend.llm import blobs, tables
 from rowmend.llm.text import LOWER, NOT_SPACE, flat, hashes, per_text, pieces, spans
 
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 3 << 18
+SLOTS_A_TASK = 2
 # Counts up to this are discounted; Katz' own choice.
 LARGEST = 5
 # Fixed value: stands for the end of a text among word hashes.
@@ -350,18 +351,19 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     ``base_score`` those of add-one counts. Null texts are empty; without training rows
     every probability is 1; an empty table gives an empty result.
 
-    Words are told apart by 64-bit hashes. A task holds a chunk or a slot; there are as many
-    slots as tasks in a shuffle. Model parts are written tables partitioned by slot.
+    Words are told apart by 64-bit hashes. A task holds a chunk or a slot; there are
+    ``SLOTS_A_TASK`` slots for each task of a shuffle. The pairs and
+    their counts are a written table with a row per slot; earlier tables are given back.
     """
     spark = tables.ready(docs)
-    slots = tables.tasks(spark)
+    slots = SLOTS_A_TASK * tables.tasks(spark)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")
     )
     id_type = rows.schema["id"].dataType.simpleString()
     schema = _SCHEMA.format(id=id_type)
-    chunks = tables.written(rows.mapInArrow(lambda b: _chunks(b, slots), schema), "katz-chunks")
-    words = tables.written(
+    chunks, chunk_path = tables.temporary(rows.mapInArrow(lambda b: _chunks(b, slots), schema), "katz-chunks")
+    words, word_path = tables.temporary(
         chunks.filter("slot >= 0").groupBy("slot").applyInArrow(lambda t: _count_words(t, slots), schema), "katz-words"
     )
     word_model = WordModel.of(*_summed(words))
@@ -372,6 +374,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         .groupBy("slot").applyInArrow(_count_pairs, schema),
         "katz-pairs",
     )
+    tables.release(spark, chunk_path, word_path)
     counted = pairs.filter("slot >= 0")
     plan = Exchange(slots, word_model, Discounts.of(_summed(counted)[2]))
     # A hot context has more than one slot's share of the tokens, so there are fewer than slots.

@@ -22,9 +22,20 @@ def ready(df: DataFrame) -> SparkSession:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as Parquet in the shared folder, read back: survives lost executors, keeps pushdown."""
+    return temporary(df, name)[0]
+
+
+def temporary(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``written``, with the path for ``release``."""
     path = storage.fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Give back the space of written tables that nothing reads any more."""
+    for path in paths:
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
