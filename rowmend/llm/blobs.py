@@ -16,7 +16,7 @@ def packed(values: np.ndarray) -> bytes:
     top = int(values.max()) if len(values) else 0
     width = max(1, (top.bit_length() + 7) // 8)
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    body = zstandard.ZstdCompressor(level=3).compress(planes)
+    body = zstandard.ZstdCompressor(level=6).compress(planes)
     return _HEAD.pack(len(body), len(values), width) + body
 
 

@@ -106,6 +106,19 @@ def _gaps(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=np.zeros(1, ascending.dtype))
 
 
+def _run_gaps(values: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Ascending runs that begin at ``heads``: first values, then steps."""
+    out = _gaps(values)
+    out[heads] = values[heads]
+    return out
+
+
+def _run_values(gaps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(gaps)
+    heads = np.cumsum(runs) - runs
+    return sums - np.repeat(sums[heads] - gaps[heads], runs)
+
+
 def _groups(owner: np.ndarray, groups: int) -> list[int]:
     return np.searchsorted(owner, np.arange(groups + 1)).tolist()
 
@@ -233,7 +246,8 @@ def _pair_rows(table: pa.Table, plan: Exchange) -> pa.Table:
             x, y = np.searchsorted(where_type, (a, b))
             heads = np.flatnonzero(np.diff(left[a:b], prepend=-1))
             body = blobs.packed_all(
-                _gaps(left[a:b][heads]), np.diff(np.append(heads, b - a)), hot[a:b][heads], right[a:b], right_count[a:b],
+                _gaps(left[a:b][heads]), np.diff(np.append(heads, b - a)), hot[a:b][heads],
+                _run_gaps(right[a:b], heads), right_count[a:b],
                 learned[a:b], spread[a:b], where_doc[x:y], times[x:y], np.array([n]),
             )
             rows.append((s, name, None, body, None))
@@ -249,14 +263,15 @@ def _count_pairs(table: pa.Table) -> pa.Table:
     names = table.column("chunk").to_pylist()
     parts = [[a.astype(np.int64) for a in blobs.unpacked_all(b)] for b in table.column("body").to_pylist()]
     left = [np.repeat(np.cumsum(p[0]), p[1]) for p in parts]
-    key = np.concatenate([a << 32 | p[3] for a, p in zip(left, parts)])
+    key = np.concatenate([a << 32 | _run_values(p[3], p[1]) for a, p in zip(left, parts)])
     distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
     counts = np.bincount(place, np.concatenate([p[5] for p in parts]), len(distinct)).astype(np.int64)
     hot = np.concatenate([np.repeat(p[2], p[1]) for p in parts])[first]
     own_left = distinct >> 32
     heads = np.flatnonzero(np.diff(own_left, prepend=-1))
     body = [blobs.packed_all(
-        _gaps(own_left[heads]), np.diff(np.append(heads, len(distinct))), hot[heads], distinct & _HALF,
+        _gaps(own_left[heads]), np.diff(np.append(heads, len(distinct))), hot[heads],
+        _run_gaps(distinct & _HALF, heads),
         np.concatenate([p[4] for p in parts])[first], counts,
     )]
     at = 0
