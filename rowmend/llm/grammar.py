@@ -15,7 +15,7 @@ from rowmend.llm import blobs, tables
 from rowmend.llm.text import pieces
 
 BLOCK_IDS = 2_000_000
-CACHE = 400_000
+CACHE = 600_000
 # A pair becomes a rule if it occurs this often in its block; so many at most in a round.
 LEAST_COUNT = 16
 RULES_A_ROUND = 8_192
@@ -52,8 +52,14 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         chosen = often[np.lexsort((ordered[starts[often]], -counts[often]))[:RULES_A_ROUND]]
         keys = ordered[starts[chosen]]
         by_key = np.argsort(keys)
-        slot = np.minimum(np.searchsorted(keys[by_key], pairs), len(keys) - 1)
-        rank = np.where(keys[by_key][slot] == pairs, by_key[slot], len(keys))
+        ordered_keys = keys[by_key]
+        begins, ends = np.zeros(first + rules, bool), np.zeros(first + rules, bool)
+        begins[keys >> 32] = True
+        ends[keys & 0xFFFFFFFF] = True
+        likely = np.flatnonzero(begins[sequence[:-1]] & ends[sequence[1:]])
+        slot = np.minimum(np.searchsorted(ordered_keys, pairs[likely]), len(keys) - 1)
+        rank = np.full(len(pairs), len(keys))
+        rank[likely] = np.where(ordered_keys[slot] == pairs[likely], by_key[slot], len(keys))
         # Of overlapping occurrences of one pair (a run of one id) every second is taken.
         new_run = np.concatenate(([True], rank[1:] != rank[:-1]))
         place = np.arange(len(rank))
@@ -126,14 +132,18 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.split = split
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
         """Little-endian 32-bit ids of each text, then ``end``."""
         words = [(t or "").encode().split() if self.split else [(t or "").encode()] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for text in words for w in text if w not in known})
+            # Words that come again are taken over from the older half.
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = {w for text in words for w in text if w not in known}
+        known.update((w, older[w]) for w in missing if w in older)
+        new = list(missing.difference(older))
         for a in range(0, len(new), 10_000):
             part = new[a : a + 10_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
