@@ -65,10 +65,11 @@ def exact_groups(
         ),
         "dedup-hashes",
     )
-    copies = (
+    copies = tables.written(
         hashed.filter("survives").groupBy("length", "text_hash")
         .agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
+        .filter("n > 1"),
+        "dedup-copies",
     )
     return hashed.join(copies, ["length", "text_hash"], "left").select(
         "id",
