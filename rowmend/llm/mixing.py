@@ -111,10 +111,9 @@ def mixture(
     ).withColumn("epochs", epochs).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens"))
     plan = plan.withColumn("buckets", F.ceil(F.col("rows") / F.lit(BUCKET_ROWS)))
     spot = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("epochs"), F.coalesce(F.col("id").cast("string"), F.lit("none"))))
-    placed = rows.join(plan, names).withColumn("spot", spot).withColumn(
-        "bucket",
-        F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("double") * F.col("buckets") / F.lit(float(HEX8))),
-    )
+    bucket = F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("double") * F.col("buckets") / F.lit(float(HEX8)))
+    # Written, so that a leaf's rows do not stay together after the join.
+    placed = tables.written(rows.join(plan, names).withColumn("spot", spot).withColumn("bucket", bucket), "mixing-placed")
     sums = placed.groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     earlier = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*names, "bucket", F.coalesce(F.sum("bucket_tokens").over(earlier), F.lit(0)).alias("before"))
