@@ -13,7 +13,8 @@ def mixed_term(feature: Feature, mine: Column, theirs: Column) -> Column:
         return F.when(mine.eqNullSafe(theirs), 0.0).otherwise(1.0)
     a, b = mine.cast("double"), theirs.cast("double")
     gap = F.abs(b - a) / F.lit(max(feature.scale, 1e-12))
-    return F.when(a.isNull() | b.isNull() | F.isnan(a) | F.isnan(b), 1.0).otherwise(gap)
+    # Missing or infinite on either side counts one; NaN is above infinity.
+    return F.when(F.coalesce(gap < float("inf"), F.lit(False)), gap).otherwise(1.0)
 
 
 def mixed_distance(features: list[Feature], mine, theirs) -> Column:
@@ -27,16 +28,3 @@ def mixed_distance(features: list[Feature], mine, theirs) -> Column:
         total = term if total is None else total + term
         weight += f.weight
     return total / F.lit(weight)
-
-
-def gower_term(feature: Feature, mine: Column, theirs: Column, low: float, high: float) -> Column:
-    """Mismatch, or difference over the range of the pool and this row; a zero range counts 0."""
-    if feature.discrete:
-        return F.when(mine.eqNullSafe(theirs), 0.0).otherwise(1.0)
-    a, b = mine.cast("double"), theirs.cast("double")
-    span = F.greatest(a, F.lit(high)) - F.least(a, F.lit(low))
-    return (
-        F.when(a.isNull() | b.isNull(), 1.0)
-        .when(span == 0, 0.0)
-        .otherwise(F.abs(b - a) / span)
-    )

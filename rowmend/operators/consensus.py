@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowmend.functions import kinds, values
@@ -19,23 +21,28 @@ def numeric_scales(pool: DataFrame, flags: dict[str, bool], small: int = SMALL)
     tails = exact_quantiles(pool, numeric, [0.05, 0.95], small)
     for c in numeric:
         low, high = tails[c]
-        if low is not None and high - low > 0:
+        if low is not None and 0 < high - low < math.inf:
             scales[c] = high - low
-    flat = [c for c in numeric if tails[c][0] is not None and tails[c][1] - tails[c][0] <= 0]
+    flat = [c for c in numeric if tails[c][0] is not None and not 0 < tails[c][1] - tails[c][0] < math.inf]
     if flat:
         ranges = pool.agg(
             *[(F.max(kinds.as_number(c)) - F.min(kinds.as_number(c))).alias(c) for c in flat]
         ).first()
-        scales.update({c: ranges[c] for c in flat if ranges[c] and ranges[c] > 0})
+        scales.update({c: ranges[c] for c in flat if ranges[c] and 0 < ranges[c] < math.inf})
     return scales
 
 
+def _finite(name: str) -> Column:
+    number = kinds.as_number(name)
+    return F.when(F.abs(number) < math.inf, number)
+
+
 def numeric_ranges(pool: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     if not columns:
         return {}
     row = pool.agg(
-        *[F.min(kinds.as_number(c)).alias(f"low_{i}") for i, c in enumerate(columns)],
-        *[F.max(kinds.as_number(c)).alias(f"high_{i}") for i, c in enumerate(columns)],
+        *[F.min(_finite(c)).alias(f"low_{i}") for i, c in enumerate(columns)],
+        *[F.max(_finite(c)).alias(f"high_{i}") for i, c in enumerate(columns)],
     ).first()
     return {c: (row[f"low_{i}"] or 0.0, row[f"high_{i}"] or 0.0) for i, c in enumerate(columns)}
 

@@ -81,11 +81,11 @@ class NeighbourIndex:
 
 
 def _clean(df: DataFrame, features: tuple[Feature, ...]) -> list[Column]:
-    """Feature columns with NaN turned into null, types kept."""
+    """Feature columns with NaN and infinities turned into null, types kept."""
     columns = []
     for f in features:
         if isinstance(df.schema[f.name].dataType, (T.FloatType, T.DoubleType)):
-            columns.append(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name))
+            columns.append(F.when(F.abs(f.name) < float("inf"), F.col(f.name)).alias(f.name))
         else:
             columns.append(F.col(f.name))
     return columns

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.ml.feature import Imputer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowmend import errors, storage
+from rowmend import storage
 from rowmend.functions import kinds
 from rowmend.operators.ordering import dense_positions
 
 # Fixed value: the class that missing categories form.
 MISSING_CLASS = "nan"
-MAX_LEVELS = 2_000
 BROADCAST_CLASSES = 200_000
 
 
@@ -70,19 +69,20 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """Sorted values of the given columns; refuses columns with more than ``MAX_LEVELS``."""
-    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if rough[c] > MAX_LEVELS]
-    if wide:
-        raise errors.DataError(
-            errors.INVALID_INPUT, "too many values for one column each", columns=wide, maximum=MAX_LEVELS
-        )
+    """Sorted values of the given columns, as many as there are: the wide form names a column after each."""
     found = df.agg(
         *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns]
     ).first()
     return {c: list(found[c]) for c in columns}
 
 
+def one_hot_long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``(key, column, value)`` of the flags that are set: for columns of any number of values."""
+    return df.select(key, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+        key, columns, "column", "value"
+    ).filter(F.col("value").isNotNull())
+
+
 def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by one boolean column per value, without the first value."""
     known = levels(df, columns)
@@ -107,16 +107,14 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
-    """Add the balanced weight rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LEVELS + 1).collect()
-    if len(counts) > MAX_LEVELS:
-        raise errors.DataError(errors.INVALID_INPUT, "too many classes", column=label, maximum=MAX_LEVELS)
-    rows = sum(r["n"] for r in counts)
-    weights = df.sparkSession.createDataFrame(
-        [(r[label], rows / (len(counts) * r["n"])) for r in counts],
-        f"`{label}` {df.schema[label].dataType.simpleString()}, `{name}` double",
-    )
-    return df.join(F.broadcast(weights), label)
+    """Add the balanced weight rows / (classes * rows of the class).
+
+    Rows without a label count for no class and keep a null weight.
+    """
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    weight = F.lit(float(totals["rows"] or 0)) / (F.lit(totals["classes"]) * F.col("n"))
+    return df.join(counts.select(label, weight.alias(name)), label, "left")
 
 
 def healthy_pool(train: DataFrame, label: str, normal_value=0) -> DataFrame:

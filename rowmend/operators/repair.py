@@ -118,7 +118,7 @@ def _trials(active: DataFrame, names: list[str], mutable: list[Feature], bounds:
             F.lit(place).alias("place"), F.lit(float(f.weight)).alias("weight"), F.lit(f.name).alias("feature"),
             current.cast("string").alias("before"), candidate.cast("string").alias("after"), row.alias("row"),
         )
-        options.append(F.when(~changed & ~same_value(current, candidate), option))
+        options.append(F.when(F.col("has_neighbours") & ~changed & ~same_value(current, candidate), option))
     stay = F.struct(
         F.lit(len(mutable)).alias("place"), F.lit(0.0).alias("weight"), F.lit(None).cast("string").alias("feature"),
         F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"),
@@ -184,6 +184,8 @@ def greedy_repair(
     earlier column. Rows leave the loop when they are normal or nothing helps. A round
     ends with a checkpoint, so its cost does not grow with the rounds before.
 
+    Rows without neighbours stay as they are, rows with equal keys are repaired each.
+
     Result per row: key, repaired features, ``original``, ``summary``, ``changes``.
     """
     names = [f.name for f in features]
@@ -193,9 +195,11 @@ def greedy_repair(
     rounds = min(options.rounds, len(names))
     mutable = mutable_rank(features, options.immutable)
 
-    first = scorer(samples.select(F.col(row_id).alias("row_id"), *names))
+    # Keys may repeat, so rows have a number of their own until the end.
+    rows = samples.select(F.col(row_id).alias("key__"), *names)
+    first = scorer(rows)
     state = first.select(
-        "row_id", *names, F.struct(*names).alias("original"),
+        F.monotonically_increasing_id().alias("row_id"), *names, F.struct("key__", *names).alias("original"),
         F.col("score").alias("before_score"), F.col("pred").alias("before_pred"),
         "score", "pred", F.array().cast(_CHANGES).alias("changes"),
         F.lit(False).alias("settled"),
@@ -211,7 +215,9 @@ def greedy_repair(
             index = index or build_index(pool, features, pool_id, options.k_neighbors)
             found = nearest(index, active.select("row_id", *names), "row_id", options.k_neighbors)
             agreed = neighbour_consensus(found, features, "row_id")
-            trials = _trials(active.join(agreed, "row_id"), names, mutable, options.numeric_bounds)
+            met = active.join(agreed.withColumn("has_neighbours", F.lit(True)), "row_id", "left")
+            met = met.withColumn("has_neighbours", F.coalesce("has_neighbours", F.lit(False)))
+            trials = _trials(met, names, mutable, options.numeric_bounds)
             moved = storage.cut_lineage(_apply_best(scorer(trials), names, options.min_improvement))
             finished.append(moved.filter("settled"))
             active = moved.filter("not settled")
@@ -223,8 +229,9 @@ def greedy_repair(
         F.col("before_pred"), F.col("pred"), F.col("before_score"), F.col("score"),
         F.col("changes"), options.rounds == 0,
     )
+    original = F.struct(*[F.col(f"original.{c}").alias(c) for c in names])
     return everything.select(
-        F.col("row_id").alias(row_id), *names, "original", summary.alias("summary"), "changes"
+        F.col("original.key__").alias(row_id), *names, original.alias("original"), summary.alias("summary"), "changes"
     )
 
 

@@ -160,7 +160,7 @@ def label_encode(spark, sf):
 
 
 def one_hot(spark, sf):
-    wide = prep.one_hot(views.docs_labelled(spark, sf).select("doc_id", "lang", "source"), ["lang", "source"])
+    wide = prep.one_hot(views.table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"])
     flags = [c for c in wide.columns if c != "doc_id"]
     return wide.unpivot("doc_id", flags, "indicator", "flag").withColumn("flag", F.col("flag").cast("int"))
 
@@ -340,12 +340,14 @@ def baseline_models(spark, sf):
 
 def isolation_forest(spark, sf):
     table = views.orders_mixed(spark, sf)
-    stages, *_ = train.fit_preparation(table, table, FEATURES)
-    vectors = train.PipelineModel(stages).transform(table)
-    trees = forest.fit_isolation_forest(vectors, KEY)
-    scored = forest.isolation_scores(trees, vectors, KEY, keep=["label"])
-    rate = table.agg(F.avg("label")).first()[0]
-    return forest.flag_share(scored, rate)
+    known = _train_part(spark, sf)
+    stages, *_ = train.fit_preparation(table, known, FEATURES)
+    prepare = train.PipelineModel(stages)
+    trained_on = prepare.transform(known)
+    trees = forest.fit_isolation_forest(trained_on, KEY)
+    scored = forest.isolation_scores(trees, prepare.transform(table), KEY, keep=["label"])
+    rate = known.agg(F.avg("label")).first()[0]
+    return forest.flag_share(scored, rate, forest.isolation_scores(trees, trained_on, KEY))
 
 
 def model_comparison(spark, sf):

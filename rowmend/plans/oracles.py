@@ -266,7 +266,7 @@ def _changes_sql(rounds: int, k: int) -> str:
 
 _LEVELS = " union all ".join(
     f"""select d.doc_id, '{c}_' || l.v as indicator, (d.{c} is not distinct from l.v)::int as flag
-        from dl d, (select v from (select distinct {c} as v from dl where {c} is not null)
+        from documents d, (select v from (select distinct {c} as v from documents where {c} is not null)
                     qualify row_number() over (order by v) > 1) l""" for c in ("lang", "source")
 )
 
@@ -326,7 +326,7 @@ def all_oracles() -> dict[str, str]:
         "row_filter": f"with {CUSTOMERS} select * from cm where c_mktsegment is distinct from 'MACHINERY'",
         "label_encode": f"""with {CUSTOMERS} select *,
             (dense_rank() over (order by coalesce(c_mktsegment, 'nan')) - 1)::int as c_mktsegment_idx from cm""",
-        "one_hot": f"with {DOCS} {_LEVELS}",
+        "one_hot": _LEVELS,
         "standardise": f"with {ORDERS} select row_id, " + ", ".join(
             f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}_z" for c in NUMERIC
         ) + " from om",

@@ -172,6 +172,13 @@ def fit_detector(
         raise errors.DataError(
             errors.TRAINING_FAILED, "more than two classes must be integers", target=target
         )
+    if binary:
+        ends = table.agg(F.min(target), F.max(target)).first()
+        if {ends[0], ends[1]} != {options.positive_value, options.normal_value}:
+            raise errors.DataError(
+                errors.TRAINING_FAILED, "two classes must be the positive and the normal value", target=target,
+                values=[str(v) for v in ends],
+            )
     labelled = _internal_label(table.select(row_id, target, *features), target, options, binary)
     divided = split.stratified_split(labelled, "label__", row_id, options.test_size, options.seed)
     parts = storage.cut_lineage(parallel.spread(divided, row_id))

@@ -14,6 +14,12 @@ MISSING_TOKENS = [
 ]
 
 
+# Quotes are doubled inside quoted fields, and quoted fields may hold line breaks. Such
+# files are not split among tasks; ``multi_line=False`` splits files that have none.
+FORMAT = {"quote": '"', "escape": '"'}
+_BAD = "c_bad"
+
+
 def normalise_columns(names: list[str]) -> list[tuple[int, str]]:
     """Position and clean name of the columns to keep.
 
@@ -32,9 +38,9 @@ def normalise_columns(names: list[str]) -> list[tuple[int, str]]:
     return kept
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def _header(spark: SparkSession, path: str, multi_line: bool) -> list[str]:
     try:
-        line = spark.read.option("header", False).option("ignoreLeadingWhiteSpace", False).csv(path).limit(1).collect()
+        line = spark.read.csv(path, header=False, multiLine=multi_line, **FORMAT).limit(1).collect()
     except AnalysisException as problem:
         raise errors.DataError(errors.FILE_NOT_FOUND, f"cannot open {path}", path=path) from problem
     except Exception as problem:
@@ -44,19 +50,38 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [value or "" for value in line[0]]
 
 
+def _refuse_long_records(raw: DataFrame, width: int, path: str) -> None:
+    unquoted = F.regexp_replace(_BAD, r'"(?:[^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    long = F.when(F.col(_BAD).isNotNull() & (fields > width), F.col(_BAD))
+    # Spark wants another column beside the one that keeps bad records.
+    found = raw.agg(F.count(raw.columns[0]), F.count(long), F.min(long)).first()
+    if found[1]:
+        raise errors.DataError(
+            errors.CSV_READ_FAILED, f"{found[1]} records have more than {width} fields", path=path, record=found[2]
+        )
+
+
 def csv_scan(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, tokens: list[str] | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, tokens: list[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a CSV. Without a schema each column becomes long, double or string.
 
     Everything is read as text so that a list of tokens can mean missing. One aggregate
-    over all columns then decides the types.
+    over all columns then decides the types. Records with more fields than the header
+    raise; those with fewer end in missing values.
     """
-    kept = normalise_columns(_header(spark, path))
-    width = max(i for i, _ in kept) + 1
+    header = _header(spark, path, multi_line)
+    kept = normalise_columns(header)
+    width = len(header)
     raw_names = [f"c{i}" for i in range(width)]
-    raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
-    raw = spark.read.csv(path, header=True, schema=raw_schema, mode="PERMISSIVE", enforceSchema=True)
+    raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw_names, _BAD]])
+    raw = spark.read.csv(
+        path, header=True, schema=raw_schema, mode="PERMISSIVE", enforceSchema=True, multiLine=multi_line,
+        columnNameOfCorruptRecord=_BAD, **FORMAT,
+    )
+    _refuse_long_records(raw, width, path)
     missing = MISSING_TOKENS if tokens is None else tokens
     text = raw.select(
         *[F.when(~F.col(f"c{i}").isin(missing), F.col(f"c{i}")).alias(name) for i, name in kept]

@@ -55,3 +55,13 @@ def test_run_log(spark):
     assert runlog.lookup_by_key(log, "id", "zzz").count() == 0
     assert "TakeOrderedAndProject" in kept._jdf.queryExecution().executedPlan().toString()
     assert runlog.recent_n(log, "updated", -1).count() == 4
+
+
+def test_quoted_text_and_long_records(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('a,t,v\n1,"say ""hi"", you",3\n2,"two\nlines",4\n3,short\n')
+    rows = [tuple(r) for r in csv_scan(spark, str(path)).orderBy("a").collect()]
+    assert rows == [(1, 'say "hi", you', 3), (2, "two\nlines", 4), (3, "short", None)]
+    path.write_text('a,t\n1,x\n2,"y,z",\n3,p,q\n')
+    with pytest.raises(errors.DataError):
+        csv_scan(spark, str(path))

@@ -75,10 +75,17 @@ def test_label_codes_follow_the_values(spark):
     assert got == {3: 0, 1: 1, 4: 1, 2: 2, 5: 3}
 
 
-def test_one_hot_refuses_wide_columns(spark):
-    df = spark.range(5000).selectExpr("cast(id as string) as s")
-    with pytest.raises(errors.DataError):
-        prep.one_hot(df, ["s"])
+def test_one_hot_of_many_values(spark):
+    df = spark.range(2001).selectExpr("id", "cast(id as string) as s")
+    assert len(prep.one_hot(df, ["s"]).columns) == 2001
+    long = prep.one_hot_long(df.unionByName(spark.sql("select 9999L as id, cast(null as string) as s")), "id", ["s"])
+    assert long.count() == 2001
+
+
+def test_class_weights_of_missing_labels(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "row_id int, y int")
+    got = {r["row_id"]: r["class_weight"] for r in prep.class_weights(df, "y").collect()}
+    assert got == {1: 0.75, 2: 0.75, 3: 1.5, 4: None}
 
 
 def test_constant_column_is_only_centred(spark):
