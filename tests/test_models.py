@@ -7,28 +7,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import repairable_frame, risk_frame
+from conftest import mendable_frame, wear_frame
 from rowmend import errors
 from rowmend.operators import explain, forest, repair
 from rowmend.operators.consensus import describe_features
 from rowmend.plans import suggest, train
 from rowmend.sources import state
 
-RISK = ["gender", "age", "hypertension", "heart_disease", "avg_glucose_level", "bmi", "smoking_status"]
-REPAIR = ["gender", "age", "hypertension", "avg_glucose_level", "smoking_status"]
+RISK = ["site", "hours", "overheated", "retrofitted", "vibration", "load", "oil_grade"]
+REPAIR = ["site", "hours", "overheated", "vibration", "oil_grade"]
 SMALL = train.TrainOptions(trees=6, depth=3)
 
 
 @pytest.fixture(scope="module")
 def risk(spark):
-    df = spark.createDataFrame(risk_frame())
-    return df, train.fit_detector(df, "stroke", RISK, "row_id", SMALL)
+    df = spark.createDataFrame(wear_frame())
+    return df, train.fit_detector(df, "faulty", RISK, "row_id", SMALL)
 
 
 @pytest.fixture(scope="module")
 def ill(spark):
-    df = spark.createDataFrame(repairable_frame())
-    result = train.fit_detector(df, "stroke", REPAIR, "row_id", SMALL)
+    df = spark.createDataFrame(mendable_frame())
+    result = train.fit_detector(df, "faulty", REPAIR, "row_id", SMALL)
     scored = result.detector.score(df.select("row_id", *REPAIR))
     return df, result, scored.filter("pred = 1").cache()
 
@@ -39,7 +39,7 @@ def values(result):
 
 def test_training_is_repeatable(spark, risk):
     df, first = risk
-    second = train.fit_detector(df.repartition(3), "stroke", RISK, "row_id", SMALL)
+    second = train.fit_detector(df.repartition(3), "faulty", RISK, "row_id", SMALL)
     assert values(first) == pytest.approx(values(second))
     assert first.detector.importances() == pytest.approx(second.detector.importances())
     assert {r["row_id"] for r in first.test_rows.collect()} == {r["row_id"] for r in second.test_rows.collect()}
@@ -63,13 +63,13 @@ def test_bad_target(spark, risk):
 
 
 def test_missing_values_and_text_labels(spark, risk):
-    df = risk[0].withColumn("bmi", F.when(F.col("row_id") % 5 != 0, F.col("bmi"))).withColumn(
-        "smoking_status", F.when(F.col("row_id") % 7 != 0, F.col("smoking_status"))
-    ).withColumn("stroke", F.when(F.col("stroke") == 1, "bad").otherwise("good"))
+    df = risk[0].withColumn("load", F.when(F.col("row_id") % 5 != 0, F.col("load"))).withColumn(
+        "oil_grade", F.when(F.col("row_id") % 7 != 0, F.col("oil_grade"))
+    ).withColumn("faulty", F.when(F.col("faulty") == 1, "bad").otherwise("good"))
     options = train.TrainOptions(trees=3, depth=3, positive_value="bad", normal_value="good")
-    result = train.fit_detector(df, "stroke", RISK, "row_id", options)
-    assert "bmi__gap" in result.detector.inputs
-    unseen = df.limit(3).withColumn("gender", F.lit("unseen"))
+    result = train.fit_detector(df, "faulty", RISK, "row_id", options)
+    assert "load__gap" in result.detector.inputs
+    unseen = df.limit(3).withColumn("site", F.lit("unseen"))
     assert result.detector.score(unseen).filter("score is null").count() == 0
 
 
@@ -167,7 +167,7 @@ def test_isolation_forest(spark):
 
 
 def test_multiclass(spark, risk):
-    df = risk[0].withColumn("level", (F.col("stroke") + (F.col("age") > 50).cast("int")))
+    df = risk[0].withColumn("level", (F.col("faulty") + (F.col("hours") > 4000).cast("int")))
     result = train.fit_detector(df, "level", RISK, "row_id", SMALL)
     found = values(result)
     assert found["auc"] == 0.0 and found["f1"] == found["f1_weighted"]
@@ -186,10 +186,10 @@ def run(ill, **options):
 
 def test_repair_invariants(spark, ill):
     df, result, _ = ill
-    report = run(ill, numeric_bounds={"avg_glucose_level": {"min": 90, "max": 100}})
+    report = run(ill, numeric_bounds={"vibration": {"min": 2.0, "max": 2.5}})
     rows = report.collect()
     assert rows and any(r["summary"]["status"] == "repaired" for r in rows)
-    domain = {c: {r[0] for r in result.normal_rows.select(c).collect()} for c in ("gender", "smoking_status")}
+    domain = {c: {r[0] for r in result.normal_rows.select(c).collect()} for c in ("site", "oil_grade")}
     for r in rows:
         s, changes = r["summary"], r["changes"]
         assert s["after_score"] <= s["before_score"] + 1e-12
@@ -201,8 +201,8 @@ def test_repair_invariants(spark, ill):
                 assert r[c] == r["original"][c]
             elif c in domain:
                 assert r[c] in domain[c]
-        if "avg_glucose_level" in touched:
-            assert 90 <= r["avg_glucose_level"] <= 100
+        if "vibration" in touched:
+            assert 2.0 <= r["vibration"] <= 2.5
         for a, b in zip(changes, changes[1:]):
             assert a["after_score"] == b["before_score"]
     again = result.detector.score(report.select("row_id", *REPAIR))
@@ -220,8 +220,8 @@ def test_repair_ignores_partitions(spark, ill):
 
 
 def test_immutable_columns(ill):
-    for r in run(ill, immutable_columns=["age", " avg_glucose_level "]).collect():
-        assert not {"age", "avg_glucose_level"} & {c["feature"] for c in r["changes"]}
+    for r in run(ill, immutable_columns=["hours", " vibration "]).collect():
+        assert not {"hours", "vibration"} & {c["feature"] for c in r["changes"]}
 
 
 def test_dry_run_and_normal_rows(spark, ill):
@@ -241,7 +241,7 @@ def test_dry_run_and_normal_rows(spark, ill):
 
 def test_options_are_checked():
     for bad in ({"max_changes": 0}, {"max_changes": 21}, {"k_neighbors": 2}, {"k_neighbors": "x"},
-                {"immutable_columns": "age"}, {"numeric_bounds": [1]}):
+                {"immutable_columns": "hours"}, {"numeric_bounds": [1]}):
         with pytest.raises(errors.DataError) as problem:
             repair.RepairOptions(**bad)
         assert problem.value.code == errors.INVALID_INPUT

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import risk_frame
+from conftest import wear_frame
 from rowmend import errors
 from rowmend.functions import kinds, values
 from rowmend.operators import prep, profile, split
@@ -27,7 +27,7 @@ def test_target_checks_in_order(spark):
     # Many integer classes are fine while they are a small share of the rows.
     assert code([(i % 30,) for i in range(300)], "y int")["code"] == "OK"
     with pytest.raises(errors.DataError) as problem:
-        profile.target_check(spark.createDataFrame([(1,)], "a int"), "stroke")
+        profile.target_check(spark.createDataFrame([(1,)], "a int"), "faulty")
     assert problem.value.code == errors.INVALID_TARGET_COLUMN
     with pytest.raises(errors.DataError) as problem:
         profile.target_check(spark.createDataFrame([(0,), (1,), (None,)], "y int"), "y")
@@ -100,11 +100,11 @@ def test_means_come_from_the_training_rows(spark):
 
 
 def test_split_is_exact_and_ignores_partitions(spark):
-    df = spark.createDataFrame(risk_frame(500)).select("row_id", "stroke")
-    counts = {r["stroke"]: r["count"] for r in df.groupBy("stroke").count().collect()}
+    df = spark.createDataFrame(wear_frame(500)).select("row_id", "faulty")
+    counts = {r["faulty"]: r["count"] for r in df.groupBy("faulty").count().collect()}
 
     def parts(frame):
-        rows = split.stratified_split(frame, "stroke", "row_id").collect()
+        rows = split.stratified_split(frame, "faulty", "row_id").collect()
         return {r["row_id"] for r in rows if r["is_train"]}, rows
 
     first, rows = parts(df)
@@ -112,7 +112,7 @@ def test_split_is_exact_and_ignores_partitions(spark):
     assert len(first) == 400
     wanted = split.class_shares(counts, 0.2)
     for label, n in wanted.items():
-        assert sum(1 for r in rows if r["is_train"] and r["stroke"] == label) == n
+        assert sum(1 for r in rows if r["is_train"] and r["faulty"] == label) == n
         assert abs(n - 0.8 * counts[label]) < 1
 
 
