@@ -265,3 +265,18 @@ def test_suggestions_verify(spark, ill):
     assert any(r["success"] for r in checked)
     for r in checked:
         assert r["success"] == (r["after_pred"] == 0)
+
+
+def test_repair_loses_no_row(spark, ill):
+    _, result, flagged = ill
+    rows = flagged.select("row_id", *REPAIR).limit(3)
+    twins = rows.unionByName(rows)
+    endless = rows.limit(1).withColumn("vibration", F.lit(float("inf"))).withColumn("row_id", F.lit(-1).cast("bigint"))
+    samples = twins.unionByName(endless)
+    pool = result.normal_rows.unionByName(
+        result.normal_rows.limit(1).withColumn("vibration", F.lit(float("inf"))).withColumn("row_id", F.lit(-2).cast("bigint"))
+    )
+    features = describe_features(pool, REPAIR, result.detector.weights())
+    report = repair.greedy_repair(samples, pool, result.detector.score, features, "row_id", "row_id")
+    found = sorted(r["row_id"] for r in report.collect())
+    assert found == sorted(r["row_id"] for r in samples.collect())
