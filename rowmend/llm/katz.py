@@ -20,6 +20,7 @@ from rowmend.llm.text import LOWER, NOT_SPACE, flat, hashes, per_text, pieces, s
 
 CHUNK_TOKENS = 3 << 18
 SLOTS_A_TASK = 2
+HASHED_BYTES = 1 << 20
 # Counts up to this are discounted; Katz' own choice.
 LARGEST = 5
 # Fixed value: stands for the end of a text among word hashes.
@@ -126,7 +127,7 @@ def _groups(owner: np.ndarray, groups: int) -> list[int]:
 def _chunks(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBatch]:
     """Documents of about ``CHUNK_TOKENS`` tokens as numbers, and their words by slot."""
     number, held, size = 0, [], 0
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", HASHED_BYTES):
         data, offsets = flat(batch.column("text"))
         low = LOWER[data]
         starts, ends, doc = spans(low, offsets, NOT_SPACE)
