@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rowmend.functions import kinds, values
 from rowmend.functions.kinds import Feature
 from rowmend.operators.neighbours import build_index, nearest
-from rowmend.operators.quantiles import SMALL, exact_quantiles
+from rowmend.operators.quantiles import exact_quantiles
 
 
-def numeric_scales(pool: DataFrame, flags: dict[str, bool], small: int = SMALL) -> dict[str, float]:
+def numeric_scales(pool: DataFrame, flags: dict[str, bool]) -> dict[str, float]:
     """Per feature the 5-95 % span, else the range, else 1; discrete features count 1."""
     numeric = [c for c, discrete in flags.items() if not discrete]
     scales = {c: 1.0 for c in flags}
     if not numeric:
         return scales
-    tails = exact_quantiles(pool, numeric, [0.05, 0.95], small)
+    tails = exact_quantiles(pool, numeric, [0.05, 0.95])
     for c in numeric:
         low, high = tails[c]
         if low is not None and 0 < high - low < math.inf:

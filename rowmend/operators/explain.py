@@ -1,16 +1,15 @@
 """Contribution of every feature to every score of a boosted tree model.
 
-Path-dependent TreeSHAP (Lundberg et al. 2018) on the margin. Trees are small and of
-bounded depth, so for each leaf the Shapley values are tabulated once on the driver for
-every combination of "the row follows / leaves the path at this feature". A row then
-only looks values up, in Arrow batches.
+Path-dependent TreeSHAP (Lundberg et al. 2018) on the margin, leaf by leaf in Arrow
+batches. Of a leaf with d different features on its path, a feature's Shapley value is the
+integral over t in [0, 1] of a product of d - 1 linear factors, one per other feature: the
+share of rows that go this way, weighted 1 - t, plus whether the row does, weighted t.
+Gauss-Legendre nodes, half as many as factors, give such a polynomial's integral exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
-from math import factorial
 from typing import Any
 
 import numpy as np
@@ -18,11 +17,8 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowmend import errors, parallel, shipping, storage
-from rowmend.operators.quantiles import SMALL, exact_quantiles
-
-# Different features on one path; the tables have two to this power of rows.
-MAX_PATH = 12
+from rowmend import parallel, shipping, storage
+from rowmend.operators.quantiles import exact_quantiles
 
 
 def _tree_nodes(detector, spark) -> list[tuple[float, dict[int, Any]]]:
@@ -37,85 +33,83 @@ def _tree_nodes(detector, spark) -> list[tuple[float, dict[int, Any]]]:
     return [(weights[t], trees[t]) for t in sorted(trees)]
 
 
-def _leaf_table(path: list[tuple[int, float]], value: float) -> tuple[list[int], np.ndarray]:
-    """Features on a path and the Shapley values for every follow/leave pattern.
+def _leaves(weight: float, nodes: dict[int, Any]) -> tuple[list[dict[str, Any]], float]:
+    """Leaves of one tree with their features, shares and conditions, and the tree's expected value.
 
-    ``path`` holds (feature, share of the parent's rows that go this way). The game:
-    a known feature lets the row through or not, an unknown one lets its share through.
+    A feature met twice on a path counts once, with the product of its shares.
     """
-    shares: dict[int, float] = {}
-    for feature, share in path:
-        shares[feature] = shares.get(feature, 1.0) * share
-    players = list(shares)
-    d = len(players)
-    if d > MAX_PATH:
-        raise errors.DataError(
-            errors.INVALID_INPUT, "trees are too deep to explain", features=d, maximum=MAX_PATH
-        )
-    table = np.zeros((1 << d, d))
-    z = [shares[p] for p in players]
-    for pattern in product((0, 1), repeat=d):
-        row = sum(bit << i for i, bit in enumerate(pattern))
-        for j in range(d):
-            # Coefficient s: sum over known sets of size s without j.
-            coefficients = np.array([1.0])
-            for i in range(d):
-                if i != j:
-                    coefficients = np.convolve(coefficients, [z[i], float(pattern[i])])
-            chance = [factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)]
-            table[row, j] = value * (pattern[j] - z[j]) * float(np.dot(coefficients, chance))
-    return players, table
-
-
-def _leaves(weight: float, nodes: dict[int, Any]) -> tuple[list[dict[str, Any]], float]:
-    """Leaves of one tree with their conditions and tables, and its expected value."""
     leaves, expected = [], 0.0
-    stack = [(0, [], 1.0)]
+    stack = [(0, [], {}, 1.0)]
     while stack:
-        node_id, path, share = stack.pop()
+        node_id, tests, shares, reach = stack.pop()
         node = nodes[node_id]
         if node["leftChild"] < 0:
             value = weight * node["prediction"]
-            expected += value * share
-            players, table = _leaf_table([(f, s) for f, s, _, _ in path], value)
-            tests = [(players.index(f), f, rule, left) for f, _, rule, left in path]
-            leaves.append({"players": players, "table": table, "tests": tests})
+            expected += value * reach
+            if tests:
+                leaves.append({
+                    "players": list(shares), "shares": np.array(list(shares.values())), "value": value,
+                    "tests": tests,
+                })
             continue
         split = node["split"]
         if split["numCategories"] == -1:
             rule: Any = float(split["leftCategoriesOrThreshold"][0])
         else:
-            rule = np.array(split["leftCategoriesOrThreshold"], dtype=float)
+            rule = tuple(float(c) for c in split["leftCategoriesOrThreshold"])
+        feature = split["featureIndex"]
         left, right = nodes[node["leftChild"]], nodes[node["rightChild"]]
         cover = (left["impurityStats"][0], right["impurityStats"][0])
         for child, side, mass in ((node["leftChild"], True, cover[0]), (node["rightChild"], False, cover[1])):
             part = mass / (cover[0] + cover[1])
-            stack.append((child, [*path, (split["featureIndex"], part, rule, side)], share * part))
+            stack.append((
+                child, [*tests, (feature, rule, side)],
+                {**shares, feature: shares.get(feature, 1.0) * part}, reach * part,
+            ))
     return leaves, expected
 
 
+def _leaf_values(follows: np.ndarray, shares: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values (features x rows) of one leaf from which features let a row through."""
+    d = len(shares)
+    nodes, masses = np.polynomial.legendre.leggauss(max(1, (d + 1) // 2))
+    through, share = follows.astype(float), shares[:, None]
+    total = np.zeros(through.shape)
+    for node, mass in zip(nodes, masses):
+        t = (node + 1) / 2
+        factors = share * (1 - t) + through * t
+        others = np.ones(through.shape)
+        # Products of the factors before and after each feature: no division by one of them.
+        others[1:] = np.cumprod(factors[:-1], axis=0)
+        after = np.ones(through.shape[1])
+        for j in range(d - 1, 0, -1):
+            after = after * factors[j]
+            others[j - 1] *= after
+        total += mass / 2 * others
+    return value * (through - share) * total
+
+
 def _contributions(x: np.ndarray, leaves: list[dict[str, Any]], width: int) -> np.ndarray:
-    total = np.zeros((len(x), width))
+    total = np.zeros((width, len(x)))
     goes_left: dict[Any, np.ndarray] = {}
 
     def left_of(feature: int, rule: Any) -> np.ndarray:
-        key = (feature, rule if isinstance(rule, float) else tuple(rule))
-        if key not in goes_left:
+        if (feature, rule) not in goes_left:
             column = x[:, feature]
-            goes_left[key] = column <= rule if isinstance(rule, float) else np.isin(column, rule)
-        return goes_left[key]
+            goes_left[feature, rule] = column <= rule if isinstance(rule, float) else np.isin(column, rule)
+        return goes_left[feature, rule]
 
     for leaf in leaves:
-        if not leaf["players"]:
-            continue
-        follows = np.ones((len(leaf["players"]), len(x)), dtype=bool)
-        for player, feature, rule, side in leaf["tests"]:
-            follows[player] &= left_of(feature, rule) == side
-        pattern = np.zeros(len(x), dtype=np.int64)
-        for i, row in enumerate(follows):
-            pattern |= row.astype(np.int64) << i
-        total[:, leaf["players"]] += leaf["table"][pattern]
-    return total
+        row_of = {feature: j for j, feature in enumerate(leaf["players"])}
+        follows = np.ones((len(row_of), len(x)), dtype=bool)
+        for feature, rule, side in leaf["tests"]:
+            follows[row_of[feature]] &= left_of(feature, rule) == side
+        # Rows that agree in what they follow share their values. MLlib's trees have at most
+        # 30 levels, so a pattern fits a number.
+        bits = np.arange(len(row_of))[:, None]
+        patterns, where = np.unique((follows << bits).sum(axis=0), return_inverse=True)
+        total[leaf["players"]] += _leaf_values(patterns >> bits & 1, leaf["shares"], leaf["value"])[:, where]
+    return total.T
 
 
 def contribution_arrays(detector, df: DataFrame, row_id: str) -> tuple[DataFrame, float]:
@@ -130,7 +124,7 @@ def contribution_arrays(detector, df: DataFrame, row_id: str) -> tuple[DataFrame
     shared = spark.sparkContext.broadcast(leaves)
     names = list(detector.features)
     origin = np.array([names.index(c) for c in detector.origin])
-    vectors = detector.model.transform(parallel.spread(df, row_id)).select(
+    vectors = detector.transform(parallel.spread(df, row_id)).select(
         row_id, vector_to_array("vector").alias("x"), vector_to_array("rawPrediction")[1].alias("margin")
     )
 
@@ -195,7 +189,7 @@ def top_positive_features(contributions: DataFrame, row_id: str, n: int = 3) ->
     )
 
 
-def global_attribution(contributions: DataFrame, small: int = SMALL) -> DataFrame:
+def global_attribution(contributions: DataFrame) -> DataFrame:
     """Mean and quartiles of the absolute contribution and the mean signed one per feature."""
     summary = contributions.groupBy("feature").agg(
         F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"),
@@ -205,7 +199,7 @@ def global_attribution(contributions: DataFrame, small: int = SMALL) -> DataFram
     spread = contributions.select(
         *[F.when(F.col("feature") == c, F.abs("contribution")).alias(f"f_{i}") for i, c in enumerate(names)]
     )
-    quartiles = exact_quantiles(spread, spread.columns, [0.25, 0.5, 0.75], small)
+    quartiles = exact_quantiles(spread, spread.columns, [0.25, 0.5, 0.75])
     rows = [(c, *quartiles[f"f_{i}"]) for i, c in enumerate(names)]
     table = contributions.sparkSession.createDataFrame(
         rows, "feature string, p25 double, p50 double, p75 double"

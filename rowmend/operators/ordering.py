@@ -2,45 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowmend import parallel, storage
 
-BUCKETS = 1_000
+# Rows a task sorts; longer tables get more tasks.
+ROWS_PER_TASK = 1_000_000
+
+
+def _range_sorted(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """Rows sorted by one range shuffle, with their partition (``part``) and place in it.
+
+    The sorted rows are written out, so that a lost executor cannot produce other
+    partition boundaries. The number of partitions follows the number of rows.
+    """
+    tasks = max(parallel.tasks(df.sparkSession), -(-df.count() // ROWS_PER_TASK))
+    placed = storage.cut_lineage(
+        df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        .withColumn("place", F.monotonically_increasing_id())
+    )
+    return placed.withColumns({
+        "part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND(F.lit((1 << 33) - 1)),
+    })
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
     """Add ``<s>_upto`` (running sum by descending ``order``) and ``<s>_next`` (following row).
 
-    ``order`` is a double with distinct values. Rows go to buckets between approximate
-    quantiles; a bucket is summed on its own and lifted by the total of those before it.
-    The table of bucket totals has at most ``BUCKETS`` rows. The input is written out
-    first, because it is read for the quantiles, the totals and the sums.
+    ``order`` has distinct values. The table is sorted by ranges; a range is summed on its
+    own and lifted by the total of those before it. The table of range totals has one row
+    per task.
     """
-    df = storage.cut_lineage(df)
-    edges = sorted({float(e) for e in df.approxQuantile(order, [i / BUCKETS for i in range(1, BUCKETS)], 0.0005)})
-    placed = Bucketizer(
-        splits=[-float("inf"), *edges, float("inf")], inputCol=order, outputCol="bucket"
-    ).transform(df)
-    first = F.max_by(F.struct(*sums), F.col(order))
-    totals = placed.groupBy("bucket").agg(
-        *[F.sum(s).alias(f"{s}_total") for s in sums], first.alias("first_row")
+    placed = _range_sorted(df, [F.desc(order)])
+    totals = placed.groupBy("part").agg(
+        *[F.sum(s).alias(f"{s}_total") for s in sums],
+        F.min_by(F.struct(*sums), "place").alias("first_row"),
     )
-    along = Window.orderBy(F.desc("bucket"))
+    along = Window.orderBy("part")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "bucket",
+        "part",
         *[F.coalesce(F.sum(f"{s}_total").over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
         F.lead("first_row").over(along).alias("next_row"),
     )
-    inside = Window.partitionBy("bucket").orderBy(F.desc(order))
+    inside = Window.partitionBy("part").orderBy("place")
     summed = placed.select(
         "*",
         *[F.sum(s).over(inside).alias(f"{s}_inside") for s in sums],
         *[F.lead(s).over(inside).alias(f"{s}_lead") for s in sums],
     )
-    joined = summed.join(F.broadcast(offsets), "bucket")
+    joined = summed.join(F.broadcast(offsets), "part")
     return joined.select(
         *df.columns,
         *[(F.col(f"{s}_inside") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums],
@@ -49,23 +60,12 @@ def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
 
 
 def dense_positions(df: DataFrame, order: list[str | Column], name: str, start: int = 0) -> DataFrame:
-    """Add the position of each row in the global order as a long column.
-
-    One range shuffle sorts the rows; a row's position is its place in the partition
-    plus the rows of the partitions before. The sorted rows are written out first, so
-    that a lost executor cannot produce other partition boundaries.
-    """
-    tasks = parallel.tasks(df.sparkSession)
-    placed = storage.cut_lineage(
-        df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-        .withColumn("placed", F.monotonically_increasing_id())
-    )
-    part, place = F.shiftright("placed", 33), F.col("placed").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    """Add the position of each row in the global order as a long column: its place in its
+    range plus the rows of the ranges before."""
+    placed = _range_sorted(df, order)
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
-    return (
-        placed.withColumn("part", part)
-        .join(F.broadcast(offsets), "part")
-        .select(*df.columns, (F.col("before") + place + F.lit(start)).alias(name))
+    return placed.join(F.broadcast(offsets), "part").select(
+        *df.columns, (F.col("before") + F.col("place") + F.lit(start)).alias(name)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowmend import errors
 from rowmend.functions import kinds
-from rowmend.operators.quantiles import SMALL, exact_quantiles
+from rowmend.operators.quantiles import exact_quantiles
 
 # Fixed values of the target check.
 MAX_CLASSES = 20
@@ -70,12 +70,12 @@ def missing_report(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_describe(df: DataFrame, cols: list[str] | None = None, small: int = SMALL) -> DataFrame:
+def numeric_describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum per numeric column."""
     cols = cols or kinds.numeric_columns(df)
     if not cols:
         raise errors.DataError(errors.INVALID_INPUT, "no numeric columns to describe")
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75], small)
+    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
     entries = []
     for c in cols:
         value = kinds.as_number(c)

@@ -8,43 +8,32 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmend.functions.kinds import as_number
 
-SMALL = 2_000_000
 _ACCURACY = 10_000
 
 
-def exact_quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Quantiles per column, equal to sorting the column; nulls and NaN are left out.
 
-    Up to ``small`` rows one ``percentile`` aggregate does it. Beyond, its memory would
-    grow with the distinct values, so a sketch brackets every wanted rank first, the
-    rows below each bracket are counted, and only the values inside the brackets, a
-    fraction of a thousandth, are counted per value and ranked.
+    The memory of a ``percentile`` aggregate would grow with the distinct values. So a
+    sketch brackets every wanted rank first, the rows below each bracket are counted, and
+    only the values inside the brackets, a fraction of a thousandth of a long column, are
+    counted per value and ranked.
     """
     if not columns:
         return {}
     numbers = df.select(*[as_number(c).alias(c) for c in columns])
-    counts = numbers.agg(*[F.count(c).alias(c) for c in columns]).first()
-    if max(counts[c] for c in columns) <= small:
-        row = numbers.agg(
-            *[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns]
-        ).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    return _bracketed(numbers, columns, probs, {c: int(counts[c]) for c in columns})
-
-
-def _bracketed(
-    numbers: DataFrame, columns: list[str], probs: list[float], counts: dict[str, int]
-) -> dict[str, list[float | None]]:
     spark = numbers.sparkSession
     margin = 2.0 / _ACCURACY
     ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = numbers.agg(
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[F.percentile_approx(c, ends, _ACCURACY).alias(f"q_{i}") for i, c in enumerate(columns)],
         *[F.min(c).alias(f"low_{i}") for i, c in enumerate(columns)],
         *[F.max(c).alias(f"high_{i}") for i, c in enumerate(columns)],
     ).first()
+    counts = {c: int(sketch[f"n_{i}"]) for i, c in enumerate(columns)}
+    if not any(counts.values()):
+        return {c: [None] * len(probs) for c in columns}
     brackets = []
     for i, c in enumerate(columns):
         if counts[c] == 0:
@@ -57,8 +46,11 @@ def _bracketed(
             if p >= 1 - 2 * margin:
                 high = sketch[f"high_{i}"]
             brackets.append((c, j, float(low), float(high)))
-    below = numbers.agg(
-        *[F.count(F.when(F.col(c) < F.lit(low), 1)).alias(f"b_{n}") for n, (c, _, low, _) in enumerate(brackets)]
+    # In a short column a wanted rank can lie one value outside its bracket.
+    beside = numbers.agg(
+        *[F.count(F.when(F.col(c) < F.lit(low), 1)).alias(f"b_{n}") for n, (c, _, low, _) in enumerate(brackets)],
+        *[F.max(F.when(F.col(c) < F.lit(low), F.col(c))).alias(f"prev_{n}") for n, (c, _, low, _) in enumerate(brackets)],
+        *[F.min(F.when(F.col(c) > F.lit(high), F.col(c))).alias(f"next_{n}") for n, (c, _, _, high) in enumerate(brackets)],
     ).first()
 
     inside = F.array(
@@ -74,7 +66,7 @@ def _bracketed(
     ranks = []
     for n, (c, j, _, _) in enumerate(brackets):
         position = (counts[c] - 1) * probs[j]
-        ranks.append((n, math.floor(position) - int(below[f"b_{n}"]), math.ceil(position) - int(below[f"b_{n}"])))
+        ranks.append((n, math.floor(position) - int(beside[f"b_{n}"]), math.ceil(position) - int(beside[f"b_{n}"])))
     wanted = spark.createDataFrame(ranks, "bracket int, first long, last long")
     order = Window.partitionBy("bracket").orderBy("value")
     hits = (
@@ -90,7 +82,10 @@ def _bracketed(
     found = {r["bracket"]: (r["first_value"], r["last_value"]) for r in hits}
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     for n, (c, j, _, _) in enumerate(brackets):
-        low, high = found[n]
+        low, high = (
+            beside[f"prev_{n}"] if rank < 0 else beside[f"next_{n}"] if value is None else value
+            for rank, value in zip(ranks[n][1:], found[n])
+        )
         position = (counts[c] - 1) * probs[j]
         share = position - math.floor(position)
         result[c][j] = low if low == high else (1 - share) * low + share * high

@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmend.functions.values import fbeta, ratio
-from rowmend.operators.quantiles import SMALL, exact_quantiles
+from rowmend.operators.quantiles import exact_quantiles
 
 # Thresholds always tried, and the score quantiles added to them.
 FIXED_CANDIDATES = [0.3, 0.4, 0.5, 0.6, 0.7]
@@ -22,9 +22,9 @@ class ThresholdRule:
     min_precision: float = 0.5
 
 
-def threshold_candidates(df: DataFrame, score: str, rule: ThresholdRule, small: int = SMALL) -> list[float]:
+def threshold_candidates(df: DataFrame, score: str, rule: ThresholdRule) -> list[float]:
     """At most 55 thresholds in [0, 1], sorted."""
-    quantiles = exact_quantiles(df, [score], QUANTILES, small)[score]
+    quantiles = exact_quantiles(df, [score], QUANTILES)[score]
     raw = [rule.default, *FIXED_CANDIDATES, *[q for q in quantiles if q is not None]]
     return sorted({float(c) for c in raw if 0.0 <= c <= 1.0}) or [rule.default]
 
@@ -65,14 +65,14 @@ def rate_thresholds(df: DataFrame, actual: str, score: str, candidates: list[flo
 
 
 def select_threshold(
-    df: DataFrame, actual: str, score: str, rule: ThresholdRule = ThresholdRule(), small: int = SMALL
+    df: DataFrame, actual: str, score: str, rule: ThresholdRule = ThresholdRule()
 ) -> DataFrame:
     """One row: the threshold, its scores and the rows it was chosen on.
 
     Candidates below the precision floor are out; then best F-beta, recall, precision,
     closeness to the default, smallest. If none is left the default is taken.
     """
-    candidates = sorted({*threshold_candidates(df, score, rule, small), rule.default})
+    candidates = sorted({*threshold_candidates(df, score, rule), rule.default})
     rated = rate_thresholds(df, actual, score, candidates, rule.beta)
     ok = F.col("precision") >= rule.min_precision
     best = (

@@ -34,5 +34,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     if not is_small(df):
         return df
-    pieces = min(tasks(df.sparkSession), -(-input_bytes(df) // _SMALL_PIECE))
-    return df.repartition(int(pieces), *keys) if pieces > 1 else df
+    pieces = _pieces(df)
+    return df.repartition(pieces, *keys) if pieces > 1 else df
+
+
+def settle(df: DataFrame, key: str) -> DataFrame:
+    """Rows in partitions and an order that depend on the key alone, so that sums over
+    them come out the same however the table was dealt before."""
+    return df.repartition(_pieces(df), key).sortWithinPartitions(key)
+
+
+def _pieces(df: DataFrame) -> int:
+    return int(max(1, min(tasks(df.sparkSession), -(-input_bytes(df) // _SMALL_PIECE))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -15,11 +15,14 @@ from rowmend import errors, parallel, storage
 from rowmend.functions import kinds
 from rowmend.functions.values import clamp_threshold
 from rowmend.operators import evaluate, prep, profile, split
+from rowmend.operators.ordering import dense_positions
 from rowmend.operators.repair import feature_weights
 from rowmend.operators.threshold import ThresholdRule, select_threshold
 
-MAX_ARITY = 512
-HASH_CLASSES = 256
+# Bins per column that a tree chooses its splits from.
+BINS = 255
+# A GBT writes its state to the shared folder after so many rounds.
+CHECKPOINT_ROUNDS = 25
 
 
 @dataclass(frozen=True)
@@ -28,24 +31,63 @@ class TrainOptions:
     validation_size: float = 0.25
     seed: int = 42
     rule: ThresholdRule = field(default_factory=ThresholdRule)
-    trees: int = 20
+    trees: int = 100
     depth: int = 5
-    step: float = 0.2
+    step: float = 0.1
     positive_value: object = 1
     normal_value: object = 0
 
 
+@dataclass(frozen=True)
+class Preparation:
+    """Raw columns to one vector: a rank for each category, then ML stages.
+
+    ``ranks`` is ``(column, value, rank)``; a value it does not hold has rank 0.
+    """
+
+    ranks: DataFrame
+    classes: list[str]
+    stages: list
+    inputs: list[str]
+    origin: list[str]
+
+    def rank(self, df: DataFrame) -> DataFrame:
+        """Add ``<c>__idx`` for each category column."""
+        for c in self.classes:
+            known = self.ranks.filter(F.col("column") == c).select(
+                F.col("value").alias(f"{c}__value"), F.col("rank").alias(f"{c}__rank")
+            )
+            df = df.join(known, prep.class_text(c) == F.col(f"{c}__value"), "left").withColumn(
+                f"{c}__idx", F.coalesce(f"{c}__rank", F.lit(0.0))
+            ).drop(f"{c}__value", f"{c}__rank")
+        return df
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return PipelineModel(self.stages).transform(self.rank(df))
+
+
 @dataclass(frozen=True)
 class Detector:
     """Feature preparation plus classifier, with the threshold that turns scores into flags."""
 
-    model: PipelineModel
+    preparation: Preparation
+    classifier: Model
     features: list[str]
-    inputs: list[str]
-    origin: list[str]
     threshold: float
     binary: bool = True
 
+    @property
+    def origin(self) -> list[str]:
+        """The feature behind each place of the vector."""
+        return self.preparation.origin
+
+    @property
+    def inputs(self) -> list[str]:
+        return self.preparation.inputs
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.classifier.transform(self.preparation.transform(df))
+
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``score`` and ``pred`` and keep the other columns.
 
@@ -53,7 +95,7 @@ class Detector:
         most likely class for both.
         """
         kept = [c for c in df.columns if c not in ("score", "pred")]
-        scored = self.model.transform(df.select(*kept))
+        scored = self.transform(df.select(*kept))
         if self.binary:
             scored = scored.withColumn("score", vector_to_array("probability")[1])
             scored = scored.withColumn("pred", (F.col("score") >= F.lit(self.threshold)).cast("int"))
@@ -62,14 +104,6 @@ class Detector:
             scored = scored.withColumn("score", F.col("prediction"))
         return scored.select(*kept, "score", "pred")
 
-    @property
-    def classifier(self):
-        return self.model.stages[-1]
-
-    @property
-    def preparation(self) -> PipelineModel:
-        return PipelineModel(self.model.stages[:-1])
-
     def importances(self) -> dict[str, float]:
         raw = self.classifier.featureImportances.toArray()
         total = {c: 0.0 for c in self.features}
@@ -91,48 +125,52 @@ class TrainingResult:
     importance: DataFrame
 
 
-def fit_preparation(
-    table: DataFrame, train: DataFrame, features: list[str], scale: bool = False
-) -> tuple[list, list[str], list[str], int]:
-    """Stages turning raw columns into one vector, with the vector's columns and their origin.
+def category_ranks(train: DataFrame, classes: list[str], label: str) -> DataFrame:
+    """``(column, value, rank)``: values from 1 up by their mean label, then by value.
 
-    Category codes come from the vocabulary of the whole table, means from the training
-    rows. Columns with very many values are hashed to a fixed number of classes, so the
-    vocabulary on the driver stays bounded.
+    Splits of the ranked values are the splits a tree learner considers for a category.
+    The weights of two classes do not change the order. Ranks come from a range shuffle,
+    so any number of values is treated alike.
     """
-    schema = table.schema
+    spark = train.sparkSession
+    if not classes:
+        return spark.createDataFrame([], "column string, value string, rank double")
+    means = (
+        train.select(*[prep.class_text(c).alias(c) for c in classes], F.col(label).cast("double").alias("__y"))
+        .unpivot("__y", classes, "column", "value")
+        .groupBy("column", "value").agg(F.avg("__y").alias("mean"))
+    )
+    placed = dense_positions(means, ["column", "mean", "value"], "position", start=1)
+    first = placed.groupBy("column").agg(F.min("position").alias("first"))
+    ranks = placed.join(F.broadcast(first), "column").select(
+        "column", "value", (F.col("position") - F.col("first") + 1).cast("double").alias("rank")
+    )
+    path = storage.fresh_path(spark, "ranks")
+    ranks.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def fit_preparation(train: DataFrame, features: list[str], label: str) -> Preparation:
+    """Category ranks, means and gap columns, all from the training rows."""
+    schema = train.schema
     numeric = [c for c in features if kinds.is_number(schema[c].dataType)]
     classes = [c for c in features if c not in numeric]
-    measures = [F.count(F.when(kinds.is_missing(table, c), 1)).alias(f"gaps_{c}") for c in numeric]
-    measures += [F.approx_count_distinct(c).alias(f"size_{c}") for c in classes]
-    found = table.agg(*measures).first()
-
-    parts, inputs, origin = ["*"], [], []
-    for c in classes:
-        text = f"coalesce(cast(`{c}` as string), '{prep.MISSING_CLASS}')"
-        if found[f"size_{c}"] > MAX_ARITY:
-            text = f"cast(pmod(xxhash64({text}), {HASH_CLASSES}) as string)"
-        parts.append(f"{text} as `{c}__text`")
-        inputs.append(f"{c}__idx")
-        origin.append(c)
+    gaps = [F.count(F.when(kinds.is_missing(train, c), 1)).alias(c) for c in numeric]
+    gaps = train.agg(*gaps).first().asDict() if numeric else {}
+
+    parts, inputs, origin = ["*"], [f"{c}__idx" for c in classes], list(classes)
     for c in numeric:
         parts.append(f"cast(`{c}` as double) as `{c}__raw`")
         inputs.append(f"{c}__filled")
         origin.append(c)
     for c in numeric:
-        if found[f"gaps_{c}"]:
+        if gaps[c]:
             parts.append(
                 f"cast(coalesce(isnan(cast(`{c}` as double)), false) or `{c}` is null as double) as `{c}__gap`"
             )
             inputs.append(f"{c}__gap")
             origin.append(c)
     stages: list = [SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")]
-    if classes:
-        indexer = StringIndexer(
-            inputCols=[f"{c}__text" for c in classes], outputCols=[f"{c}__idx" for c in classes],
-            stringOrderType="alphabetAsc", handleInvalid="keep",
-        )
-        stages.append(indexer.fit(stages[0].transform(table)))
     if numeric:
         imputer = Imputer(
             strategy="mean", inputCols=[f"{c}__raw" for c in numeric],
@@ -140,8 +178,7 @@ def fit_preparation(
         )
         stages.append(imputer.fit(stages[0].transform(train)))
     stages.append(VectorAssembler(inputCols=inputs, outputCol="vector", handleInvalid="keep"))
-    arity = max([2, *[min(int(found[f"size_{c}"]) + 16, MAX_ARITY + 16) for c in classes]])
-    return stages, inputs, origin, arity
+    return Preparation(category_ranks(train, classes, label), classes, stages, inputs, origin)
 
 
 def _internal_label(df: DataFrame, target: str, options: TrainOptions, binary: bool) -> DataFrame:
@@ -151,10 +188,11 @@ def _internal_label(df: DataFrame, target: str, options: TrainOptions, binary: b
     return df.withColumn("label__", (y == F.lit(options.positive_value)).cast("int"))
 
 
-def booster(options: TrainOptions, arity: int) -> GBTClassifier:
+def booster(options: TrainOptions) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="vector", labelCol="label__", weightCol="class_weight", seed=options.seed,
-        maxIter=options.trees, maxDepth=options.depth, stepSize=options.step, maxBins=max(32, arity),
+        maxIter=options.trees, maxDepth=options.depth, stepSize=options.step, maxBins=BINS,
+        checkpointInterval=CHECKPOINT_ROUNDS,
     )
 
 
@@ -181,10 +219,9 @@ def fit_detector(
             )
     labelled = _internal_label(table.select(row_id, target, *features), target, options, binary)
     divided = split.stratified_split(labelled, "label__", row_id, options.test_size, options.seed)
-    parts = storage.cut_lineage(parallel.spread(divided, row_id))
+    parts = storage.cut_lineage(parallel.settle(divided, row_id))
     train, test = parts.filter("is_train"), parts.filter(~F.col("is_train"))
-    stages, inputs, origin, arity = fit_preparation(parts, train, features)
-    prepare = PipelineModel(stages)
+    prepare = fit_preparation(train, features, "label__")
 
     threshold, search = options.rule.default, {}
     if binary:
@@ -195,8 +232,8 @@ def fit_detector(
         # The final model does not need the threshold, so both fits share the cluster.
         fits = [prepare.transform(prep.class_weights(rows, "label__")) for rows in (fit_rows, train)]
         with ThreadPoolExecutor(max_workers=2) as side_by_side:
-            trial, model = side_by_side.map(lambda rows: booster(options, arity).fit(rows), fits)
-        judge = Detector(PipelineModel([*stages, trial]), features, inputs, origin, 0.5)
+            trial, model = side_by_side.map(lambda rows: booster(options).fit(rows), fits)
+        judge = Detector(prepare, trial, features, 0.5)
         scored = storage.cut_lineage(judge.score(check_rows).select("label__", "score"))
         record = select_threshold(scored, "label__", "score", options.rule).first().asDict()
         threshold = clamp_threshold(record.pop("decision_threshold"), options.rule.default)
@@ -204,10 +241,10 @@ def fit_detector(
     else:
         forest = RandomForestClassifier(
             featuresCol="vector", labelCol="label__", weightCol="class_weight", seed=options.seed,
-            maxBins=max(32, arity), numTrees=50, maxDepth=8,
+            maxBins=BINS, numTrees=options.trees, maxDepth=8,
         )
         model = forest.fit(prepare.transform(prep.class_weights(train, "label__")))
-    detector = Detector(PipelineModel([*stages, model]), features, inputs, origin, threshold, binary)
+    detector = Detector(prepare, model, features, threshold, binary)
 
     scored = storage.cut_lineage(detector.score(test.select(row_id, *features, "label__")))
     metrics = evaluate.metric_report(scored, "label__", "pred", "score", threshold, search)

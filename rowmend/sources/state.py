@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rowmend import errors
 from rowmend.functions.values import clamp_threshold
-from rowmend.plans.train import Detector, TrainingResult
+from rowmend.plans.train import Detector, Preparation, TrainingResult
 
-PARTS = ("model", "test_rows", "normal_rows", "config")
+PARTS = ("model", "stages", "ranks", "test_rows", "normal_rows", "config")
 
 
 @dataclass(frozen=True)
@@ -26,11 +26,14 @@ def save_state(result: TrainingResult, path: str) -> str:
     root = path.rstrip("/")
     detector = result.detector
     spark = result.test_rows.sparkSession
-    detector.model.write().overwrite().save(f"{root}/model")
+    PipelineModel([detector.classifier]).write().overwrite().save(f"{root}/model")
+    PipelineModel(detector.preparation.stages).write().overwrite().save(f"{root}/stages")
+    detector.preparation.ranks.write.mode("overwrite").parquet(f"{root}/ranks")
     result.test_rows.write.mode("overwrite").parquet(f"{root}/test_rows")
     result.normal_rows.write.mode("overwrite").parquet(f"{root}/normal_rows")
     config = {
         "features": detector.features, "inputs": detector.inputs, "origin": detector.origin,
+        "classes": detector.preparation.classes,
         "threshold": detector.threshold, "binary": detector.binary,
     }
     spark.createDataFrame([(json.dumps(config),)], "value string").write.mode("overwrite").text(f"{root}/config")
@@ -51,8 +54,12 @@ def load_state(spark: SparkSession, path: str) -> SavedState:
         raise errors.DataError(errors.FILE_NOT_FOUND, "saved state is incomplete", path=root, missing=missing)
     try:
         config = json.loads(spark.read.text(f"{root}/config").first()[0])
+        preparation = Preparation(
+            spark.read.parquet(f"{root}/ranks"), config["classes"],
+            PipelineModel.load(f"{root}/stages").stages, config["inputs"], config["origin"],
+        )
         detector = Detector(
-            PipelineModel.load(f"{root}/model"), config["features"], config["inputs"], config["origin"],
+            preparation, PipelineModel.load(f"{root}/model").stages[0], config["features"],
             clamp_threshold(config["threshold"]), bool(config["binary"]),
         )
         return SavedState(

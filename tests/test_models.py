@@ -135,7 +135,7 @@ def test_contributions_equal_enumeration(spark, risk):
     by_row = {}
     for r in got:
         by_row.setdefault(r["row_id"], {})[r["feature"]] = r["contribution"]
-    vectors = {r["row_id"]: r["vector"].toArray() for r in detector.model.transform(rows).collect()}
+    vectors = {r["row_id"]: r["vector"].toArray() for r in detector.transform(rows).collect()}
     trees = explain._tree_nodes(detector, spark)
     for row_id, x in vectors.items():
         wanted = sum(w * shapley(nodes, x, len(x)) for w, nodes in trees)
@@ -156,8 +156,7 @@ def test_isolation_forest(spark):
     rng = np.random.default_rng(1)
     points = np.vstack([rng.normal(0, 1, (600, 3)), rng.normal(9, 0.5, (12, 3))])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "row_id int, a double, b double, c double")
-    stages, *_ = train.fit_preparation(df, df, ["a", "b", "c"])
-    vectors = train.PipelineModel(stages).transform(df)
+    vectors = train.fit_preparation(df, ["a", "b", "c"], "row_id").transform(df)
     model = forest.fit_isolation_forest(vectors, "row_id", trees=40)
     scored = forest.isolation_scores(model, vectors, "row_id")
     flagged = forest.flag_share(scored, 12 / 612)
@@ -280,3 +279,35 @@ def test_repair_loses_no_row(spark, ill):
     report = repair.greedy_repair(samples, pool, result.detector.score, features, "row_id", "row_id")
     found = sorted(r["row_id"] for r in report.collect())
     assert found == sorted(r["row_id"] for r in samples.collect())
+
+
+def test_long_paths_are_explained():
+    rng = np.random.default_rng(7)
+    shares, follows = rng.uniform(0.1, 0.9, 14), rng.random((14, 5)) < 0.6
+    got = explain._leaf_values(follows, shares, 2.0)
+    for row in range(5):
+        game = np.ones(1)
+        # Worth of every set of known features, the j-th being known in the upper half.
+        for known, share in zip(follows[:, row], shares):
+            game = np.concatenate([game * share, game * known])
+        sets = np.arange(1 << 14)
+        sizes = np.array([bin(s).count("1") for s in sets])
+        for j in range(14):
+            without = sets[(sets >> j) & 1 == 0]
+            chance = np.array([factorial(s) * factorial(13 - s) / factorial(14) for s in sizes[without]])
+            wanted = 2.0 * np.sum(chance * (game[without | 1 << j] - game[without]))
+            assert got[j, row] == pytest.approx(wanted)
+
+
+@pytest.mark.parametrize("size", [511, 513, 2001])
+def test_any_number_of_categories_is_ranked(spark, size):
+    df = spark.range(4 * size).select(
+        F.concat(F.lit("v"), (F.col("id") % size).cast("string")).alias("c"),
+        (F.col("id") % size >= size // 2).cast("int").alias("y"),
+    )
+    prepared = train.fit_preparation(df, ["c"], "y")
+    ranks = {r["value"]: r["rank"] for r in prepared.ranks.collect()}
+    assert sorted(ranks.values()) == [float(i) for i in range(1, size + 1)]
+    assert max(ranks[f"v{i}"] for i in range(size // 2)) < min(ranks[f"v{i}"] for i in range(size // 2, size))
+    unseen = prepared.transform(spark.createDataFrame([("new",), (None,)], "c string"))
+    assert [r["vector"].toArray()[0] for r in unseen.collect()] == [0.0, 0.0]

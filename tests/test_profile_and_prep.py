@@ -48,10 +48,12 @@ def test_bracketed_quantiles_equal_sorting(spark):
     b = rng.integers(0, 50, 30_000).astype(float)
     df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double")
     probs = [0.0, 0.02, 0.05, 0.25, 0.5, 0.75, 0.95, 0.98, 1.0]
-    for small in (0, 10**9):
-        got = exact_quantiles(df, ["a", "b"], probs, small)
-        assert np.allclose(got["a"], np.quantile(a, probs))
-        assert np.allclose(got["b"], np.quantile(b, probs))
+    got = exact_quantiles(df, ["a", "b"], probs)
+    assert np.allclose(got["a"], np.quantile(a, probs))
+    assert np.allclose(got["b"], np.quantile(b, probs))
+    for n in (1, 2, 3, 7, 101, 5_003):
+        short = exact_quantiles(spark.createDataFrame([(float(v),) for v in a[:n]], "a double"), ["a"], [0.01, 0.3, 0.5, 0.7, 0.99])
+        assert np.allclose(short["a"], np.quantile(a[:n], [0.01, 0.3, 0.5, 0.7, 0.99]))
 
 
 def test_numeric_scale_fallbacks(spark):
