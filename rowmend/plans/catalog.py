@@ -90,6 +90,12 @@ def scored_csv_sink(spark, sf):
     return csv.csv_scan(spark, path)
 
 
+def scored_csv_anomalies(spark, sf):
+    path = storage.fresh_path(spark, "anomalies")
+    sinks.write_scored_csv(batch_detect(spark, sf), path, anomalies_only=True)
+    return csv.csv_scan(spark, path)
+
+
 def repair_report_sink(spark, sf):
     paths = sinks.write_repair_report(frozen_repair(spark, sf), storage.fresh_path(spark, "repair"), KEY)
     return csv.csv_scan(spark, paths["changes"]).select(
@@ -109,6 +115,17 @@ def load_state(spark, sf):
     return state.load_state(spark, path).normal_rows
 
 
+def saved_scores(spark, sf):
+    """Whether a saved and loaded detector scores every test row as before."""
+    result = trained(spark, sf)
+    path = state.save_state(result, storage.fresh_path(spark, "state"))
+    saved = state.load_state(spark, path)
+    before = result.detector.score(result.test_rows).select(KEY, F.col("score").alias("before"), "pred")
+    after = saved.detector.score(saved.test_rows).select(KEY, "score", F.col("pred").alias("after_pred"))
+    same = (F.col("before") == F.col("score")) & (F.col("pred") == F.col("after_pred"))
+    return before.join(after, KEY, "full").select(KEY, F.coalesce(same, F.lit(False)).cast("int").alias("same"))
+
+
 # --- profiling ---------------------------------------------------------------------------
 
 
@@ -138,6 +155,22 @@ def target_check(spark, sf):
     return profile.target_check(views.orders_mixed(spark, sf), "label", strict=False)
 
 
+def target_check_failures(spark, sf):
+    """One failing target per rule: continuous, with gaps, of one class, with a class of one row."""
+    orders = views.orders_mixed(spark, sf).withColumn("only", F.lit(1))
+    first = orders.agg(F.min(KEY)).first()[0]
+    orders = orders.withColumn("rare", (F.col(KEY) == F.lit(first)).cast("int"))
+    checks = [(orders, "o_totalprice"), (views.customer_missing(spark, sf), "c_mktsegment"), (orders, "only"),
+              (orders, "rare")]
+    rows = None
+    for table, target in checks:
+        row = profile.target_check(table, target, strict=False).select(
+            "target", "n_rows", "missing_count", "unique_count", "min_class_count", "code", "reason"
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 # --- preparation -------------------------------------------------------------------------
 
 
@@ -370,6 +403,16 @@ def attribute_rows(spark, sf):
     return explain.attribute_rows(trained(spark, sf).detector, views.orders_mixed(spark, sf), KEY)
 
 
+def attribution_sums(spark, sf):
+    """Whether base and contributions of every row add up to its margin."""
+    parts = attribute_rows(spark, sf)
+    total = F.col("base") + F.col("total")
+    return parts.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("features"), F.sum("contribution").alias("total"), F.first("base").alias("base"),
+        F.first("margin").alias("margin"),
+    ).select(KEY, "features", (F.abs(total - F.col("margin")) < 1e-6).cast("int").alias("adds_up"))
+
+
 def top_positive_features(spark, sf):
     top = explain.top_positive_features(frozen_contributions(views.orders_mixed(spark, sf)), KEY)
     return top.withColumn("contribution", F.round("contribution", 9))
@@ -386,6 +429,11 @@ def batch_detect(spark, sf):
     return detect.batch_detect(flagged(spark, sf).drop("label"), KEY)
 
 
+def batch_detect_range(spark, sf):
+    """Rows 100 to 400 in key order, both included."""
+    return detect.batch_detect(flagged(spark, sf).drop("label"), KEY, 100, 400)
+
+
 def batch_detect_trained(spark, sf):
     rows = views.orders_mixed(spark, sf).select(KEY, *FEATURES)
     return detect.batch_detect(trained(spark, sf).detector.score(rows), KEY)
@@ -417,6 +465,16 @@ def suggest_repairs(spark, sf):
     return suggest.suggest_repairs(result.detector, rows, result.normal_rows, KEY, KEY)
 
 
+def suggest_repairs_frozen(spark, sf):
+    """Suggestions from the frozen contributions instead of a model's."""
+    rows = anomalies(spark, sf).select(KEY, *FEATURES)
+    top = explain.top_positive_features(frozen_contributions(rows), KEY)
+    found, features = _gower(spark, sf)
+    suggested = consensus.suggested_values(found, features, KEY)
+    joined = suggest.join_suggestions(top, suggested, rows, KEY, FEATURES, suggest.NEIGHBOURS)
+    return joined.drop("current").withColumn("impact", F.round("impact", 9))
+
+
 def _applied(spark, sf):
     rows = anomalies(spark, sf).select(KEY, *FEATURES)
     top = explain.top_positive_features(frozen_contributions(rows), KEY)
@@ -477,6 +535,15 @@ def greedy_repair(spark, sf):
     return flat_report(frozen_repair(spark, sf))
 
 
+def greedy_repair_dry(spark, sf):
+    """The repair of all orders as a dry run: states, no change."""
+    pool = healthy(spark, sf)
+    report = repair.greedy_repair(
+        flagged(spark, sf), pool, frozen_score, frozen_features(pool), KEY, KEY, repair.RepairOptions(dry_run=True)
+    )
+    return flat_report(report)
+
+
 def greedy_repair_trained(spark, sf):
     result = trained(spark, sf)
     detector = result.detector
@@ -578,7 +645,8 @@ def epoch_ms(spark, sf):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        csv_scan, head_preview, scored_csv_sink, repair_report_sink, save_state, load_state,
+        csv_scan, head_preview, scored_csv_sink, scored_csv_anomalies, saved_scores, target_check_failures,
+        attribution_sums, batch_detect_range, suggest_repairs_frozen, greedy_repair_dry, repair_report_sink, save_state, load_state,
         table_overview, missing_report, numeric_describe, category_distribution, target_distribution, target_check,
         drop_columns, mean_impute, row_filter, label_encode, one_hot, standardise, stratified_split,
         validation_split, random_split, class_weights, healthy_pool, discrete_columns,

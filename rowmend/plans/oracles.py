@@ -291,6 +291,34 @@ def all_oracles() -> dict[str, str]:
         "head_preview": f"with {ORDERS} select row_id, {LIST} from om order by row_id limit 5",
         "scored_csv_sink": f"""with {DETECTED} select * replace (o_month::bigint as o_month,
             c_nationkey::bigint as c_nationkey, prediction::bigint as prediction) from bd""",
+        "scored_csv_anomalies": f"""with {DETECTED} select * replace (o_month::bigint as o_month,
+            c_nationkey::bigint as c_nationkey, prediction::bigint as prediction) from bd where prediction = 1""",
+        "saved_scores": f"with {TRAIN} select row_id, 1::int as same from train where is_train = 0",
+        "attribution_sums": f"with {ORDERS} select row_id, {len(FEATURES)}::bigint as features, 1::int as adds_up from om",
+        "target_check_failures": f"""with {ORDERS}, {CUSTOMERS}, v as (
+              select 'o_totalprice' as target, o_totalprice::varchar as v from om
+              union all select 'c_mktsegment', c_mktsegment from cm
+              union all select 'only', '1' from om
+              union all select 'rare', (row_id = (select min(row_id) from om))::varchar from om),
+            g as (select target, v, count(*) as n from v group by target, v)
+            select target, sum(n)::bigint as n_rows, coalesce(sum(n) filter (v is null), 0)::bigint as missing_count,
+                   count(v) as unique_count, min(n) filter (v is not null) as min_class_count,
+                   case target when 'o_totalprice' then 'UNSUPPORTED_TARGET_TYPE' else 'INVALID_INPUT' end as code,
+                   case target when 'o_totalprice' then 'target looks continuous'
+                               when 'c_mktsegment' then 'target has missing values'
+                               when 'only' then 'target has fewer than two classes'
+                               else 'a class has fewer than two rows' end as reason
+            from g group by target""",
+        "batch_detect_range": f"""with {DETECTED} select * from (
+            select *, row_number() over (order by row_id) - 1 as sample_id from bd) where sample_id between 100 and 400""",
+        "suggest_repairs_frozen": f"""with {SUGGESTED}, {CONTRIBUTIONS}, {TOP}
+            select sg.row_id, sg.feature, tp.place, sg.suggested_number, sg.suggested_text,
+                   round(tp.contribution, 9) as impact, 'agreed by the 5 nearest healthy rows' as reason
+            from sg join tp on sg.row_id = tp.row_id and sg.feature = tp.feature""",
+        "greedy_repair_dry": f"""with {FLAGGED} select row_id,
+            {', '.join(f"round({c}, 6) as {c}" if c in ("o_totalprice", "c_acctbal") else c for c in FEATURES)},
+            case when pred = 1 then 'anomaly_detected' else 'already_normal' end as status,
+            round(score, 6) as before_score, round(score, 6) as after_score, 0::int as applied_changes, '' as changed from fl""",
         "table_overview": f"""with {LINES} select count(*) as n_rows, 7::bigint as n_columns,
             (count(*) * 7 - count(l_linenumber) - count(l_quantity) - count(l_extendedprice) - count(l_discount)
              - count(l_tax) - count(l_returnflag) - count(l_linestatus))::bigint as missing_cells,
