@@ -8,18 +8,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmend.llm import blobs, tables
-from rowmend.llm.text import pieces
+from rowmend.llm.text import flat, pieces
 
 BLOCK_IDS = 2_000_000
-CACHE = 600_000
+# Words that the library gets in one text.
+GROUP = 50
+SLICE_BYTES = 16 << 20
 # A pair becomes a rule if it occurs this often in its block; so many at most in a round.
 LEAST_COUNT = 16
 RULES_A_ROUND = 8_192
 ROUNDS = 6
+SLOT_BITS = 20
 
 FILE_SCHEMA = (
     "part int, block int, n_ids bigint, doc_ids array<{id}>, doc_ends binary, first_rule bigint, "
@@ -42,8 +46,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         if len(sequence) < 2:
             break
         pairs = sequence[:-1] << 32 | sequence[1:]
-        ordered = np.sort(pairs)
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        # A slot is at least as frequent as each of its pairs, so rare slots need no sort.
+        slots = _slots(pairs)
+        ordered = np.sort(pairs[(np.bincount(slots, minlength=1 << SLOT_BITS) >= least)[slots]])
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(ordered)]
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
@@ -51,26 +57,20 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         # Most frequent first, smaller pair among equals; the place is the rank.
         chosen = often[np.lexsort((ordered[starts[often]], -counts[often]))[:RULES_A_ROUND]]
         keys = ordered[starts[chosen]]
-        by_key = np.argsort(keys)
-        ordered_keys = keys[by_key]
-        begins, ends = np.zeros(first + rules, bool), np.zeros(first + rules, bool)
-        begins[keys >> 32] = True
-        ends[keys & 0xFFFFFFFF] = True
-        likely = np.flatnonzero(begins[sequence[:-1]] & ends[sequence[1:]])
-        slot = np.minimum(np.searchsorted(ordered_keys, pairs[likely]), len(keys) - 1)
-        rank = np.full(len(pairs), len(keys))
-        rank[likely] = np.where(ordered_keys[slot] == pairs[likely], by_key[slot], len(keys))
+        found, rank = _ranks(pairs, slots, keys)
+        beside = np.diff(found) == 1
         # Of overlapping occurrences of one pair (a run of one id) every second is taken.
-        new_run = np.concatenate(([True], rank[1:] != rank[:-1]))
-        place = np.arange(len(rank))
-        within = place - np.maximum.accumulate(np.where(new_run, place, 0))
-        take = (rank < len(keys)) & (within % 2 == 0)
-        take[1:] &= (rank[1:] < rank[:-1]) | ~new_run[1:]
-        take[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(take)
-        used, number = np.unique(rank[at], return_inverse=True)
+        new_run = np.concatenate(([True], ~beside | (rank[1:] != rank[:-1])))
+        within = found - np.maximum.accumulate(np.where(new_run, found, 0))
+        take = within % 2 == 0
+        take[1:] &= ~beside | (rank[1:] < rank[:-1]) | ~new_run[1:]
+        take[:-1] &= ~beside | (rank[:-1] <= rank[1:])
+        at = found[take]
+        used, number = np.unique(rank[take], return_inverse=True)
         sequence[at] = first + rules + number
-        sequence = np.delete(sequence, at + 1)
+        stays = np.ones(len(sequence), bool)
+        stays[at + 1] = False
+        sequence = sequence[stays]
         lefts.append(keys[used] >> 32)
         rights.append(keys[used] & 0xFFFFFFFF)
         rules += len(used)
@@ -78,6 +78,33 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
     return {"first": first, "left": left, "right": right, "lengths": lengths_of(left, right, first), "sequence": sequence}
 
 
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def _ranks(pairs: np.ndarray, slots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``pairs`` holds one of ``keys``, ascending, and the place of that key."""
+    own = _slots(keys)
+    table = np.full(1 << SLOT_BITS, -1, np.int32)
+    table[own[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
+    rank = table[slots]
+    found = np.flatnonzero(rank >= 0)
+    rank = rank[found].astype(np.int64)
+    wrong = np.flatnonzero(keys[rank] != pairs[found])
+    # Keys that share their slot with a more frequent one are searched for among the rest.
+    others = np.flatnonzero(table[own] != np.arange(len(keys)))
+    others = others[np.argsort(keys[others])]
+    keep = np.ones(len(found), bool)
+    keep[wrong] = False
+    if len(others) and len(wrong):
+        wanted = pairs[found[wrong]]
+        near = np.minimum(np.searchsorted(keys[others], wanted), len(others) - 1)
+        hit = keys[others[near]] == wanted
+        rank[wrong[hit]] = others[near[hit]]
+        keep[wrong[hit]] = True
+    return found[keep], rank[keep]
+
+
 def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
     """How many ids each rule stands for; a rule uses earlier ones only."""
     out = np.ones(len(left), np.int64)
@@ -90,18 +117,34 @@ def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
-    """Ids of a run of symbols: every pass opens all nonterminals once."""
+    """Ids of a run of symbols: the rules in use are opened pass by pass, then copied to their places."""
     symbols = symbols.astype(np.int64)
-    while len(symbols) and (inner := symbols >= first).any():
-        sizes = 1 + inner
+    inner = symbols >= first
+    if not inner.any():
+        return symbols
+    rules, number = np.unique(symbols[inner], return_inverse=True)
+    opened, owner = rules, np.arange(len(rules))
+    while (closed := opened >= first).any():
+        sizes = 1 + closed
         ends = np.cumsum(sizes)
-        opened = np.empty(int(ends[-1]), np.int64)
-        rule = symbols[inner] - first
-        opened[(ends - sizes)[~inner]] = symbols[~inner]
-        opened[(ends - sizes)[inner]] = left[rule]
-        opened[(ends - 1)[inner]] = right[rule]
-        symbols = opened
-    return symbols
+        wider = np.empty(int(ends[-1]), np.int64)
+        wider[(ends - sizes)[~closed]] = opened[~closed]
+        wider[(ends - sizes)[closed]] = left[opened[closed] - first]
+        wider[(ends - 1)[closed]] = right[opened[closed] - first]
+        opened, owner = wider, np.repeat(owner, sizes)
+    lengths = np.bincount(owner, minlength=len(rules))
+    begins = np.cumsum(lengths) - lengths
+    # Ids that stand for themselves follow the opened rules in one array.
+    sizes, source = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    sizes[inner], source[inner] = lengths[number], begins[number]
+    source[~inner] = len(opened) + np.arange(len(symbols) - int(inner.sum()))
+    return np.concatenate((opened, symbols[~inner]))[copied(source, sizes)]
+
+
+def copied(source: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``source`` and have ``sizes``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(source - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def read_range(grammar: dict, start: int, stop: int) -> np.ndarray:
@@ -120,37 +163,104 @@ def read_range(grammar: dict, start: int, stop: int) -> np.ndarray:
 class WordEncoder:
     """Ids of texts through a tokenizer that never joins over ASCII white space.
 
-    Each distinct word is encoded once by the library and kept in a bounded cache; the ids
-    of a text are those of its words in order. ``split`` off encodes whole texts, for
-    tokenizers that see the space between words.
+    Arrow splits a slice of texts and numbers its distinct words; the library encodes each
+    of these once, and the ids of a text are those of its words in order. Nothing is kept
+    between slices. ``split`` off encodes whole texts, for tokenizers that see the space
+    between words.
+
+    The words go to the library many at a time, with ``BREAK`` between them, a digit that
+    such tokenizers keep apart from its neighbours and that has one id. Words that contain
+    it, and all words of a tokenizer that treats it otherwise, are encoded one by one. A
+    tokenizer that ignores case gets lower-case ASCII, and one that keeps marks apart from
+    letters gets a word and the full stop or comma behind it as two words, so that fewer
+    are distinct.
     """
 
+    BREAK = "0"
+
     def __init__(self, path: str, split: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = split
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None], end: bytes = b"") -> list[bytes]:
-        """Little-endian 32-bit ids of each text, then ``end``."""
-        words = [(t or "").encode().split() if self.split else [(t or "").encode()] for t in texts]
-        if len(self.known) > CACHE:
-            # Words that come again are taken over from the older half.
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = {w for text in words for w in text if w not in known}
-        known.update((w, older[w]) for w in missing if w in older)
-        new = list(missing.difference(older))
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, found in zip(part, coded):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, text)) + end for text in words]
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        mark = self._ids(["0"])[0].tolist()
+        self.mark = mark[0] if len(mark) == 1 and self._same("a0b'0.0'0c", ["a", "0", "b'", "0", ".", "0", "'", "0", "c"]) else None
+        self.lowers = self._same(letters.upper(), [letters]) and all(self._same(c.upper(), [c]) for c in letters)
+        self.apart = all(self._same(f"{c}{m}", [c, m]) for c in f"{letters}123456789" for m in ".,")
+
+    def _same(self, text: str, parts: list[str]) -> bool:
+        whole, *single = self._ids([text, *parts])
+        return np.array_equal(whole, np.concatenate(single))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(found.ids, "<u4") for found in coded]
+
+    def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, one word after the other, and how many each has."""
+        texts, found = words.to_pylist(), [np.empty(0, "<u4")]
+        for a in range(0, len(texts), 10_000):
+            found += self._ids(texts[a : a + 10_000])
+        return np.concatenate(found), np.array([len(ids) for ids in found[1:]], np.int64)
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without ``BREAK``."""
+        edges = pa.array(np.append(np.arange(0, len(words), GROUP), len(words)), pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(edges, words), self.BREAK).to_pylist()
+        found = []
+        for a in range(0, len(texts), 1_000):
+            for ids in self._ids(texts[a : a + 1_000]):
+                found += [ids, np.array([self.mark], "<u4")]
+        ids = np.concatenate(found)
+        cuts = np.flatnonzero(ids == self.mark)
+        if len(cuts) != len(words):
+            return self._each(words)
+        return ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the words, where those of each word begin and how many they are."""
+        if self.mark is None:
+            ids, sizes = self._each(words)
+            return ids, np.cumsum(sizes) - sizes, sizes
+        holds = pc.match_substring(words, self.BREAK)
+        alone = holds.to_numpy(zero_copy_only=False).astype(bool)
+        sizes, begins, parts, before = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        for mask, places, work in ((pc.invert(holds), ~alone, self._joined), (holds, alone, self._each)):
+            if places.any():
+                ids, own = work(words.filter(mask))
+                sizes[places], begins[places] = own, np.cumsum(own) - own + before
+                parts.append(ids)
+                before += len(ids)
+        return np.concatenate([*parts, np.empty(0, "<u4")]), begins, sizes
+
+    def encode(self, texts: pa.Array | list[str | None], end: bytes = b"") -> list[bytes]:
+        """Little-endian 32-bit ids of each text, then ``end``; null is the empty text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.split:
+            return [ids.tobytes() + end for ids in self._ids(pc.fill_null(column, "").to_pylist())]
+        # A slice gets offsets of its own first; Arrow's lower case reads past those of a larger array.
+        data, offsets = flat(column)
+        column = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(data))
+        if self.lowers:
+            column = pc.ascii_lower(column)
+        if self.apart:
+            column = pc.replace_substring_regex(column, "([A-Za-z1-9])([.,])([ \t\n\v\f\r]|$)", r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(column)
+        numbered = parts.flatten().dictionary_encode()
+        ids, begins, sizes = self._distinct(numbered.dictionary.cast(pa.string()))
+        # The end of a text counts as one more word behind its own ones.
+        begins, sizes = np.append(begins, len(ids)), np.append(sizes, len(end) // 4)
+        ids = np.concatenate((ids, np.frombuffer(end, "<u4")))
+        edges = parts.offsets.to_numpy().astype(np.int64)
+        edges = edges - edges[0]
+        codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.insert(codes, edges[1:], len(sizes) - 1)
+        lengths = sizes[codes]
+        ids = ids[copied(begins[codes], lengths)]
+        totals = np.concatenate(([0], np.cumsum(lengths)))[edges + np.arange(len(edges))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(totals, totals[1:])]
 
 
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
@@ -191,9 +301,9 @@ def write_grammars(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer, split), TaskContext.get().partitionId()
         ids, coded, size, number, kind = [], [], 0, 0, pa.int64()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SLICE_BYTES):
             kind = batch.column("id").type
-            for i, c in zip(batch.column("id").to_pylist(), own.encode(batch.column("text").to_pylist(), end)):
+            for i, c in zip(batch.column("id").to_pylist(), own.encode(batch.column("text"), end)):
                 ids.append(i)
                 coded.append(c)
                 size += len(c) // 4
