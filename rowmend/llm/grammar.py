@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +68,8 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         take[1:] &= ~beside | (rank[1:] < rank[:-1]) | ~new_run[1:]
         take[:-1] &= ~beside | (rank[:-1] <= rank[1:])
         at = found[take]
-        used, number = np.unique(rank[take], return_inverse=True)
+        taken = rank[take]
+        used, number = _numbered(taken, len(keys))
         sequence[at] = first + rules + number
         stays = np.ones(len(sequence), bool)
         stays[at + 1] = False
@@ -78,6 +81,13 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
     return {"first": first, "left": left, "right": right, "lengths": lengths_of(left, right, first), "sequence": sequence}
 
 
+def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values below ``limit``, ascending, and the place of each value among them."""
+    seen = np.zeros(limit, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+
+
 def _slots(pairs: np.ndarray) -> np.ndarray:
     return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
@@ -122,7 +132,8 @@ def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int)
     inner = symbols >= first
     if not inner.any():
         return symbols
-    rules, number = np.unique(symbols[inner], return_inverse=True)
+    rules, number = _numbered(symbols[inner] - first, len(left))
+    rules = rules + first
     opened, owner = rules, np.arange(len(rules))
     while (closed := opened >= first).any():
         sizes = 1 + closed
@@ -171,7 +182,8 @@ class WordEncoder:
     The words go to the library many at a time, with ``BREAK`` between them, a digit that
     such tokenizers keep apart from its neighbours and that has one id. Words that contain
     it, and all words of a tokenizer that treats it otherwise, are encoded one by one. A
-    tokenizer that ignores case gets lower-case ASCII, and one that keeps marks apart from
+    tokenizer that ignores case gets lower-case ASCII, words that its normaliser leaves as
+    they are (ASCII ones, if so) skip that step, and one that keeps marks apart from
     letters gets a word and the full stop or comma behind it as two words, so that fewer
     are distinct.
     """
@@ -188,14 +200,20 @@ class WordEncoder:
         mark = self._ids(["0"])[0].tolist()
         self.mark = mark[0] if len(mark) == 1 and self._same("a0b'0.0'0c", ["a", "0", "b'", "0", ".", "0", "'", "0", "c"]) else None
         self.lowers = self._same(letters.upper(), [letters]) and all(self._same(c.upper(), [c]) for c in letters)
+        # The printable ASCII characters without capitals.
+        ascii_marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isupper()]
+        normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        same = all(normalise(c + d) == c + d for c in ascii_marks for d in ascii_marks)
+        rules = json.loads(self.tokenizer.to_str())
+        self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None})) if same and self.lowers else None
         self.apart = all(self._same(f"{c}{m}", [c, m]) for c in f"{letters}123456789" for m in ".,")
 
     def _same(self, text: str, parts: list[str]) -> bool:
         whole, *single = self._ids([text, *parts])
         return np.array_equal(whole, np.concatenate(single))
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _ids(self, texts: list[str], plain: bool = False) -> list[np.ndarray]:
+        coded = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(found.ids, "<u4") for found in coded]
 
     def _each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +223,13 @@ class WordEncoder:
             found += self._ids(texts[a : a + 10_000])
         return np.concatenate(found), np.array([len(ids) for ids in found[1:]], np.int64)
 
-    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words without ``BREAK``."""
+    def _joined(self, words: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words without ``BREAK``; ``plain`` ones need no normaliser."""
         edges = pa.array(np.append(np.arange(0, len(words), GROUP), len(words)), pa.int32())
         texts = pc.binary_join(pa.ListArray.from_arrays(edges, words), self.BREAK).to_pylist()
         found = []
         for a in range(0, len(texts), 1_000):
-            for ids in self._ids(texts[a : a + 1_000]):
+            for ids in self._ids(texts[a : a + 1_000], plain):
                 found += [ids, np.array([self.mark], "<u4")]
         ids = np.concatenate(found)
         cuts = np.flatnonzero(ids == self.mark)
@@ -224,12 +242,13 @@ class WordEncoder:
         if self.mark is None:
             ids, sizes = self._each(words)
             return ids, np.cumsum(sizes) - sizes, sizes
-        holds = pc.match_substring(words, self.BREAK)
-        alone = holds.to_numpy(zero_copy_only=False).astype(bool)
+        alone = pc.match_substring(words, self.BREAK).to_numpy(zero_copy_only=False).astype(bool)
+        simple = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).astype(bool) & ~alone & (self.plain is not None)
         sizes, begins, parts, before = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-        for mask, places, work in ((pc.invert(holds), ~alone, self._joined), (holds, alone, self._each)):
+        ways = ((simple, partial(self._joined, plain=True)), (~simple & ~alone, self._joined), (alone, self._each))
+        for places, work in ways:
             if places.any():
-                ids, own = work(words.filter(mask))
+                ids, own = work(words.filter(pa.array(places)))
                 sizes[places], begins[places] = own, np.cumsum(own) - own + before
                 parts.append(ids)
                 before += len(ids)

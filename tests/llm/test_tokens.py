@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -98,6 +99,34 @@ def plain_files(rows):
     return out
 
 
+def test_word_encoder_equals_the_library():
+    """Marks, digits, case, special tokens and characters that normalise, also in a slice of an array."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    odd = [
+        "", None, " ", "a., b. c, d.. e.,f 1.5. 0. x0. A.B. \u00f1. a.\x0bb,\n", "0 00 a0 'll0 it's0x it's. I'LL,",
+        "<|endoftext|> a<|startoftext|>b <|endoftext|>.", "e\u0301 \u0301x <\u0338 ,\u0338 \u2260 \u212a \u0130I\u0131\u03a3\u03a3",
+        "12:30 x\u3000y S.\u2003T. \u200d\u0345 \u06630\u0663", "word " * 3000,
+    ]
+    whole = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in odd]
+    end = np.array([1], "<u4").tobytes()
+    own = grammar.WordEncoder(WORDS)
+    assert own.mark is not None and own.lowers and own.apart and own.plain is not None
+    assert own.encode(odd, end) == whole
+    assert own.encode(pa.array(["QUITE LONG", *odd]).slice(1), end) == whole
+    own.mark = None
+    assert own.encode(odd, end) == whole
+    assert own.encode([], end) == []
+    assert grammar.WordEncoder(WORDS, split=False).encode(odd, end) == whole
+
+
+def test_pairs_that_share_a_slot(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 40, 20_000)
+    wide = grammar.compress(ids)
+    monkeypatch.setattr(grammar, "SLOT_BITS", 3)
+    narrow = grammar.compress(ids)
+    assert all(np.array_equal(wide[part], narrow[part]) for part in wide)
+
+
 def test_token_files(spark, small_docs, monkeypatch):
     monkeypatch.setattr(grammar, "BLOCK_IDS", 5000)
     rows = sorted(zip(small_docs.doc_id.tolist(), small_docs.text.tolist()))
