@@ -23,12 +23,14 @@ ORDERS = f"""om as (
   from orders join customer on o_custkey = c_custkey)"""
 FLAGGED = f"{ORDERS}, fl as (select *, (score >= 0.5)::int as pred from om)"
 CUSTOMERS = """cm as (
-  select c_custkey, c_nationkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal,
+  select c_custkey, c_name, c_nationkey, case when c_acctbal >= 0 then c_acctbal end as c_acctbal,
          case when c_custkey % 17 <> 0 then c_mktsegment end as c_mktsegment
   from customer)"""
-LINES = """li as (
-  select l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
-  from lineitem)"""
+LINES = "li as (select * from lineitem)"
+LINE_NUMBERS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
+LINE_COLUMNS = [*LINE_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
 DOCS = """dl as (
   select d.doc_id, lang, source, n_chars, 1 - quality as label
   from documents d join labels l on d.doc_id = l.doc_id)"""
@@ -275,7 +277,7 @@ _DESCRIBE = " union all ".join(
         round(min({c}), 2)::double as "min", round(quantile_cont({c}, 0.25), 2) as p25,
         round(quantile_cont({c}, 0.5), 2) as p50, round(quantile_cont({c}, 0.75), 2) as p75,
         round(max({c}), 2)::double as "max" from li"""
-    for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    for c in LINE_NUMBERS
 )
 
 _OUTCOMES = f"""{FLAGGED}, oc as (
@@ -319,20 +321,20 @@ def all_oracles() -> dict[str, str]:
             {', '.join(f"round({c}, 6) as {c}" if c in ("o_totalprice", "c_acctbal") else c for c in FEATURES)},
             case when pred = 1 then 'anomaly_detected' else 'already_normal' end as status,
             round(score, 6) as before_score, round(score, 6) as after_score, 0::int as applied_changes, '' as changed from fl""",
-        "table_overview": f"""with {LINES} select count(*) as n_rows, 7::bigint as n_columns,
-            (count(*) * 7 - count(l_linenumber) - count(l_quantity) - count(l_extendedprice) - count(l_discount)
-             - count(l_tax) - count(l_returnflag) - count(l_linestatus))::bigint as missing_cells,
-            round((count(*) * (4 + 4 * 8) + sum(strlen(l_returnflag) + strlen(l_linestatus))) / 1024.0::double, 6)
+        "table_overview": f"""with {LINES} select count(*) as n_rows, {len(LINE_COLUMNS)}::bigint as n_columns,
+            (count(*) * {len(LINE_COLUMNS)} - {" - ".join(f"count({c})" for c in LINE_COLUMNS)})::bigint as missing_cells,
+            round((count(*) * (4 + 8 * 8) + sum(strlen(l_returnflag) + strlen(l_linestatus))) / 1024.0::double, 6)
               as size_kb from li""",
         "missing_report": f"""with {CUSTOMERS}, m as (
-            select unnest(['c_custkey', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as "column",
-                   unnest([count(*) - count(c_custkey), count(*) - count(c_nationkey), count(*) - count(c_acctbal),
-                           count(*) - count(c_mktsegment)]) as missing_count, count(*) as n from cm)
+            select unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) as "column",
+                   unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey),
+                           count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) as missing_count, count(*) as n from cm)
             select "column", missing_count, round(missing_count / n * 100, 2) as missing_percent
             from m where missing_count > 0""",
         "numeric_describe": f"with {LINES} {_DESCRIBE}",
         "category_distribution": f"""with {CUSTOMERS}, u as (
             select 'c_mktsegment' as "column", c_mktsegment as value from cm
+            union all select 'c_name', c_name from cm
             union all select 'nation', c_nationkey::varchar from cm)
             select "column", value, count(*) as n,
                    round(count(*) / (select count(*) from cm) * 100, 2) as percent
@@ -349,7 +351,7 @@ def all_oracles() -> dict[str, str]:
                    count(label) as unique_count, round(count(label) / sum(n) filter (label is not null), 6) as unique_ratio,
                    min(n) filter (label is not null) as min_class_count, 'OK' as code, '' as reason, '' as suggestion from g""",
         "drop_columns": f"with {ORDERS} select {LIST}, score from om",
-        "mean_impute": f"""with {CUSTOMERS} select c_custkey, c_nationkey,
+        "mean_impute": f"""with {CUSTOMERS} select c_custkey, c_name, c_nationkey,
             round(coalesce(c_acctbal, avg(c_acctbal) over ()), 6) as c_acctbal, c_mktsegment from cm""",
         "row_filter": f"with {CUSTOMERS} select * from cm where c_mktsegment is distinct from 'MACHINERY'",
         "label_encode": f"""with {CUSTOMERS} select *,

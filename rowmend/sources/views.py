@@ -54,17 +54,14 @@ def docs_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey", "c_nationkey",
+        "c_custkey", "c_name", "c_nationkey",
         "case when c_acctbal >= 0 then c_acctbal end as c_acctbal",
         "case when c_custkey % 17 <> 0 then c_mktsegment end as c_mktsegment",
     )
 
 
 def lineitem_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    )
+    return table(spark, sf_dir, "lineitem")
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
