@@ -19,7 +19,8 @@ from rowmend.llm.text import flat, pieces
 
 BLOCK_IDS = 2_000_000
 # Words that the library gets in one text.
-GROUP = 50
+GROUP = 100
+CACHE = 800_000
 SLICE_BYTES = 16 << 20
 # A pair becomes a rule if it occurs this often in its block; so many at most in a round.
 LEAST_COUNT = 16
@@ -175,9 +176,10 @@ class WordEncoder:
     """Ids of texts through a tokenizer that never joins over ASCII white space.
 
     Arrow splits a slice of texts and numbers its distinct words; the library encodes each
-    of these once, and the ids of a text are those of its words in order. Nothing is kept
-    between slices. ``split`` off encodes whole texts, for tokenizers that see the space
-    between words.
+    of these once, and the ids of a text are those of its words in order. Words of earlier
+    slices are kept as Arrow and numpy columns up to ``CACHE`` of them; then those of the
+    present slice alone stay. ``split`` off encodes whole texts, for tokenizers that see
+    the space between words.
 
     The words go to the library many at a time, with ``BREAK`` between them, a digit that
     such tokenizers keep apart from its neighbours and that has one id. Words that contain
@@ -196,6 +198,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = split
+        self.words = pa.array([], pa.string())
+        self.ids = np.empty(0, "<u4")
+        self.begins, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         letters = "abcdefghijklmnopqrstuvwxyz"
         mark = self._ids(["0"])[0].tolist()
         self.mark = mark[0] if len(mark) == 1 and self._same("a0b'0.0'0c", ["a", "0", "b'", "0", ".", "0", "'", "0", "c"]) else None
@@ -254,6 +259,27 @@ class WordEncoder:
                 before += len(ids)
         return np.concatenate([*parts, np.empty(0, "<u4")]), begins, sizes
 
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as ``_distinct``, with the library called for new words only."""
+        place = pc.index_in(words, value_set=self.words)
+        new = place.is_null().to_numpy(zero_copy_only=False).astype(bool)
+        unseen = words.filter(pa.array(new))
+        ids, own_begins, own_sizes = self._distinct(unseen)
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins[new], sizes[new] = own_begins + len(self.ids), own_sizes
+        old = place.drop_null().to_numpy(zero_copy_only=False)
+        begins[~new], sizes[~new] = self.begins[old], self.sizes[old]
+        ids = np.concatenate((self.ids, ids))
+        if len(self.words) + len(unseen) <= CACHE:
+            self.words, self.ids = pa.concat_arrays([self.words, unseen]), ids
+            self.begins, self.sizes = np.append(self.begins, begins[new]), np.append(self.sizes, sizes[new])
+        else:
+            kept = words if len(words) <= CACHE else words.slice(0, 0)
+            self.words, self.sizes = kept, sizes[: len(kept)]
+            self.begins = np.cumsum(self.sizes) - self.sizes
+            self.ids = ids[copied(begins[: len(kept)], self.sizes)]
+        return ids, begins, sizes
+
     def encode(self, texts: pa.Array | list[str | None], end: bytes = b"") -> list[bytes]:
         """Little-endian 32-bit ids of each text, then ``end``; null is the empty text."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -268,7 +294,7 @@ class WordEncoder:
             column = pc.replace_substring_regex(column, "([A-Za-z1-9])([.,])([ \t\n\v\f\r]|$)", r"\1 \2\3")
         parts = pc.ascii_split_whitespace(column)
         numbered = parts.flatten().dictionary_encode()
-        ids, begins, sizes = self._distinct(numbered.dictionary.cast(pa.string()))
+        ids, begins, sizes = self._looked_up(numbered.dictionary.cast(pa.string()))
         # The end of a text counts as one more word behind its own ones.
         begins, sizes = np.append(begins, len(ids)), np.append(sizes, len(end) // 4)
         ids = np.concatenate((ids, np.frombuffer(end, "<u4")))

@@ -99,7 +99,7 @@ def plain_files(rows):
     return out
 
 
-def test_word_encoder_equals_the_library():
+def test_word_encoder_equals_the_library(monkeypatch):
     """Marks, digits, case, special tokens and characters that normalise, also in a slice of an array."""
     tokenizer = Tokenizer.from_file(WORDS)
     odd = [
@@ -113,6 +113,12 @@ def test_word_encoder_equals_the_library():
     assert own.mark is not None and own.lowers and own.apart and own.plain is not None
     assert own.encode(odd, end) == whole
     assert own.encode(pa.array(["QUITE LONG", *odd]).slice(1), end) == whole
+    for most in (0, 5, 12, 1000):
+        monkeypatch.setattr(grammar, "CACHE", most)
+        for _ in range(2):
+            assert [own.encode([t], end)[0] for t in odd] == whole
+            assert own.encode(odd, end) == whole
+    own = grammar.WordEncoder(WORDS)
     own.mark = None
     assert own.encode(odd, end) == whole
     assert own.encode([], end) == []
