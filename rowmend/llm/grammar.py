@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -184,10 +185,12 @@ class WordEncoder:
     The words go to the library many at a time, with ``BREAK`` between them, a digit that
     such tokenizers keep apart from its neighbours and that has one id. Words that contain
     it, and all words of a tokenizer that treats it otherwise, are encoded one by one. A
-    tokenizer that ignores case gets lower-case ASCII, words that its normaliser leaves as
-    they are (ASCII ones, if so) skip that step, and one that keeps marks apart from
-    letters gets a word and the full stop or comma behind it as two words, so that fewer
-    are distinct.
+    tokenizer that ignores case gets words of ASCII alone in lower case, as these cannot
+    compose with a mark; other words and those with the text of a special token in any
+    spelling stay as they are, since special tokens and compositions are found before case
+    is dropped. Words that its normaliser leaves as they are (ASCII ones without capitals,
+    if so) skip that step, and one that keeps marks apart from letters gets a word and the
+    full stop or comma behind it as two words, so that fewer are distinct.
     """
 
     BREAK = "0"
@@ -210,6 +213,7 @@ class WordEncoder:
         normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
         same = all(normalise(c + d) == c + d for c in ascii_marks for d in ascii_marks)
         rules = json.loads(self.tokenizer.to_str())
+        self.special = "|".join(re.escape(t["content"]) for t in rules.get("added_tokens") or [])
         self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None})) if same and self.lowers else None
         self.apart = all(self._same(f"{c}{m}", [c, m]) for c in f"{letters}123456789" for m in ".,")
 
@@ -248,7 +252,8 @@ class WordEncoder:
             ids, sizes = self._each(words)
             return ids, np.cumsum(sizes) - sizes, sizes
         alone = pc.match_substring(words, self.BREAK).to_numpy(zero_copy_only=False).astype(bool)
-        simple = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).astype(bool) & ~alone & (self.plain is not None)
+        simple = pc.and_(pc.string_is_ascii(words), pc.equal(words, pc.ascii_lower(words)))
+        simple = simple.to_numpy(zero_copy_only=False).astype(bool) & ~alone & (self.plain is not None)
         sizes, begins, parts, before = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         ways = ((simple, partial(self._joined, plain=True)), (~simple & ~alone, self._joined), (alone, self._each))
         for places, work in ways:
@@ -259,6 +264,13 @@ class WordEncoder:
                 before += len(ids)
         return np.concatenate([*parts, np.empty(0, "<u4")]), begins, sizes
 
+    def _lowered(self, words: pa.Array) -> pa.Array:
+        """The words with those in lower case whose ids cannot depend on it."""
+        free = pc.string_is_ascii(words)
+        if self.special:
+            free = pc.and_not(free, pc.match_substring_regex(words, self.special, ignore_case=True))
+        return pc.if_else(free, pc.ascii_lower(words), words)
+
     def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same as ``_distinct``, with the library called for new words only."""
         place = pc.index_in(words, value_set=self.words)
@@ -285,22 +297,23 @@ class WordEncoder:
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.split:
             return [ids.tobytes() + end for ids in self._ids(pc.fill_null(column, "").to_pylist())]
-        # A slice gets offsets of its own first; Arrow's lower case reads past those of a larger array.
+        # A slice gets offsets of its own first; Arrow's text functions read past those of a larger array.
         data, offsets = flat(column)
         column = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(data))
-        if self.lowers:
-            column = pc.ascii_lower(column)
         if self.apart:
             column = pc.replace_substring_regex(column, "([A-Za-z1-9])([.,])([ \t\n\v\f\r]|$)", r"\1 \2\3")
         parts = pc.ascii_split_whitespace(column)
         numbered = parts.flatten().dictionary_encode()
-        ids, begins, sizes = self._looked_up(numbered.dictionary.cast(pa.string()))
+        words, codes = numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if self.lowers:
+            merged = self._lowered(words).dictionary_encode()
+            words, codes = merged.dictionary, merged.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        ids, begins, sizes = self._looked_up(words.cast(pa.string()))
         # The end of a text counts as one more word behind its own ones.
         begins, sizes = np.append(begins, len(ids)), np.append(sizes, len(end) // 4)
         ids = np.concatenate((ids, np.frombuffer(end, "<u4")))
         edges = parts.offsets.to_numpy().astype(np.int64)
         edges = edges - edges[0]
-        codes = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         codes = np.insert(codes, edges[1:], len(sizes) - 1)
         lengths = sizes[codes]
         ids = ids[copied(begins[codes], lengths)]

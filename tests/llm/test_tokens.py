@@ -125,6 +125,22 @@ def test_word_encoder_equals_the_library(monkeypatch):
     assert grammar.WordEncoder(WORDS, split=False).encode(odd, end) == whole
 
 
+def test_case_is_dropped_last():
+    """Special tokens in other spellings, and capitals that compose in lower case only."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    odd = [
+        "<|ENDOFTEXT|>", "a<|EndOfText|>b.", "<|endoftext|> <|STARTOFTEXT|>0 <|endofTEXT|>, <|endoftext|>X X<|endoftext|>",
+        "<| <|END OF|> <|ENDOF", "H\u0331awwa", "J\u030c T\u0308 W\u030a Y\u030a h\u0331 j\u030c", "NA\u0308IVE \u00c4. \u0130X \u1e9e \u2126 \u212b",
+        "PLAIN Plain plain PLAIN, plain.", *(f"{c}{chr(m)}x" for c in "ABCHIJKSTWYZ" for m in range(0x300, 0x345)),
+    ]
+    whole = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    own = grammar.WordEncoder(WORDS)
+    assert own.lowers and own.plain is not None
+    assert own.encode(odd) == whole
+    assert own.encode(odd[::-1]) == whole[::-1]
+    assert [own.encode([t])[0] for t in odd] == whole
+
+
 def test_pairs_that_share_a_slot(monkeypatch):
     ids = np.random.default_rng(3).integers(0, 40, 20_000)
     wide = grammar.compress(ids)
