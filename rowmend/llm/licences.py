@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowmend.llm import tables
 from rowmend.llm.text import ALPHANUMERIC, LOWER, flat, hashes, mix, per_text, pieces, spans
 
+# The longest k-grams that may vote, and the least agreement of a span with its template.
 K = 3
-DRIFT = 3
-LEAST_VOTES = 0.4
 LEAST_LIKENESS = 0.8
 
 # Base phrases and their labels.
@@ -59,166 +59,195 @@ def grams(word_hashes: np.ndarray, k: int = K) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
-def template_positions(spark, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """``(gram, template, at, size)``: each k-gram of each template; a template shorter than ``k`` is refused."""
-    rows = []
-    for number, (_, text) in enumerate(templates):
-        found = grams(_located(pa.array([text]))[4], k)
-        if not len(found):
-            raise ValueError(f"template {number} has fewer than {k} words")
-        rows += [(int(g), number, at, len(found)) for at, g in enumerate(found.tolist())]
-    return spark.createDataFrame(rows, "gram bigint, template int, at int, size int")
-
-
-def phrase_places(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """``(id, tie, n_words, n_base, first_word, last_word, base)`` of ``(id, text, tie)`` rows."""
-    listed = [(words_of(p), label) for p, label in phrases.items()]
-    keys = [(hashes_of(words), words, label) for words, label in listed]
-
-    def work(batches):
-        for batch in pieces(batches, "text"):
-            n = batch.num_rows
-            low, starts, ends, doc, hashed = _located(batch.column("text"))
-            bounds = per_text(doc, n)
-            at, owner, which = [], [], []
-            for number, (wanted, words, _) in enumerate(keys):
-                m = len(wanted)
-                if len(hashed) < m:
-                    continue
-                hit = doc[: len(doc) - m + 1] == doc[m - 1 :]
-                for j, h in enumerate(wanted):
-                    hit &= hashed[j : len(hashed) - m + 1 + j] == h
-                found = np.flatnonzero(hit)
-                at.append(found - bounds[doc[found]])
-                owner.append(doc[found])
-                which.append(np.full(len(found), number))
-            at, owner, which = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, owner, which))
-            count = np.bincount(owner, minlength=n)
-            low_at, high_at = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
-            np.minimum.at(low_at, owner, at)
-            np.maximum.at(high_at, owner, at)
-            labels: list[list[str]] = [[] for _ in range(n)]
-            for d, w in set(zip(owner.tolist(), which.tolist())):
-                labels[d].append(keys[w][2])
-            none = count == 0
-            yield pa.record_batch(
-                [batch.column("id"), batch.column("tie"), pa.array(np.diff(bounds)), pa.array(count),
-                 pa.array(low_at, mask=none), pa.array(high_at, mask=none), pa.array(labels, pa.list_(pa.string()))],
-                ["id", "tie", "n_words", "n_base", "first_word", "last_word", "base"],
-            )
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(
-        work, f"id {kind}, tie bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base array<string>"
-    )
-
-
 def hashes_of(words: list[str]) -> np.ndarray:
     return _located(pa.array([" ".join(words)]))[4]
 
 
-def document_grams(docs: DataFrame, k: int = K) -> DataFrame:
-    """``(id, tie, at, gram)``: all rolling k-grams of all texts."""
+@dataclass(frozen=True)
+class Sought:
+    """A template and what the least likeness leaves of it.
 
-    def work(batches):
-        for batch in pieces(batches, "text"):
-            _, _, _, doc, hashed = _located(batch.column("text"))
-            bounds = per_text(doc, batch.num_rows)
-            rolled = grams(hashed, k)
-            sizes = np.maximum(np.diff(bounds) - k + 1, 0)
-            keep = np.arange(len(rolled)) + k - 1 < np.repeat(bounds[1:], np.diff(bounds))[: len(rolled)]
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rolled[keep]))
-            yield pa.record_batch([batch.column("id"), batch.column("tie"), lists], ["id", "tie", "grams"])
+    A span that is like enough has at most ``extra`` words of its own and holds at least
+    ``least`` of the template's ``k``-grams, on diagonals at most ``extra`` apart.
+    """
 
-    kind = docs.schema["id"].dataType.simpleString()
-    listed = docs.mapInArrow(work, f"id {kind}, tie bigint, grams array<bigint>")
-    return listed.select("id", "tie", F.posexplode("grams").alias("at_doc", "gram"))
+    label: str
+    words: list[str]
+    k: int
+    least: int
+    extra: int
 
 
-def candidate_spans(docs: DataFrame, templates: list[tuple[str, str]], k: int = K) -> DataFrame:
-    """``(id, tie, template, begin, stop)``: where enough k-grams of a template lie on close diagonals.
+def sought(label: str, text: str, likeness: float = LEAST_LIKENESS) -> Sought:
+    """The longest grams of which one at least is left by any edits that ``likeness`` allows.
 
-    Equal k-grams vote for their offset in the text less the one in the template. Offsets at
-    most ``DRIFT`` apart are one place, as words may be missing or added there. The templates
-    are a fixed list, so their table is broadcast; votes on a diagonal are at most its
-    template's k-grams.
+    With d of n words dropped and e words added the agreement is 2(n - d) / (2n - d + e). A
+    dropped word takes at most k grams with it, an added one parts at most k - 1; single
+    words are always left. A template without words is refused.
     """
-    positions = template_positions(docs.sparkSession, templates, k)
-    hits = document_grams(docs, k).join(F.broadcast(positions), "gram")
-    votes = hits.groupBy("id", "tie", "template", "size", (F.col("at_doc") - F.col("at")).alias("diagonal")).agg(
-        F.collect_set("at").alias("seen")
-    )
-    order = Window.partitionBy("id", "tie", "template").orderBy("diagonal")
-    gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    place = F.sum(F.when(gap <= DRIFT, 0).otherwise(1)).over(order)
-    merged = votes.withColumn("place", place).groupBy("id", "tie", "template", "size", "place").agg(
-        F.min("diagonal").alias("first"), F.max("diagonal").alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"),
-    )
-    return merged.filter(F.col("votes") >= F.col("size") * LEAST_VOTES).select(
-        "id", "tie", "template", F.greatest("first", F.lit(0)).alias("begin"), (F.col("last") + F.col("size") + k - 1).alias("stop")
-    )
+    words = words_of(text)
+    n, least_ratio = len(words), Fraction(str(likeness))
+    if not n:
+        raise ValueError(f"template of {label} has no words")
+    room = 2 * n * (1 - least_ratio)
+    dropped = range(int(room / (2 - least_ratio)) + 1)
+    edits = [(d, int((room - d * (2 - least_ratio)) / least_ratio)) for d in dropped]
+    for k in range(min(K, n), 0, -1):
+        least = n - k + 1 - max(k * d + (k - 1) * e for d, e in edits)
+        if least > 0:
+            break
+    return Sought(label, words, k, least, edits[0][1])
+
+
+def postings(listed: list[Sought]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length ``k`` in use: the grams, ascending, with their templates and places."""
+    out = []
+    for k in sorted({t.k for t in listed}):
+        rows = [
+            (g, number, at) for number, t in enumerate(listed) if t.k == k
+            for at, g in enumerate(grams(hashes_of(t.words), k).tolist())
+        ]
+        out.append((k, *(np.array(column, np.int64) for column in zip(*sorted(rows)))))
+    return out
+
+
+def phrase_places(
+    hashed: np.ndarray, doc: np.ndarray, bounds: np.ndarray, phrases: list[tuple[np.ndarray, str]],
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+    """How often phrases stand in each text, at which word first and last, and their labels."""
+    n = len(bounds) - 1
+    at, owner, labels = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [set() for _ in range(n)]
+    for wanted, label in phrases:
+        m = len(wanted)
+        if len(hashed) < m:
+            continue
+        hit = doc[: len(doc) - m + 1] == doc[m - 1 :]
+        for j, h in enumerate(wanted):
+            hit &= hashed[j : len(hashed) - m + 1 + j] == h
+        found = np.flatnonzero(hit)
+        at.append(found - bounds[doc[found]])
+        owner.append(doc[found])
+        for d in set(doc[found].tolist()):
+            labels[d].add(label)
+    at, owner = np.concatenate(at), np.concatenate(owner)
+    first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    np.minimum.at(first, owner, at)
+    np.maximum.at(last, owner, at)
+    return np.bincount(owner, minlength=n), first, last, labels
+
+
+def candidate_spans(
+    hashed: np.ndarray, doc: np.ndarray, bounds: np.ndarray, listed: list[Sought], posted: list[tuple],
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, template, first word and end of every run of words that may hold a span like enough.
+
+    Equal k-grams vote for their offset in the text less the one in the template. Offsets as
+    far apart as added words can move them are one place; it is kept if it has the votes that
+    the likeness guarantees, and reaches as far as the words of such a span can.
+    """
+    hits = []
+    for k, gram, template, at in posted:
+        rolled = grams(hashed, k)
+        slots = np.zeros(1 << 16, bool)
+        slots[gram & 0xFFFF] = True
+        place = np.flatnonzero(slots[rolled & 0xFFFF])
+        place = place[doc[place] == doc[place + k - 1]]
+        low = np.searchsorted(gram, rolled[place], side="left")
+        many = np.searchsorted(gram, rolled[place], side="right") - low
+        place = np.repeat(place, many)
+        which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(place))
+        hits.append((doc[place], template[which], place - bounds[doc[place]] - at[which], at[which]))
+    owner, template, diagonal, at = (np.concatenate(column) for column in zip(*hits))
+    order = np.lexsort((diagonal, template, owner))
+    owner, template, diagonal, at = owner[order], template[order], diagonal[order], at[order]
+    least, extra, size = (np.array(x, np.int64) for x in zip(*((t.least, t.extra, len(t.words)) for t in listed)))
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.diff(diagonal) > extra[template[1:]])
+    starts = np.flatnonzero(new)
+    width = int(size.max())
+    votes = np.bincount(np.unique((np.cumsum(new) - 1) * width + at) // width, minlength=len(starts))
+    kept = votes >= least[template[starts]]
+    ends = np.append(starts[1:], len(owner))[: len(starts)] - 1
+    first, last = diagonal[starts][kept], diagonal[ends][kept]
+    owner, template = owner[starts][kept], template[starts][kept]
+    begin = np.maximum(bounds[owner] + first - extra[template], bounds[owner])
+    stop = np.minimum(bounds[owner] + last + size[template] + extra[template], bounds[owner + 1])
+    return owner, template, begin, stop
+
+
+def best_agreement(words: list[bytes], places: dict[bytes, int], size: int, extra: int) -> float:
+    """The best agreement of a span of ``words`` with a template of ``size`` words.
+
+    Agreement is twice the matching words in order over the words of both. ``places`` has
+    the template's places of each word as bits. A zero bit of ``open_`` is one more matching word
+    (longest common subsequence by bits); a best span begins and ends with a match.
+    """
+    bits, full = [places.get(w, 0) for w in words], (1 << size) - 1
+    inner = [i for i, b in enumerate(bits) if b]
+    most, of = 0, 1
+    for n, i in enumerate(inner):
+        # What is left matches at most word by word.
+        if 2 * min(size, len(inner) - n) * of <= most * (size + 1):
+            break
+        open_ = full
+        for j in inner[n:]:
+            if j - i >= size + extra:
+                break
+            both = open_ & bits[j]
+            open_ = (open_ + both | open_ - both) & full
+            match, words_of_both = 2 * (size - open_.bit_count()), j - i + 1 + size
+            if match * of > most * words_of_both:
+                most, of = match, words_of_both
+    return most / of
 
 
-def verified(docs: DataFrame, found: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """``(id, tie, labels, score)``: labels of spans whose words agree with the template's.
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per input row.
 
-    Agreement is twice the matching words over the words of both. Only texts with a
-    candidate are shuffled: a bitmap of fixed size keeps nearly all others back.
+    Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Base
+    labels come from phrases anywhere in the text, the others from spans whose words agree
+    with a template's: every span that agrees enough counts. The score is the best
+    agreement, 1 where a phrase stands. The templates are a fixed list, so a row needs no
+    other row. Null texts have no words, ids may be null or repeat, an empty table gives an
+    empty result.
     """
-    per_doc = tables.written(
-        found.groupBy("id", "tie").agg(F.collect_set(F.struct("template", "begin", "stop")).alias("spans")), "licence-spans"
-    )
-    key = F.xxhash64("id", "tie")
-    likely = tables.only_possible(docs, key, per_doc, key, "likely").filter("likely").drop("likely")
-    wanted = per_doc.withColumnsRenamed({"id": "span_id", "tie": "span_tie"})
-    joined = likely.join(
-        wanted, likely["id"].eqNullSafe(wanted["span_id"]) & (likely["tie"] == wanted["span_tie"])
-    ).select("id", "tie", "text", "spans")
-    listed = [(label, words_of(text)) for label, text in templates]
+    tables.ready(docs)
+    rows = docs.select(F.col(id_col).alias("id"), tables.text_or_empty(text_col).alias("text"))
+    phrases = [(hashes_of(words_of(p)), label) for p, label in PHRASES.items()]
+    listed = [sought(label, text) for label, text in templates]
+    posted = postings(listed)
+    wanted = []
+    for t in listed:
+        places: dict[bytes, int] = {}
+        for at, word in enumerate(t.words):
+            places[word.encode()] = places.get(word.encode(), 0) | 1 << at
+        wanted.append((t, places))
 
     def work(batches):
         for batch in pieces(batches, "text"):
-            labels, scores = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words, good, best = words_of(text), set(), 0.0
-                for place in places:
-                    label, wanted_words = listed[place["template"]]
-                    span = words[place["begin"] : place["stop"]]
-                    ratio = SequenceMatcher(None, span, wanted_words, autojunk=False).ratio()
+            low, starts, ends, doc, hashed = _located(batch.column("text"))
+            bounds = per_text(doc, batch.num_rows)
+            count, first, last, base = phrase_places(hashed, doc, bounds, phrases)
+            labels, best = [set(b) for b in base], np.where(count > 0, 1.0, 0.0)
+            raw = low.tobytes()
+            if listed:
+                for d, number, a, b in zip(*(x.tolist() for x in candidate_spans(hashed, doc, bounds, listed, posted))):
+                    template, places = wanted[number]
+                    words = [raw[i:j] for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+                    ratio = best_agreement(words, places, len(template.words), template.extra)
                     if ratio >= LEAST_LIKENESS:
-                        good.add(label)
-                        best = max(best, ratio)
-                labels.append(sorted(good))
-                scores.append(best)
+                        labels[d].add(template.label)
+                        best[d] = max(best[d], ratio)
+            none = count == 0
+            text = lambda found: pa.array([",".join(sorted(f)) for f in found], pa.string())
             yield pa.record_batch(
-                [batch.column("id"), batch.column("tie"), pa.array(labels, pa.list_(pa.string())), pa.array(scores, pa.float64())],
-                ["id", "tie", "more", "best"],
+                [batch.column("id"), pa.array(np.diff(bounds)), pa.array(count), pa.array(first, mask=none),
+                 pa.array(last, mask=none), text(base), text(labels), pa.array(best)],
+                ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(work, f"id {kind}, tie bigint, more array<string>, best double").dropDuplicates(["id", "tie"])
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per input row.
-
-    Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Base
-    labels come from phrases anywhere in the text, the others from verified template
-    spans. The score is the best agreement, 1 where a phrase stands. Null texts have no
-    words, ids may be null or repeat, an empty table gives an empty result.
-    """
-    tables.ready(docs)
-    rows = docs.select(F.col(id_col).alias("id"), tables.text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    more = tables.written(verified(rows, candidate_spans(rows, templates), templates), "licence-labels")
-    more = more.withColumnsRenamed({"id": "more_id", "tie": "more_tie"})
-    base = phrase_places(rows)
-    joined = base.join(more, base["id"].eqNullSafe(more["more_id"]) & (base["tie"] == more["more_tie"]), "left")
-    text = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return joined.select(
-        "id", "n_words", "n_base", "first_word", "last_word", text(F.col("base")).alias("base_labels"),
-        text(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(
+        work, f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
+        "labels string, score double"
     )

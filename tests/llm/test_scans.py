@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -94,6 +95,72 @@ def test_templates_with_edits(spark):
     assert found[7]["score"] == 1
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at, way = rng.randrange(len(out)), rng.choice("xia")
+        if way != "a" and len(out) > 1:
+            del out[at]
+        if way != "x":
+            out.insert(at, rng.choice(["quite", "the", "other", "license"]))
+    return out
+
+
+def most_alike(words, wanted):
+    """The best agreement over all spans, by a table of common subsequences."""
+    best = 0.0
+    for a in range(len(words)):
+        row = [0] * (len(wanted) + 1)
+        for b in range(a, min(len(words), a + 2 * len(wanted))):
+            new = [0]
+            for j, w in enumerate(wanted):
+                new.append(row[j] + 1 if w == words[b] else max(new[j], row[j + 1]))
+            row = new
+            best = max(best, 2 * row[-1] / (b - a + 1 + len(wanted)))
+    return best
+
+
+def test_every_like_span_is_found(spark):
+    filler = [f"w{i}" for i in range(40)]
+    mit, bsd = (licences.words_of(licences.TEMPLATES[n][1]) for n in (3, 8))
+    spread = [("other" if i in (4, 8, 12, 16) else w) for i, w in enumerate(mit)]
+    split = lambda n: bsd[:9] + [f"x{i}" for i in range(n)] + bsd[9:]
+    short = [["released", "under", "mit", "license"], "released beneath the mit license".split()]
+    wanted = {0: ("mit", short[0], 8 / 9), 1: ("mit", short[1], 0.8), 2: ("mit", spread, 0.8)}
+    for n in range(1, len(bsd) // 2 + 1):
+        wanted[2 + n] = ("bsd", split(n), 2 * len(bsd) / (2 * len(bsd) + n))
+    rows = [(i, " ".join(filler + words + filler), None, None, None) for i, (_, words, _) in wanted.items()]
+    rows += [(-1, " ".join(split(len(bsd) // 2 + 1)), None, None, None)]
+    found = {r["id"]: (r["labels"], r["score"]) for r in licences.scan(frame(spark, rows)).collect()}
+    assert found.pop(-1) == ("", 0)
+    assert found == {i: (label, pytest.approx(score)) for i, (label, _, score) in wanted.items()}
+
+
+def test_spans_against_all_spans(spark):
+    rng = random.Random(4)
+    listed = [licences.words_of(text) for _, text in licences.TEMPLATES]
+    texts = [["under", "the"] * 3 + edited(rng, rng.choice(listed), rng.randint(0, 8)) + ["the", "x"] + rng.choice(listed)[:3]
+             for _ in range(250)]
+    texts += [[], ["license"]]
+    found = licences.scan(frame(spark, [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)])).collect()
+    for r in found:
+        alike = [(label, most_alike(texts[r["id"]], w)) for (label, _), w in zip(licences.TEMPLATES, listed)]
+        alike = [(label, ratio) for label, ratio in alike if ratio >= licences.LEAST_LIKENESS]
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == base | {label for label, _ in alike}
+        assert r["score"] == (1 if base else max([ratio for _, ratio in alike], default=0))
+    assert len({r["score"] for r in found}) > 5
+
+
+def test_templates_of_any_length(spark):
+    assert [licences.sought("x", " ".join("abcdefgh"[:n])).k for n in (1, 2, 3, 4, 5)] == [1, 1, 1, 2, 2]
+    docs = frame(spark, [(1, "one Alpha two", None, None, None), (2, "beta gamma", None, None, None), (3, "gamma", None, None, None)])
+    found = {r["id"]: r["labels"] for r in licences.scan(docs, [("a", "alpha"), ("b", "beta, gamma")]).collect()}
+    assert found == {1: "a", 2: "b", 3: ""}
+    with pytest.raises(ValueError):
+        licences.sought("none", " . ")
+
+
 def plain_edits(rows):
     """(id, chars, sha of edited text, edited text, next text) in descending order of id."""
     out = []
