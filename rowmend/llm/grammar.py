@@ -16,17 +16,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmend.llm import blobs, tables
-from rowmend.llm.text import flat, pieces
+from rowmend.llm.text import flat, mix, pieces
 
 BLOCK_IDS = 2_000_000
 # Words that the library gets in one text.
 GROUP = 100
 CACHE = 800_000
 SLICE_BYTES = 16 << 20
-# A pair becomes a rule if it occurs this often in its block; so many at most in a round.
-LEAST_COUNT = 16
+# A pair becomes a rule if it occurs this often in its block; more than so many wait for the next round,
+# which takes twice as many.
+LEAST_COUNT = 2
 RULES_A_ROUND = 8_192
-ROUNDS = 6
 SLOT_BITS = 20
 
 FILE_SCHEMA = (
@@ -35,33 +35,36 @@ FILE_SCHEMA = (
 )
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> dict[str, np.ndarray | int]:
+def compress(ids: np.ndarray, least: int = LEAST_COUNT) -> dict[str, np.ndarray | int]:
     """Rules and the remaining sequence of one block.
 
     Every round counts all adjacent pairs, makes the most frequent ones nonterminals and
-    replaces those occurrences that no neighbouring, more frequent pair claims. Rounds end
-    when no pair is frequent or ``rounds`` is reached; decoding is exact either way.
+    replaces those occurrences that no neighbouring, more frequent pair claims. Rounds go on
+    until no pair is frequent. Pairs that are equally frequent are ranked by a hash: ranked by
+    value, a passage of ascending ids would lose one pair a round. An old pair only gets
+    rarer, so a round looks at the pairs that were frequent before and those of new rules.
     """
     sequence = ids.astype(np.int64)
     first = int(sequence.max()) + 1 if len(sequence) else 0
     lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    rules = 0
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        pairs = sequence[:-1] << 32 | sequence[1:]
+    rules, turn, places = 0, 0, np.arange(len(sequence) - 1)
+    while len(places):
+        pairs = sequence[places] << 32 | sequence[places + 1]
         # A slot is at least as frequent as each of its pairs, so rare slots need no sort.
-        slots = _slots(pairs)
-        ordered = np.sort(pairs[(np.bincount(slots, minlength=1 << SLOT_BITS) >= least)[slots]])
+        slots = _slots(pairs, turn)
+        common = (np.bincount(slots, minlength=1 << SLOT_BITS) >= least)[slots]
+        places, pairs, slots = places[common], pairs[common], slots[common]
+        ordered = np.sort(pairs)
         starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))[: len(ordered)]
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        # Most frequent first, smaller pair among equals; the place is the rank.
-        chosen = often[np.lexsort((ordered[starts[often]], -counts[often]))[:RULES_A_ROUND]]
+        # Most frequent first; the place is the rank.
+        chosen = often[np.lexsort((mix(ordered[starts[often]].view(np.uint64)), -counts[often]))[: RULES_A_ROUND << turn]]
         keys = ordered[starts[chosen]]
-        found, rank = _ranks(pairs, slots, keys)
+        found, rank = _ranks(pairs, slots, keys, _slots(keys, turn))
+        found = places[found]
         beside = np.diff(found) == 1
         # Of overlapping occurrences of one pair (a run of one id) every second is taken.
         new_run = np.concatenate(([True], ~beside | (rank[1:] != rank[:-1])))
@@ -72,10 +75,18 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT) ->
         at = found[take]
         taken = rank[take]
         used, number = _numbered(taken, len(keys))
-        sequence[at] = first + rules + number
+        # Rules of a round are listed by their pairs, which packs well.
+        listed = np.argsort(keys[used])
+        place = np.empty(len(used), np.int64)
+        place[listed] = np.arange(len(used))
+        used = used[listed]
+        sequence[at] = first + rules + place[number]
         stays = np.ones(len(sequence), bool)
         stays[at + 1] = False
-        sequence = sequence[stays]
+        looked = np.zeros(len(sequence), bool)
+        looked[places] = looked[at] = looked[np.maximum(at - 1, 0)] = True
+        sequence, looked = sequence[stays], looked[stays]
+        places, turn = np.flatnonzero(looked[:-1]), turn + 1
         lefts.append(keys[used] >> 32)
         rights.append(keys[used] & 0xFFFFFFFF)
         rules += len(used)
@@ -90,13 +101,13 @@ def _numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
 
 
-def _slots(pairs: np.ndarray) -> np.ndarray:
-    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+def _slots(pairs: np.ndarray, turn: int) -> np.ndarray:
+    """Other slots in every turn, so that rare pairs do not share theirs for long."""
+    return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 * (2 * turn + 1) & (1 << 64) - 1) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
-def _ranks(pairs: np.ndarray, slots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _ranks(pairs: np.ndarray, slots: np.ndarray, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where ``pairs`` holds one of ``keys``, ascending, and the place of that key."""
-    own = _slots(keys)
     table = np.full(1 << SLOT_BITS, -1, np.int32)
     table[own[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
     rank = table[slots]
@@ -128,25 +139,27 @@ def lengths_of(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
-    """Ids of a run of symbols: the rules in use are opened pass by pass, then copied to their places."""
+def expand(
+    symbols: np.ndarray, left: np.ndarray, right: np.ndarray, first: int, lengths: np.ndarray | None = None,
+) -> np.ndarray:
+    """Ids of a run of symbols: the rules in use are opened to their places, then copied."""
     symbols = symbols.astype(np.int64)
     inner = symbols >= first
     if not inner.any():
         return symbols
     rules, number = _numbered(symbols[inner] - first, len(left))
-    rules = rules + first
-    opened, owner = rules, np.arange(len(rules))
-    while (closed := opened >= first).any():
-        sizes = 1 + closed
-        ends = np.cumsum(sizes)
-        wider = np.empty(int(ends[-1]), np.int64)
-        wider[(ends - sizes)[~closed]] = opened[~closed]
-        wider[(ends - sizes)[closed]] = left[opened[closed] - first]
-        wider[(ends - 1)[closed]] = right[opened[closed] - first]
-        opened, owner = wider, np.repeat(owner, sizes)
-    lengths = np.bincount(owner, minlength=len(rules))
-    begins = np.cumsum(lengths) - lengths
+    lengths = lengths_of(left, right, first) if lengths is None else lengths
+    begins = np.cumsum(lengths[rules]) - lengths[rules]
+    opened = np.empty(int(lengths[rules].sum()), np.int64)
+    rule, at = rules, begins
+    while len(rule):
+        sides = left[rule], right[rule]
+        middle = at + np.where(sides[0] >= first, lengths[np.maximum(sides[0] - first, 0)], 1)
+        rule, at = np.concatenate(sides), np.concatenate((at, middle))
+        closed = rule >= first
+        opened[at[~closed]] = rule[~closed]
+        rule, at = rule[closed] - first, at[closed]
+    lengths = lengths[rules]
     # Ids that stand for themselves follow the opened rules in one array.
     sizes, source = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
     sizes[inner], source[inner] = lengths[number], begins[number]
@@ -170,7 +183,7 @@ def read_range(grammar: dict, start: int, stop: int) -> np.ndarray:
     if stop <= start:
         return np.empty(0, np.int64)
     before = int(ends[a - 1]) if a else 0
-    return expand(sequence[a:b], grammar["left"], grammar["right"], first)[start - before : stop - before]
+    return expand(sequence[a:b], grammar["left"], grammar["right"], first, lengths)[start - before : stop - before]
 
 
 class WordEncoder:

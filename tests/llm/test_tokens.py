@@ -90,6 +90,19 @@ def test_grammar_is_exact_and_opens_ranges():
     assert len(grammar.compress(np.zeros(5000, np.int64))["sequence"]) < 200
 
 
+def test_rounds_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(0, 30_000, 3000)
+    copies = np.concatenate([np.append(passage, 40_000 + i) for i in range(40)])
+    twice = np.concatenate([rng.integers(0, 30_000, 500), passage, rng.integers(0, 30_000, 500), passage])
+    for ids, most in ((copies, 100), (twice, 1200), (np.tile(np.arange(20_000), 3), 10), (np.zeros(100_000, np.int64), 40)):
+        found = grammar.compress(ids)
+        assert grammar.expand(found["sequence"], found["left"], found["right"], found["first"]).tolist() == ids.tolist()
+        pairs = list(zip(found["sequence"].tolist(), found["sequence"].tolist()[1:]))
+        assert len(set(pairs)) == len(pairs) and len(found["sequence"]) <= most
+        assert grammar.read_range(found, 1234, 2345).tolist() == ids[1234:2345].tolist()
+
+
 def plain_files(rows):
     tokenizer, start, out = Tokenizer.from_file(WORDS), 0, []
     for i, text in rows:
