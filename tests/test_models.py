@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import mendable_frame, wear_frame
+from frames import mendable_frame, wear_frame
 from rowmend import errors
 from rowmend.operators import explain, forest, repair
 from rowmend.operators.consensus import describe_features

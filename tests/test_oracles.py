@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import TESTDATA
+from frames import TESTDATA
 from rowmend.plans import catalog, oracles
 
 FOLDER = f"{TESTDATA}/sf0.001"

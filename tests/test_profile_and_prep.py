@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import wear_frame
+from frames import wear_frame
 from rowmend import errors
 from rowmend.functions import kinds, values
 from rowmend.operators import prep, profile, split
