@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowmend import storage
-from rowmend.llm import factorisation, grammar, katz, licences, mixing, pieces, refine, simhash, spotsigs, tables, urlrules
+from rowmend.llm import (
+    align, factorisation, grammar, katz, lemp, licences, mixing, pieces, refine, secret_scan, simhash, spotsigs, tables, urlrules,
+)
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
+BYTE_MODEL, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 THRESHOLD = 0.7
 
 # The rules of the url query.
@@ -81,10 +84,23 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_lemp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.search(tables.documents(spark, sf_dir), tables.documents(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(tables.documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in (BYTE_MODEL, PIECE_MODEL, BYTE_RANKS)]
+    return align.alignment(tables.documents(spark, sf_dir), *paths).withColumnRenamed("id", "doc_id")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_katz, op2_factorisation, op3_refinement, op4_pieces, op5_mixture, op6_grammar, op7_url_rules, op8_simhash,
-        op9_licences, op10_spotsigs,
+        op9_licences, op10_spotsigs, op11_lemp, op12_secrets, op13_alignment,
     ]
     return {f.__name__: f for f in found}
 
@@ -178,5 +194,29 @@ mixed as (
 OP5_SQL = f"with {mixture_sql('documents', 0.6, 3, 11)} select * from mixed"
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+with d as (select doc_id, {_TERMS.format('text')} as terms from documents),
+size as (select cast(count(*) filter (len(terms) > 0) as bigint) as big_n, cast(sum(len(terms)) as bigint) as big_l from d),
+word as (select doc_id, unnest(terms) as term from d),
+tf as (select doc_id, term, count(*) as tf from word group by doc_id, term),
+df as (select term, count(*) as df from tf group by term),
+wanted as (select distinct item_id, unnest({_TERMS.format('text')}) as term from benchmark),
+weighted as (
+    select item_id, term, cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+    from wanted join df using (term) cross join size),
+measure as (select doc_id, 100 - 50 + ((50 * len(terms) * big_n) // big_l) as m from d cross join size where len(terms) > 0),
+scored as (
+    select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+    from weighted join tf using (term) join measure using (doc_id) group by item_id, doc_id),
+ranked as (
+    select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank
+    from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op3_refinement": OP3_SQL, "op5_mixture": OP5_SQL, "op7_url_rules": OP7_SQL}
+    return {"op3_refinement": OP3_SQL, "op5_mixture": OP5_SQL, "op7_url_rules": OP7_SQL, "op11_lemp": OP11_SQL}
