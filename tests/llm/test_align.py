@@ -40,8 +40,10 @@ def plain_groups(text, libraries):
     a_lib, b_lib = libraries
     if not text:
         return []
-    a = [(i, byte_text(a_lib.id_to_token(i))) for i in a_lib.encode(" " + text, add_special_tokens=False).ids]
-    b = [(i, piece_bytes(b_lib.id_to_piece(i))) for i in b_lib.encode(text)]
+    ids_a, ids_b = a_lib.encode(" " + text, add_special_tokens=False).ids, b_lib.encode(text)
+    bytes_a = {i: byte_text(a_lib.id_to_token(i)) for i in set(ids_a)}
+    bytes_b = {i: piece_bytes(b_lib.id_to_piece(i)) for i in set(ids_b)}
+    a, b = [(i, bytes_a[i]) for i in ids_a], [(i, bytes_b[i]) for i in ids_b]
     want = (" " + text).encode()
     if b"".join(x[1] for x in a) != want or b"".join(x[1] for x in b) != want:
         return []
