@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowmend import errors
+from rowmend import errors, shipping
+from rowmend.sources import records
 
 # Texts read as missing.
 MISSING_TOKENS = [
@@ -14,8 +15,7 @@ MISSING_TOKENS = [
 ]
 
 
-# Quotes are doubled inside quoted fields, and quoted fields may hold line breaks. Such
-# files are not split among tasks; ``multi_line=False`` splits files that have none.
+# Quotes are doubled inside quoted fields, and quoted fields may hold line breaks.
 FORMAT = {"quote": '"', "escape": '"'}
 _BAD = "c_bad"
 
@@ -62,6 +62,44 @@ def _refuse_long_records(raw: DataFrame, width: int, path: str) -> None:
         )
 
 
+def _read(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> tuple[DataFrame, DataFrame]:
+    """Texts of all fields, and the same with every field parsed, so that long records show.
+
+    Files without line breaks in fields are split by Spark's own reader, the others by ``records``.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, **FORMAT}
+
+    def plain(paths: str | list[str], **more) -> tuple[DataFrame, DataFrame]:
+        read = [
+            spark.read.option("columnPruning", pruned).csv(paths, header=True, schema=schema, enforceSchema=True, **options, **more)
+            for pruned in (True, False)
+        ]
+        return read[0], read[1]
+
+    if not multi_line:
+        return plain(path)
+    shipping.ship_package(spark)
+    text = records.lines(spark, path)
+    spans, broken = records.open_spans(text)
+    if not broken:
+        return plain(path)
+    # One row per file: whether its first line ends in a return, and whether it has others.
+    heads = text.withColumn("place", F.monotonically_increasing_id()).filter("start = 0")
+    firsts = heads.groupBy("file").agg(F.min_by("line", "place").alias("line")).collect()
+    if any("\r" in r["line"][:-1] for r in firsts if r["file"] in broken):
+        return plain(path, multiLine=True)
+    files = [(r["file"], r["line"].endswith("\r")) for r in firsts if r["file"] in broken]
+    ddl = ", ".join(f"{f.name} string" for f in schema.fields)
+    parsed = records.records(text, spans, files).select(
+        F.from_csv("record", ddl, {**options, "multiLine": "true", "lineSep": "\n"}).alias("r")
+    ).select("r.*")
+    others = [r["file"] for r in firsts if r["file"] not in broken]
+    if not others:
+        return parsed, parsed
+    rest = plain(others)
+    return parsed.unionByName(rest[0]), parsed.unionByName(rest[1])
+
+
 def csv_scan(
     spark: SparkSession, path: str, schema: T.StructType | None = None, tokens: list[str] | None = None,
     multi_line: bool = True,
@@ -71,17 +109,19 @@ def csv_scan(
     Everything is read as text so that a list of tokens can mean missing. One aggregate
     over all columns then decides the types. Records with more fields than the header
     raise; those with fewer end in missing values.
+
+    Quoted fields may hold line breaks. Ranges of a file are cut into records side by side
+    (``records``); files without such fields are split by Spark's reader, files whose
+    lines end in returns alone go whole through one task. ``multi_line=False`` says that no
+    field has a line break, and saves the pass that looks for them.
     """
     header = _header(spark, path, multi_line)
     kept = normalise_columns(header)
     width = len(header)
     raw_names = [f"c{i}" for i in range(width)]
     raw_schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw_names, _BAD]])
-    raw = spark.read.csv(
-        path, header=True, schema=raw_schema, mode="PERMISSIVE", enforceSchema=True, multiLine=multi_line,
-        columnNameOfCorruptRecord=_BAD, **FORMAT,
-    )
-    _refuse_long_records(raw, width, path)
+    raw, parsed = _read(spark, path, raw_schema, multi_line)
+    _refuse_long_records(parsed, width, path)
     missing = MISSING_TOKENS if tokens is None else tokens
     text = raw.select(
         *[F.when(~F.col(f"c{i}").isin(missing), F.col(f"c{i}")).alias(name) for i, name in kept]
