@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rowmend import errors
+from rowmend.functions import kinds
 from rowmend.operators.ordering import dense_positions
+from rowmend.operators.selection import values_at
 
 # The two states of a scored row.
 ANOMALY = "Anomaly"
@@ -16,16 +18,31 @@ def apply_threshold(df: DataFrame, threshold: float, score: str = "score", pred:
     return df.withColumn(pred, (F.col(score) >= F.lit(float(threshold))).cast("int"))
 
 
-def row_range(df: DataFrame, row_id: str, start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end``, both included, in key order, with their position."""
-    numbered = dense_positions(df, [row_id], "sample_id")
-    return numbered.filter(F.col("sample_id").between(start, end))
+def row_range(df: DataFrame, row_id: str, start: int, end: int | None) -> DataFrame:
+    """Rows ``start`` to ``end``, both included, in key order, with their position.
+
+    For an integer key the keys at both ranks are found by counting, and only the rows
+    between them, a pushed-down filter, are read and sorted. Null keys come first. Other
+    keys need the whole order.
+    """
+    below, upto = 0, F.lit(True)
+    if kinds.is_integer(df.schema[row_id].dataType):
+        rows, known, low, high = df.agg(F.count(F.lit(1)), F.count(row_id), F.min(row_id), F.max(row_id)).first()
+        if start >= rows or (end is not None and end < start):
+            return dense_positions(df.limit(0), [row_id], "sample_id")
+        if rows == known:
+            hits = values_at(df, row_id, [max(start, 0), *([min(end, rows - 1)] if end is not None else [])], low, high)
+            below, upto = hits[0].below, F.col(row_id) >= hits[0].value
+            if end is not None:
+                upto = upto & (F.col(row_id) <= hits[1].value)
+    numbered = dense_positions(df.filter(upto), [row_id], "sample_id", start=below)
+    return numbered.filter((F.col("sample_id") >= start) & (F.col("sample_id") <= (2**62 if end is None else end)))
 
 
 def batch_detect(scored: DataFrame, row_id: str, start: int | None = None, end: int | None = None) -> DataFrame:
     """Add prediction, rounded score and status; positions are only computed for a range."""
     if start is not None or end is not None:
-        scored = row_range(scored, row_id, start or 0, end if end is not None else 2**62)
+        scored = row_range(scored, row_id, start or 0, end)
     return (
         scored.withColumn("risk_score", F.round("score", 4))
         .withColumn("prediction", F.col("pred"))

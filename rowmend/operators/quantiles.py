@@ -4,89 +4,30 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
 from rowmend.functions.kinds import as_number
-
-_ACCURACY = 10_000
+from rowmend.operators.selection import select_ranks
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Quantiles per column, equal to sorting the column; nulls and NaN are left out.
 
-    The memory of a ``percentile`` aggregate would grow with the distinct values. So a
-    sketch brackets every wanted rank first, the rows below each bracket are counted, and
-    only the values inside the brackets, a fraction of a thousandth of a long column, are
-    counted per value and ranked.
+    The values at the ranks below and above each position come from one ``select_ranks``.
     """
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
     if not columns:
-        return {}
-    numbers = df.select(*[as_number(c).alias(c) for c in columns])
-    spark = numbers.sparkSession
-    margin = 2.0 / _ACCURACY
-    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = numbers.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, ends, _ACCURACY).alias(f"q_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"low_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"high_{i}") for i, c in enumerate(columns)],
-    ).first()
-    counts = {c: int(sketch[f"n_{i}"]) for i, c in enumerate(columns)}
-    if not any(counts.values()):
-        return {c: [None] * len(probs) for c in columns}
-    brackets = []
-    for i, c in enumerate(columns):
-        if counts[c] == 0:
-            continue
-        for j, p in enumerate(probs):
-            low, high = sketch[f"q_{i}"][2 * j], sketch[f"q_{i}"][2 * j + 1]
-            # At the ends of the column the sketch may stop short of the extreme value.
-            if p <= 2 * margin:
-                low = sketch[f"low_{i}"]
-            if p >= 1 - 2 * margin:
-                high = sketch[f"high_{i}"]
-            brackets.append((c, j, float(low), float(high)))
-    # In a short column a wanted rank can lie one value outside its bracket.
-    beside = numbers.agg(
-        *[F.count(F.when(F.col(c) < F.lit(low), 1)).alias(f"b_{n}") for n, (c, _, low, _) in enumerate(brackets)],
-        *[F.max(F.when(F.col(c) < F.lit(low), F.col(c))).alias(f"prev_{n}") for n, (c, _, low, _) in enumerate(brackets)],
-        *[F.min(F.when(F.col(c) > F.lit(high), F.col(c))).alias(f"next_{n}") for n, (c, _, _, high) in enumerate(brackets)],
-    ).first()
-
-    inside = F.array(
-        *[
-            F.when(F.col(c).between(low, high), F.struct(F.lit(n).alias("bracket"), F.col(c).alias("value")))
-            for n, (c, _, low, high) in enumerate(brackets)
-        ]
+        return result
+    numbers = df.select(*[as_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    wanted = [(i, p) for i in range(len(columns)) for p in probs]
+    hits = select_ranks(
+        numbers, numbers.columns, [(i, p, above) for i, p in wanted for above in (False, True)]
     )
-    values = (
-        numbers.select(F.explode(F.filter(inside, lambda x: x.isNotNull())).alias("x"))
-        .groupBy("x.bracket", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranks = []
-    for n, (c, j, _, _) in enumerate(brackets):
-        position = (counts[c] - 1) * probs[j]
-        ranks.append((n, math.floor(position) - int(beside[f"b_{n}"]), math.ceil(position) - int(beside[f"b_{n}"])))
-    wanted = spark.createDataFrame(ranks, "bracket int, first long, last long")
-    order = Window.partitionBy("bracket").orderBy("value")
-    hits = (
-        values.withColumn("upto", F.sum("n").over(order))
-        .join(F.broadcast(wanted), "bracket")
-        .groupBy("bracket")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("first"), F.col("value"))).alias("first_value"),
-            F.min(F.when(F.col("upto") > F.col("last"), F.col("value"))).alias("last_value"),
-        )
-        .collect()
-    )
-    found = {r["bracket"]: (r["first_value"], r["last_value"]) for r in hits}
-    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    for n, (c, j, _, _) in enumerate(brackets):
-        low, high = (
-            beside[f"prev_{n}"] if rank < 0 else beside[f"next_{n}"] if value is None else value
-            for rank, value in zip(ranks[n][1:], found[n])
-        )
-        position = (counts[c] - 1) * probs[j]
-        share = position - math.floor(position)
-        result[c][j] = low if low == high else (1 - share) * low + share * high
+    for place, (i, p) in enumerate(wanted):
+        low, high = hits[2 * place], hits[2 * place + 1]
+        if low and high:
+            position = (low.rows - 1) * p
+            share = position - math.floor(position)
+            found = low.value if low.value == high.value else (1 - share) * low.value + share * high.value
+            result[columns[i]][place % len(probs)] = found
     return result

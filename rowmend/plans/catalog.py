@@ -81,6 +81,15 @@ def csv_scan(spark, sf):
     return csv.csv_scan(spark, path)
 
 
+def csv_scan_breaks(spark, sf):
+    """All documents, whose texts have line breaks, through CSV files and back."""
+    path = storage.fresh_path(spark, "csv")
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs = views.table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.csv(path, header=True, nullValue="N/A", **options)
+    return csv.csv_scan(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 def head_preview(spark, sf):
     return csv.head_preview(views.orders_mixed(spark, sf).select(KEY, *FEATURES), KEY)
 
@@ -662,7 +671,7 @@ def epoch_ms(spark, sf):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
-        csv_scan, head_preview, scored_csv_sink, scored_csv_anomalies, saved_scores, target_check_failures,
+        csv_scan, csv_scan_breaks, head_preview, scored_csv_sink, scored_csv_anomalies, saved_scores, target_check_failures,
         attribution_sums, batch_detect_range, suggest_repairs_frozen, greedy_repair_dry, repair_report_sink, save_state, load_state,
         table_overview, missing_report, numeric_describe, category_distribution, target_distribution, target_check,
         drop_columns, mean_impute, row_filter, label_encode, one_hot, standardise, stratified_split,

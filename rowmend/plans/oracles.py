@@ -289,6 +289,7 @@ _OUTCOMES = f"""{FLAGGED}, oc as (
 def all_oracles() -> dict[str, str]:
     sql = {
         "csv_scan": f"with {CUSTOMERS} select * replace (c_nationkey::bigint as c_nationkey) from cm",
+        "csv_scan_breaks": "select doc_id, md5(text) as text_md5, lang, source, n_chars from documents",
         "load_state": f"with {TRAIN} select row_id, {LIST} from train where is_train = 1 and label = 0",
         "head_preview": f"with {ORDERS} select row_id, {LIST} from om order by row_id limit 5",
         "scored_csv_sink": f"""with {DETECTED} select * replace (o_month::bigint as o_month,
