@@ -18,9 +18,9 @@ from rowmend.llm.text import ALPHANUMERIC, LOWER, flat, hashes, pieces, spans
 
 # Items answered together, and the distinct terms they may have; more items are further blocks.
 BLOCK_ITEMS, BLOCK_TERMS = 500, 50_000
-# A bucket is an eighth of a doubling of the length; files of a bucket have so many vectors.
+# A bucket is an eighth of a doubling of the length; its files have so many vectors at least.
 STEPS = 8
-FILE_ROWS = 20_000
+FILE_ROWS = 1_000
 # Buckets from the longest vectors on that are scored without a threshold have so many vectors at least.
 SEED_ROWS = 20_000
 # Share of an item's terms, the weightiest ones, that the coordinate bound reads.
@@ -245,13 +245,19 @@ def _search_block(rows: DataFrame, block: Block, top: int, item_type: T.DataType
     # One row per bucket: an eighth of a doubling each, so at most some thousand for any data.
     sizes = vectors.filter("bucket >= 0").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("top")).collect()
     sizes.sort(key=lambda r: -r["bucket"])
-    files = spark.createDataFrame([(r["bucket"], -(-r["n"] // FILE_ROWS)) for r in sizes], "bucket int, files long")
+    # Files are numbered through all buckets, so that each is a partition of its own.
+    share = max(FILE_ROWS, sum(r["n"] for r in sizes) // (2 * tables.tasks(spark)))
+    counts = [-(-r["n"] // share) for r in sizes]
+    firsts = np.cumsum([0, *counts]).tolist()
+    files = spark.createDataFrame(
+        [(r["bucket"], n, first) for r, n, first in zip(sizes, counts, firsts)], "bucket int, files long, first long"
+    )
     path = storage.fresh_path(spark, "lemp-buckets")
     # Vectors without any term of the items have no bucket: their score is 0 for all of them.
     (
         vectors.join(F.broadcast(files), "bucket")
-        .withColumn("file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("files")))
-        .repartition(tables.tasks(spark), "bucket", "file").drop("files", "file")
+        .withColumn("file", (F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("files"))).cast("int"))
+        .repartitionById(max(1, firsts[-1]), "file").drop("file", "files", "first")
         .write.partitionBy("bucket").parquet(path)
     )
     index = spark.read.schema(shape).parquet(path)
