@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowmend import storage
 from rowmend.llm import blobs, tables
 from rowmend.llm.text import LOWER, NOT_SPACE, flat, hashes, per_text, pieces, spans
 
@@ -355,6 +356,21 @@ def _finish(table: pa.Table, tokens: int) -> pa.Table:
     })
 
 
+def _texts_and_words(chunks: DataFrame, schema: str) -> tuple[DataFrame, str, str]:
+    """What chunks know of their texts and of their words, written once but to be given back apart.
+
+    The words, and the paths of the texts and of the words.
+    """
+    spark = chunks.sparkSession
+    path = storage.fresh_path(spark, "katz-chunks")
+    chunks.withColumn("of_words", F.col("slot") >= 0).write.partitionBy("of_words").parquet(path)
+    paths = [f"{path}/of_words={flag}" for flag in ("false", "true")]
+    for each in paths:
+        # So that both are there if no row was.
+        spark.createDataFrame([], schema).write.mode("append").parquet(each)
+    return spark.read.schema(schema).parquet(paths[1]), *paths
+
+
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input row.
 
@@ -378,19 +394,20 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     )
     id_type = rows.schema["id"].dataType.simpleString()
     schema = _SCHEMA.format(id=id_type)
-    chunks, chunk_path = tables.temporary(rows.mapInArrow(lambda b: _chunks(b, slots), schema), "katz-chunks")
+    listed, text_path, listed_path = _texts_and_words(rows.mapInArrow(lambda b: _chunks(b, slots), schema), schema)
     words, word_path = tables.temporary(
-        chunks.filter("slot >= 0").groupBy("slot").applyInArrow(lambda t: _count_words(t, slots), schema), "katz-words"
+        listed.groupBy("slot").applyInArrow(lambda t: _count_words(t, slots), schema), "katz-words"
     )
+    tables.release(spark, listed_path)
     word_model = WordModel.of(*_summed(words))
     plan = Exchange(slots, word_model)
-    known = chunks.filter("slot < 0").unionByName(words.filter("chunk is not null"))
+    known = spark.read.schema(schema).parquet(text_path).unionByName(words.filter("chunk is not null"))
     pairs = tables.written(
         known.groupBy("chunk").applyInArrow(lambda t: _pair_rows(t, plan), schema)
         .groupBy("slot").applyInArrow(_count_pairs, schema),
         "katz-pairs",
     )
-    tables.release(spark, chunk_path, word_path)
+    tables.release(spark, text_path, word_path)
     counted = pairs.filter("slot >= 0")
     plan = Exchange(slots, word_model, Discounts.of(_summed(counted)[2]))
     # A hot context has more than one slot's share of the tokens, so there are fewer than slots.
