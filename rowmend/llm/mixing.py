@@ -134,8 +134,8 @@ def take(docs: DataFrame, levels: list[Level], share: float, seed: int = 0, id_c
     flat = numbered.select("whole.*", "row") if "row" not in docs.columns else numbered.select(
         *[F.col(f"whole.`{c}`").alias(f"{c}__" if c == "row" else c) for c in docs.columns], "row"
     )
-    chosen = mixture(flat, levels, share, 1, seed, id_col, text_col, row_col="row").filter("copies > 0").select("row")
-    return numbered.join(chosen, "row", "left_semi").select("whole.*")
+    dropped = mixture(flat, levels, share, 1, seed, id_col, text_col, row_col="row").filter("copies <= 0").select("row")
+    return tables.without(numbered, tables.written(dropped, "mixing-dropped"))
 
 
 # The production tree over ``documents`` and its weights.

@@ -84,10 +84,11 @@ def exact_groups(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    The rows are numbered in a written table first, so that even rows that repeat in
-    every column are told apart, and stay so when a task runs again.
+    Rows are told apart by their place in their files, so even rows that repeat in every
+    column are, and stay so when a task runs again. Only ids and hashes go through
+    exchanges; of the texts, those of rows that may be dropped.
     """
     numbered = tables.numbered(docs, "dedup-rows")
-    flat = numbered.select(F.col(f"whole.{id_col}").alias("id"), F.col(f"whole.{text_col}").alias("text"), "row")
+    flat = numbered.select(F.col(f"whole.`{id_col}`").alias("id"), F.col(f"whole.`{text_col}`").alias("text"), "row")
     dropped = exact_groups(flat, "id", "text", row_col="row").filter(~F.col("kept")).select("row")
-    return numbered.join(dropped, "row", "left_anti").select("whole.*")
+    return tables.without(numbered, tables.written(dropped, "dedup-dropped"))

@@ -150,4 +150,4 @@ def keep_smallest(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col:
     )
     groups = near_groups(flat.filter(~F.col("nameless")).select("key", "text"), shingle, max_bits, "key", "text")
     dropped = groups.filter(F.col("id") != F.col("component_id")).select(F.col("id.row").alias("row"))
-    return numbered.join(dropped, "row", "left_anti").select("whole.*")
+    return tables.without(numbered, tables.written(dropped, "simhash-dropped"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowmend import parallel, shipping, storage
 
-FILTER_BITS = 1 << 24
+# Bits of a filter: sixteen per marked row, between 2 and 32 MB.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 28
 _BUCKET_BITS = 32_768
 
 
@@ -39,9 +41,33 @@ def release(spark: SparkSession, *paths: str) -> None:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``(whole, row)``: each row as a struct, and a number that stays because it is written."""
+    """``(whole, row)``: each row as a struct, and what tells it apart from all others, also when a task runs again.
+
+    A table read from files has its file and place in it, so nothing is written. Others
+    are written with a number.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
-    return written(df.select(whole, F.monotonically_increasing_id().alias("row")), name)
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if "_metadata" not in df.columns:
+        # Two hashes of the path, 128 bits, instead of the path itself.
+        row = F.struct(F.xxhash64(file).alias("file"), F.xxhash64(F.lit(1), file).alias("again"), place.alias("place"))
+        try:
+            return df.select(whole, row.alias("row"))
+        except AnalysisException:
+            pass
+    return written(df.select(whole, F.struct(F.monotonically_increasing_id().alias("place")).alias("row")), name)
+
+
+def without(numbered_rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose ``row`` is not in the written table ``dropped``, as they were.
+
+    Rows that a bitmap of ``dropped`` rules out go on where they are; only the others,
+    about as many as are dropped, are shuffled with their texts.
+    """
+    key = F.xxhash64("row")
+    marked = only_possible(numbered_rows, key, dropped, key, "__perhaps")
+    unsure = marked.filter("__perhaps").join(dropped, "row", "left_anti")
+    return marked.filter("not __perhaps").select("whole.*").unionByName(unsure.select("whole.*"))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -52,22 +78,23 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(FILTER_BITS)) + F.lit(1)
+def _slot(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(bits)) + F.lit(1)
 
 
 def only_possible(df: DataFrame, key: Column, marked: DataFrame, marked_key: Column, flag: str) -> DataFrame:
     """Add ``flag``: false only if no row of ``marked`` has this 64-bit key.
 
-    ``marked`` becomes a bitmap of ``FILTER_BITS`` bits whatever its size (2 MB in at most
-    512 rows), which is why broadcasting it is safe. A few other keys pass too, more
+    ``marked``, a written table, becomes a bitmap of at most ``MOST_FILTER_BITS`` bits (32 MB
+    in 8192 rows), which is why broadcasting it is safe. A few other keys pass too, more
     when the bitmap fills up; the exact join comes after. It saves shuffling the rest.
     """
-    slot = _slot(marked_key)
+    bits = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (16 * marked.count()).bit_length()))
+    slot = _slot(marked_key, bits)
     bitmap = marked.select(
         F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")
     ).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    keyed = df.withColumn("__slot", _slot(key))
+    keyed = df.withColumn("__slot", _slot(key, bits))
     joined = keyed.join(F.broadcast(bitmap), F.bitmap_bucket_number("__slot") == F.col("bucket"), "left")
     position = F.bitmap_bit_position("__slot")
     byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
