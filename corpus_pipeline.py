@@ -19,7 +19,8 @@ MIX_SEED = 5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     machine = queries.quality_machine(spark, docs, sf_dir)
-    scored = factorisation.with_score(docs.select(F.struct(*docs.columns).alias("whole"), "text", "n_chars"), machine, "score")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    scored = factorisation.with_score(docs.select(whole, "text", "n_chars"), machine, "score")
     return scored.filter(F.col("score") >= queries.THRESHOLD).select("whole.*")
 
 
@@ -53,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.documents(spark, sf_dir)
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = tables.written(docs, f"pipeline-{number}")
-    return docs
+    """All stages on the whole table; a stage's input is given back once its output is written."""
+    docs, earlier = tables.documents(spark, sf_dir), []
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        docs, path = tables.temporary(stage(spark, docs, sf_dir), f"pipeline-{number}")
+        tables.release(spark, *earlier)
+        earlier = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
