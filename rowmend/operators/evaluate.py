@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowmend import storage
 from rowmend.functions.values import fbeta, ratio
 from rowmend.operators.ordering import running_totals
 
 
-def _counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def _weight(rows: str | None) -> Column:
+    """Rows that a row stands for: one, or the number in a column."""
+    return F.lit(1) if rows is None else F.col(rows)
+
+
+def _counts(df: DataFrame, actual: str, predicted: str, rows: str | None = None) -> DataFrame:
     """Rows per pair of labels, with zeros for pairs that do not occur."""
     pairs = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.sum(_weight(rows)).alias("n")
     )
     known = pairs.agg(
         F.array_distinct(F.concat(F.collect_set("actual"), F.collect_set("predicted"))).alias("labels")
@@ -22,7 +28,7 @@ def _counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return grid.join(pairs, ["actual", "predicted"], "left").fillna(0, ["n"])
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, rows: str | None = None) -> DataFrame:
     """``(actual, predicted, n, cell, share)``; the share is of the rows with that label."""
     row = F.sum("n").over(Window.partitionBy("actual"))
     cell = (
@@ -31,26 +37,28 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         .when((F.col("actual") == 1) & (F.col("predicted") == 0), "FN")
         .when((F.col("actual") == 1) & (F.col("predicted") == 1), "TP")
     )
-    return _counts(df, actual, predicted).select(
+    return _counts(df, actual, predicted, rows).select(
         "actual", "predicted", "n", cell.alias("cell"), F.round(ratio(F.col("n"), row), 6).alias("share")
     )
 
 
-def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    return df.agg(F.round(F.avg((F.col(actual) == F.col(predicted)).cast("double")), 12).alias("accuracy"))
+def accuracy(df: DataFrame, actual: str, predicted: str, rows: str | None = None) -> DataFrame:
+    same = F.col(actual) == F.col(predicted)
+    hits, known = (F.sum(F.when(c, _weight(rows)).otherwise(0)) for c in (same, same.isNotNull()))
+    return df.agg(F.round(F.try_divide(hits.cast("double"), known), 12).alias("accuracy"))
 
 
-def _outcomes(actual: Column, predicted: Column) -> list[Column]:
+def _outcomes(actual: Column, predicted: Column, rows: str | None = None) -> list[Column]:
     return [
-        F.sum(F.when((actual == 1) & (predicted == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when((actual != 1) & (predicted == 1), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when((actual == 1) & (predicted != 1), 1).otherwise(0)).alias("fn"),
+        F.sum(F.when((actual == 1) & (predicted == 1), _weight(rows)).otherwise(0)).alias("tp"),
+        F.sum(F.when((actual != 1) & (predicted == 1), _weight(rows)).otherwise(0)).alias("fp"),
+        F.sum(F.when((actual == 1) & (predicted != 1), _weight(rows)).otherwise(0)).alias("fn"),
     ]
 
 
-def anomaly_prf(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def anomaly_prf(df: DataFrame, actual: str, predicted: str, rows: str | None = None) -> DataFrame:
     """Precision, recall and F1 of class 1; zero where undefined."""
-    counts = df.agg(*_outcomes(F.col(actual), F.col(predicted)))
+    counts = df.agg(*_outcomes(F.col(actual), F.col(predicted), rows))
     rates = counts.select(
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
@@ -61,9 +69,9 @@ def anomaly_prf(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def weighted_prf(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+def weighted_prf(df: DataFrame, actual: str, predicted: str, rows: str | None = None) -> DataFrame:
     """Precision, recall and F1 averaged over classes by their support."""
-    cells = _counts(df, actual, predicted)
+    cells = _counts(df, actual, predicted, rows)
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     entries = cells.select(
         "n", hit.alias("hit"),
@@ -100,17 +108,17 @@ def fbeta_score(df: DataFrame, actual: str, predicted: str, beta: float = 2.0) -
     return counts.select(F.lit(beta).alias("beta"), F.round(fbeta(precision, recall, beta), 12).alias("fbeta"))
 
 
-def _score_counts(df: DataFrame, actual: str, score: str) -> DataFrame:
+def _score_counts(df: DataFrame, actual: str, score: str, rows: str | None = None) -> DataFrame:
     """Positives and negatives per distinct score: many equal scores become one row."""
     return df.groupBy(F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(F.col(actual) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(actual) == 1, 0).otherwise(1)).alias("neg"),
+        F.sum(F.when(F.col(actual) == 1, _weight(rows)).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col(actual) == 1, 0).otherwise(_weight(rows))).alias("neg"),
     )
 
 
-def roc_auc(df: DataFrame, actual: str, score: str) -> DataFrame:
+def roc_auc(df: DataFrame, actual: str, score: str, rows: str | None = None) -> DataFrame:
     """Area under the ROC curve with ties averaged; 0 unless both classes occur."""
-    ranked = running_totals(_score_counts(df, actual, score), "score", ["pos", "neg"])
+    ranked = running_totals(_score_counts(df, actual, score, rows), "score", ["pos", "neg"])
     # Pairs where the negative scores lower: those after this score, and half of the equal.
     sums = ranked.agg(
         F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"),
@@ -147,18 +155,26 @@ def metric_report(
     df: DataFrame, actual: str, predicted: str, score: str, threshold: float,
     search: dict[str, float] | None = None,
 ) -> DataFrame:
-    """The fixed metric set in long form ``(metric, value)``, twelve places."""
-    anomaly = anomaly_prf(df, actual, predicted)
+    """The fixed metric set in long form ``(metric, value)``, twelve places.
+
+    The rows are read once, to count them per score, label and prediction; every metric
+    is a sum over these counts.
+    """
+    counted = storage.cut_lineage(
+        df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), F.col(score).cast("double").alias("score"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    labels = (counted, "actual", "predicted", "rows")
     wide = (
-        anomaly.select(
+        anomaly_prf(*labels).select(
             F.col("f1"), F.col("precision"), F.col("recall"),
             F.col("f1").alias("f1_anomaly"), F.col("precision").alias("precision_anomaly"),
             F.col("recall").alias("recall_anomaly"),
         ),
-        weighted_prf(df, actual, predicted),
-        accuracy(df, actual, predicted),
-        roc_auc(df, actual, score),
-        confusion_matrix(df, actual, predicted).groupBy().pivot("cell", ["TN", "FP", "FN", "TP"]).agg(
+        weighted_prf(*labels),
+        accuracy(*labels),
+        roc_auc(counted, "actual", "score", "rows"),
+        confusion_matrix(*labels).groupBy().pivot("cell", ["TN", "FP", "FN", "TP"]).agg(
             F.sum("n").cast("double")
         ).select(*[F.col(c).alias(f"confusion_{c.lower()}") for c in ("TN", "FP", "FN", "TP")]),
     )

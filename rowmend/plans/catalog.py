@@ -31,6 +31,8 @@ FROZEN_CONTRIBUTIONS = {
     "o_orderstatus": "case when o_orderstatus = 'F' then 0.15 else -0.05 end",
     "o_orderpriority": "case when o_orderpriority = '1-URGENT' then 0.16 else -0.04 end",
     "c_mktsegment": "case when c_mktsegment = 'MACHINERY' then 0.17 else -0.03 end",
+    "o_month": "0.0",
+    "c_nationkey": "0.0",
     "o_totalprice": "o_totalprice / 2000000 - 0.1",
     "c_acctbal": "(10000 - c_acctbal) / 44000 - 0.1",
 }
@@ -415,12 +417,12 @@ def model_comparison_trained(spark, sf):
 # --- explanation -------------------------------------------------------------------------
 
 
-def frozen_contributions(df: DataFrame) -> DataFrame:
+def frozen_contributions(df: DataFrame, row_id: str = KEY) -> DataFrame:
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.expr(text).cast("double").alias("contribution"))
         for c, text in FROZEN_CONTRIBUTIONS.items()
     ])
-    return df.select(KEY, F.inline(entries))
+    return df.select(row_id, F.inline(entries))
 
 
 def attribute_rows(spark, sf):
@@ -522,6 +524,28 @@ def verify_repairs(spark, sf):
     )
 
 
+def _doubled(spark, sf):
+    """Flagged rows twice under the same key, the second time at twice the price, and their suggestions."""
+    rows = anomalies(spark, sf).select(KEY, *FEATURES)
+    dearer = rows.withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    numbered = suggest.numbered_rows(rows.unionByName(dearer))
+    top = explain.top_positive_features(frozen_contributions(numbered, suggest.NUMBER), suggest.NUMBER)
+    index = consensus.gower_index(healthy(spark, sf), FEATURES, KEY, 5)
+    found = consensus.nearest(index, numbered, suggest.NUMBER)
+    suggested = consensus.suggested_values(found, list(index.features), suggest.NUMBER)
+    chosen = suggested.join(top.select(suggest.NUMBER, "feature"), [suggest.NUMBER, "feature"], "left_semi")
+    return numbered, suggest.apply_suggestions(numbered, chosen, suggest.NUMBER, FEATURES)
+
+
+def verify_repeated_keys(spark, sf):
+    """Rows in and out, and rows normal after repair, of each key that is there twice."""
+    rows, repaired = _doubled(spark, sf)
+    checked = suggest.verify_repairs(frozen_score(rows), frozen_score(repaired), suggest.NUMBER)
+    return checked.join(rows.select(KEY, suggest.NUMBER), suggest.NUMBER).groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(suggest.NUMBER).alias("n_numbers")
+    )
+
+
 def verify_repairs_trained(spark, sf):
     """Suggestions of the trained detector applied and scored again."""
     result = trained(spark, sf)
@@ -682,7 +706,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         fit_detector, fit_multiclass, score_rows, select_threshold, baseline_models, isolation_forest,
         model_comparison, model_comparison_trained, attribute_rows, top_positive_features, global_attribution,
         batch_detect, batch_detect_trained, detect_summary, detect_filter, anomaly_ids, lookup_rows,
-        suggest_repairs, apply_suggestions, verify_repairs, verify_repairs_trained,
+        suggest_repairs, apply_suggestions, verify_repairs, verify_repairs_trained, verify_repeated_keys,
         greedy_repair, greedy_repair_trained, clip_bounds, cast_like, repair_status, repair_summary,
         latest_per_key, keep_recent_n, lookup_by_key, recent_n, parse_payload, epoch_ms,
     ]

@@ -445,6 +445,8 @@ def all_oracles() -> dict[str, str]:
         "lookup_rows": f"""with {DETECTED} select row_id, {LIST} from om
             where row_id in (select row_id from bd where prediction = 1)""",
         "apply_suggestions": f"with {APPLIED} select row_id, {LIST} from ap",
+        "verify_repeated_keys": f"""with {ORDERS} select row_id, 2::bigint as n_rows, 2::bigint as n_numbers
+            from om where label = 1""",
         "verify_repairs": f"""with {APPLIED}, af as (select row_id, {SCORE} as s from ap)
             select o.row_id, round(o.score, 6) as before_score, round(af.s, 6) as after_score,
                    (o.score >= 0.5)::int as before_pred, (af.s >= 0.5)::int as after_pred,

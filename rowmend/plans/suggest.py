@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowmend import storage
 from rowmend.functions import kinds
 from rowmend.operators.consensus import gower_index, suggested_values
 from rowmend.operators.explain import top_features_by_row
@@ -12,6 +13,7 @@ from rowmend.operators.neighbours import nearest
 # Neighbours behind a suggestion, features suggested per row.
 NEIGHBOURS = 5
 FEATURES = 3
+NUMBER = "row_number__"
 
 
 def _by_feature(names: list[str], build) -> Column:
@@ -54,7 +56,10 @@ def suggest_repairs(
 
 
 def apply_suggestions(rows: DataFrame, suggestions: DataFrame, row_id: str, names: list[str]) -> DataFrame:
-    """All suggested values of a row put in place; at most a few suggestions per row."""
+    """All suggested values of a row put in place; at most a few suggestions per row.
+
+    ``row_id`` tells rows apart; if keys repeat, give the column that ``numbered_rows`` adds.
+    """
     collected = suggestions.groupBy(row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", "suggested_number"))).alias("numbers"),
         F.map_from_entries(F.collect_list(F.struct("feature", "suggested_text"))).alias("texts"),
@@ -74,7 +79,10 @@ def apply_suggestions(rows: DataFrame, suggestions: DataFrame, row_id: str, name
 
 
 def verify_repairs(before: DataFrame, after: DataFrame, row_id: str) -> DataFrame:
-    """Score before and after per row, the change and whether the row is now normal."""
+    """Score before and after per row, the change and whether the row is now normal.
+
+    ``row_id`` tells rows apart, as in ``apply_suggestions``.
+    """
     joined = before.select(
         row_id, F.col("score").alias("before_score"), F.col("pred").alias("before_pred")
     ).join(
@@ -88,3 +96,23 @@ def verify_repairs(before: DataFrame, after: DataFrame, row_id: str) -> DataFram
         F.coalesce(F.format_string("%.1f", percent), F.lit("N/A")).alias("risk_change_percent"),
         (F.col("after_pred") == 0).alias("success"),
     )
+
+
+def numbered_rows(rows: DataFrame, number: str = NUMBER) -> DataFrame:
+    """``rows`` with a number of their own in ``number``, written, so that it stays."""
+    return storage.cut_lineage(rows.withColumn(number, F.monotonically_increasing_id()))
+
+
+def repair_by_suggestions(
+    detector, anomalies: DataFrame, pool: DataFrame, row_id: str, pool_id: str, k: int = NEIGHBOURS, n: int = FEATURES
+) -> DataFrame:
+    """Suggest, put in place and verify: one row per row of ``anomalies``, also where keys repeat.
+
+    The key, the repaired features, and the columns of ``verify_repairs``.
+    """
+    names = list(detector.features)
+    rows = numbered_rows(anomalies.select(row_id, *names))
+    suggested = suggest_repairs(detector, rows, pool, NUMBER, pool_id, k, n)
+    repaired = apply_suggestions(rows, suggested, NUMBER, names)
+    checked = verify_repairs(detector.score(rows), detector.score(repaired), NUMBER)
+    return repaired.join(checked, NUMBER).drop(NUMBER)

@@ -311,3 +311,19 @@ def test_any_number_of_categories_is_ranked(spark, size):
     assert max(ranks[f"v{i}"] for i in range(size // 2)) < min(ranks[f"v{i}"] for i in range(size // 2, size))
     unseen = prepared.transform(spark.createDataFrame([("new",), (None,)], "c string"))
     assert [r["vector"].toArray()[0] for r in unseen.collect()] == [0.0, 0.0]
+
+
+def test_repairs_by_suggestion_of_repeated_keys(spark, risk):
+    """Rows that share a key are repaired one by one: as many rows, and what each gets by itself."""
+    df, result = risk
+    flagged = result.detector.score(df).filter("pred = 1").select("row_id", *RISK).limit(12)
+    other = flagged.withColumn("hours", F.col("hours") + 500)
+    both = flagged.unionByName(other)
+    apart = flagged.unionByName(other.withColumn("row_id", F.col("row_id") + 100_000))
+    columns = [*RISK, "before_score", "after_score", "success"]
+    found = [
+        sorted((r["row_id"] % 100_000, *[r[c] for c in columns]) for r in suggest.repair_by_suggestions(
+            result.detector, rows, result.normal_rows, "row_id", "row_id").collect())
+        for rows in (both, apart)
+    ]
+    assert len(found[0]) == both.count() and found[0] == found[1]
