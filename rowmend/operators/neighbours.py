@@ -34,6 +34,8 @@ BLOCK_ROWS = 8_192
 BROADCAST_BYTES = 64 << 20
 HOT_QUERIES = 500
 SALTS = 64
+# A block with more than this part of a task's queries is salted.
+SHARES = 4
 CELL_PARTS = 64
 PART_SHIFT = 24
 VALUE_LIMIT = 64
@@ -580,6 +582,37 @@ def _make_closest(task: _Task, id_name: str):
 # --- the join --------------------------------------------------------------------------
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = storage.fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _meet(packed: DataFrame, blocks: DataFrame, broadcast: bool, tasks: int) -> DataFrame:
+    """Packed queries with the block each names.
+
+    Without ``broadcast`` both sides go by block. A block that draws more than its share of
+    a task's queries, found by a histogram of the visits, is there under several salts
+    and each packed row goes to one of them. At most ``SHARES`` blocks per task are hot.
+    """
+    keys = ["cell", "chunk"]
+    if broadcast:
+        return packed.join(F.broadcast(blocks), keys)
+    packed = _written(packed, "visits")
+    visits = packed.groupBy(*keys).agg(F.sum(F.size("query_rows")).alias("visits"))
+    total = visits.agg(F.sum("visits")).first()[0] or 0
+    share = max(1, total // (SHARES * tasks))
+    hot = [(r["cell"], r["chunk"], -(-r["visits"] // share)) for r in visits.filter(F.col("visits") > share).collect()]
+    if not hot:
+        return packed.join(blocks, keys)
+    table = F.broadcast(packed.sparkSession.createDataFrame(hot, "cell int, chunk int, salts long"))
+    salts = F.coalesce("salts", F.lit(1))
+    one = F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts)
+    left = packed.join(table, keys, "left").withColumn("salt", one).drop("salts")
+    right = blocks.join(table, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"])
+
+
 def nearest(
     index: NeighbourIndex,
     queries: DataFrame,
@@ -625,18 +658,17 @@ def nearest(
          T.StructField("distance", T.DoubleType()),
          T.StructField("neighbour", T.StructType([pool_type[f.name] for f in index.features]))]
     )
-    # A pool this small goes to every task; a larger one is joined by a shuffle on the cell.
-    blocks = F.broadcast(index.blocks) if index.size <= broadcast_bytes else index.blocks
+    # A pool this small goes to every task; a larger one is joined by a shuffle on the block.
+    everywhere = index.size <= broadcast_bytes
     tasks = parallel.tasks(spark)
     homes = (
         clean.repartition(tasks, row_id)
         .mapInArrow(_make_home(task, shared), placed_type)
         .repartition(tasks, "cell", "chunk", "salt")
     )
-    first = homes.mapInArrow(_pack_queries, home_type).join(blocks, ["cell", "chunk"])
-    second = first.select("query_rows", "pool_rows").mapInArrow(
-        _make_visits(task, shared), visit_type
-    ).join(blocks, ["cell", "chunk"])
+    first = _meet(homes.mapInArrow(_pack_queries, home_type), index.blocks, everywhere, tasks)
+    visits = first.select("query_rows", "pool_rows").mapInArrow(_make_visits(task, shared), visit_type)
+    second = _meet(visits, index.blocks, everywhere, tasks)
     candidates = second.select("query_rows", "pool_rows").mapInArrow(
         _make_closest(task, row_id), result_type
     )

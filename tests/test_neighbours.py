@@ -154,3 +154,41 @@ def test_plan_prunes_before_the_last_shuffle(spark):
     plan = neighbours.nearest(index, frame(spark, make(10, 9)), "key")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """Joins that Spark would broadcast or coalesce at this size stay shuffles of eight partitions."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    yield
+    for name in held:
+        spark.conf.unset(name)
+
+
+def test_hot_blocks_are_met_by_many_tasks(spark, shuffled_joins):
+    """A third of all visits go to one block: no task gets three times the median, no visit is lost or doubled."""
+    from pyspark.sql import functions as F
+
+    packed = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 61).cast("int").alias("cell"), F.lit(0).alias("chunk"),
+        F.array(F.struct("id")).alias("query_rows"),
+    ).repartition(16)
+    blocks = spark.range(61).select(F.col("id").cast("int").alias("cell"), F.lit(0).alias("chunk"), F.array("id").alias("pool_rows"))
+    met = neighbours._meet(packed, blocks, False, 8)
+    assert met.count() == 6000 and met.select("query_rows").distinct().count() == 6000
+    assert met.filter("cell <> pool_rows[0]").isEmpty()
+    per_task = sorted(r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect())
+    assert len(per_task) == 8 and per_task[-1] < 3 * per_task[4]
+
+
+def test_a_third_of_pool_and_queries_in_one_cell(spark, shuffled_joins, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    pool, queries = make(900, 31), make(240, 32)
+    for df in (pool, queries):
+        third = len(df) // 3
+        df.loc[: third - 1, ["color", "city", "grade"]] = ["red", "c1", 2]
+        df.loc[: third - 1, "x"] = (df.loc[: third - 1, "x"] / 50).round(4)
+    index = neighbours.build_index(frame(spark, pool), FEATURES, "key", 5, rows_per_cell=40)
+    agree(found(spark, index, frame(spark, queries), broadcast_bytes=0), brute(queries, pool, FEATURES, 5))
