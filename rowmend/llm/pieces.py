@@ -31,13 +31,14 @@ CHECKED_TOGETHER = 256
 BITS = 22
 FOREIGN = 1 << 21
 NO_PAIR = np.iinfo(np.int64).max
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
 class PieceCodec:
     """Vocabulary, agenda encoder and decoder of one model file, with a bounded cache of parts."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.library.get_piece_size()
         names = [self.library.id_to_piece(i) for i in range(n)]
@@ -228,7 +229,7 @@ class PieceCodec:
 
     def _known(self, texts: list[str]) -> list[list[str]]:
         split = [self.split(t) for t in texts]
-        if len(self.coded) > CACHE:
+        if len(self.coded) > self.cache:
             self.coded.clear()
             self.spelled.clear()
         self.learn(set(chain.from_iterable(split)))
@@ -246,11 +247,11 @@ class PieceCodec:
             )
 
 
-def codec(path: str) -> PieceCodec:
+def codec(path: str, cache: int = CACHE) -> PieceCodec:
     """One codec per worker process and file."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    if (path, cache) not in _codecs:
+        _codecs[path, cache] = PieceCodec(path, cache)
+    return _codecs[path, cache]
 
 
 def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,16 +280,18 @@ def decoded(coded: DataFrame, model: str) -> DataFrame:
     return coded.select("id", "ids").mapInArrow(work, f"id {_type(coded, 'id')}, text string")
 
 
-def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE
+) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: every text encoded, then its ids decoded.
 
-    A map over the rows without a shuffle; memory is one slice of texts and the cache.
-    Null is the empty text. Repeated rows and null ids of rows stay as they are.
+    A map over the rows without a shuffle; memory is one slice of texts and the cache of
+    ``cache`` parts, which stays in the worker. Null is the empty text. Repeated rows and null ids of rows stay as they are.
     """
     tables.ready(docs)
 
     def work(batches):
-        own = codec(model)
+        own = codec(model, cache)
         for batch in pieces(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             n, ids, text = zip(*own.digests(texts))
