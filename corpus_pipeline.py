@@ -14,6 +14,8 @@ from rowmend.llm import factorisation, mixing, pieces, queries, refine, simhash,
 
 MIX_SHARE = 0.9
 MIX_SEED = 5
+# Parts of texts that a worker remembers; it also serves the other stages.
+PIECE_CACHE = 120_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pieces.round_trip(docs, public_tokenizers.path(queries.PIECE_MODEL))
+    found = pieces.round_trip(docs, public_tokenizers.path(queries.PIECE_MODEL), cache=PIECE_CACHE)
     return found.withColumnRenamed("id", "doc_id")
 
 
