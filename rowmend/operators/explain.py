@@ -21,8 +21,10 @@ from rowmend import parallel, shipping, storage
 from rowmend.operators.quantiles import exact_quantiles
 
 
-def _tree_nodes(detector, spark) -> list[tuple[float, dict[int, Any]]]:
+def _tree_nodes(detector, spark, which: int = 1) -> list[tuple[float, dict[int, Any]]]:
     """``(tree weight, {node id: row})`` from the saved model; size is trees times nodes."""
+    if not detector.binary:
+        return detector.classifier.tree_nodes(which)
     path = storage.fresh_path(spark, "trees")
     detector.classifier.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
@@ -112,20 +114,24 @@ def _contributions(x: np.ndarray, leaves: list[dict[str, Any]], width: int) -> n
     return total.T
 
 
-def contribution_arrays(detector, df: DataFrame, row_id: str) -> tuple[DataFrame, float]:
-    """``(row_id, parts, margin)`` with one contribution per feature, and the base value."""
+def contribution_arrays(detector, df: DataFrame, row_id: str, which: int = 1) -> tuple[DataFrame, float]:
+    """``(row_id, parts, margin)`` with one contribution per feature, and the base value.
+
+    Of more than two classes, ``which`` is the place of the one whose margin is explained.
+    """
     spark = df.sparkSession
     shipping.ship_package(spark)
-    leaves, base = [], 0.0
-    for weight, nodes in _tree_nodes(detector, spark):
+    leaves, base = [], 0.0 if detector.binary else detector.classifier.base[which]
+    for weight, nodes in _tree_nodes(detector, spark, which):
         found, expected = _leaves(weight, nodes)
         leaves += found
         base += expected
     shared = spark.sparkContext.broadcast(leaves)
     names = list(detector.features)
     origin = np.array([names.index(c) for c in detector.origin])
+    raw = vector_to_array("rawPrediction")[1] if detector.binary else F.col("rawPrediction")[which]
     vectors = detector.transform(parallel.spread(df, row_id)).select(
-        row_id, vector_to_array("vector").alias("x"), vector_to_array("rawPrediction")[1].alias("margin")
+        row_id, vector_to_array("vector").alias("x"), raw.alias("margin")
     )
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +155,10 @@ def contribution_arrays(detector, df: DataFrame, row_id: str) -> tuple[DataFrame
     return vectors.mapInArrow(explain, schema), base
 
 
-def attribute_rows(detector, df: DataFrame, row_id: str) -> DataFrame:
+def attribute_rows(detector, df: DataFrame, row_id: str, which: int = 1) -> DataFrame:
     """``(row_id, feature, contribution, base, margin)``: per row the contributions add up
-    from the base to the margin of the model."""
-    wide, base = contribution_arrays(detector, df, row_id)
+    from the base to the margin of the model, of more than two classes that at place ``which``."""
+    wide, base = contribution_arrays(detector, df, row_id, which)
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col("parts")[i].alias("contribution"))
         for i, c in enumerate(detector.features)

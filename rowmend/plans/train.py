@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,6 +15,7 @@ from rowmend import errors, parallel, storage
 from rowmend.functions import kinds
 from rowmend.functions.values import clamp_threshold
 from rowmend.operators import evaluate, prep, profile, split
+from rowmend.operators.boosting import SoftmaxTrees, fit_softmax_trees
 from rowmend.operators.ordering import dense_positions
 from rowmend.operators.repair import feature_weights
 from rowmend.operators.threshold import ThresholdRule, select_threshold
@@ -71,7 +72,7 @@ class Detector:
     """Feature preparation plus classifier, with the threshold that turns scores into flags."""
 
     preparation: Preparation
-    classifier: Model
+    classifier: Model | SoftmaxTrees
     features: list[str]
     threshold: float
     binary: bool = True
@@ -239,11 +240,10 @@ def fit_detector(
         threshold = clamp_threshold(record.pop("decision_threshold"), options.rule.default)
         search = {f"threshold_{k}" if not k.startswith("threshold") else k: v for k, v in record.items()}
     else:
-        forest = RandomForestClassifier(
-            featuresCol="vector", labelCol="label__", weightCol="class_weight", seed=options.seed,
-            maxBins=BINS, numTrees=options.trees, maxDepth=8,
+        model = fit_softmax_trees(
+            prepare.transform(prep.class_weights(train, "label__")), "label__", "class_weight",
+            options.trees, options.depth, options.step,
         )
-        model = forest.fit(prepare.transform(prep.class_weights(train, "label__")))
     detector = Detector(prepare, model, features, threshold, binary)
 
     scored = storage.cut_lineage(detector.score(test.select(row_id, *features, "label__")))

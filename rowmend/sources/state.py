@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from rowmend import errors
 from rowmend.functions.values import clamp_threshold
+from rowmend.operators.boosting import SoftmaxTrees
 from rowmend.plans.train import Detector, Preparation, TrainingResult
 
 PARTS = ("model", "stages", "ranks", "test_rows", "normal_rows", "config")
@@ -22,48 +25,80 @@ class SavedState:
     normal_rows: DataFrame
 
 
+def _missing(spark: SparkSession, path: str) -> bool:
+    """Whether nothing lies at ``path``; only names are listed."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return True
+    return False
+
+
+def _published(spark: SparkSession, root: str) -> list[dict]:
+    """What has been published, a manifest per save, the last one first."""
+    if _missing(spark, f"{root}/manifests"):
+        return []
+    found = [json.loads(r["value"]) for r in spark.read.text(f"{root}/manifests").collect()]
+    return sorted(found, key=lambda m: (m["number"], m["folder"]), reverse=True)
+
+
 def save_state(result: TrainingResult, path: str) -> str:
+    """Write every part into a folder of its own and publish it by one manifest at the end.
+
+    Readers trust manifests only: a save that breaks off changes nothing for them, and one
+    that runs beside them leaves the files they read alone. Earlier saves stay in place.
+    """
     root = path.rstrip("/")
     detector = result.detector
     spark = result.test_rows.sparkSession
-    PipelineModel([detector.classifier]).write().overwrite().save(f"{root}/model")
-    PipelineModel(detector.preparation.stages).write().overwrite().save(f"{root}/stages")
-    detector.preparation.ranks.write.mode("overwrite").parquet(f"{root}/ranks")
-    result.test_rows.write.mode("overwrite").parquet(f"{root}/test_rows")
-    result.normal_rows.write.mode("overwrite").parquet(f"{root}/normal_rows")
+    number = 1 + max((m["number"] for m in _published(spark, root)), default=0)
+    folder = f"save-{number}-{uuid.uuid4().hex}"
+    place = f"{root}/{folder}"
+    if detector.binary:
+        PipelineModel([detector.classifier]).write().save(f"{place}/model")
+    else:
+        detector.classifier.save(spark, f"{place}/model")
+    PipelineModel(detector.preparation.stages).write().save(f"{place}/stages")
+    detector.preparation.ranks.write.parquet(f"{place}/ranks")
+    result.test_rows.write.parquet(f"{place}/test_rows")
+    result.normal_rows.write.parquet(f"{place}/normal_rows")
     config = {
         "features": detector.features, "inputs": detector.inputs, "origin": detector.origin,
         "classes": detector.preparation.classes,
         "threshold": detector.threshold, "binary": detector.binary,
     }
-    spark.createDataFrame([(json.dumps(config),)], "value string").write.mode("overwrite").text(f"{root}/config")
+    _text(spark, config).write.text(f"{place}/config")
+    _text(spark, {"number": number, "folder": folder, "parts": PARTS}).write.mode("append").text(f"{root}/manifests")
     return root
 
 
+def _text(spark: SparkSession, content: dict) -> DataFrame:
+    return spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1)
+
+
 def load_state(spark: SparkSession, path: str) -> SavedState:
-    """Load all parts; a missing one is named in the error."""
+    """Load all parts of the last published save; a missing one is named in the error."""
     root = path.rstrip("/")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    missing = []
-    for part in PARTS:
-        place = hadoop(f"{root}/{part}")
-        if not place.getFileSystem(conf).exists(place):
-            missing.append(part)
+    published = _published(spark, root)
+    if not published:
+        raise errors.DataError(errors.FILE_NOT_FOUND, "no complete saved state", path=root, missing=list(PARTS))
+    place = f"{root}/{published[0]['folder']}"
+    missing = [part for part in published[0]["parts"] if _missing(spark, f"{place}/{part}")]
     if missing:
         raise errors.DataError(errors.FILE_NOT_FOUND, "saved state is incomplete", path=root, missing=missing)
     try:
-        config = json.loads(spark.read.text(f"{root}/config").first()[0])
+        config = json.loads(spark.read.text(f"{place}/config").first()[0])
         preparation = Preparation(
-            spark.read.parquet(f"{root}/ranks"), config["classes"],
-            PipelineModel.load(f"{root}/stages").stages, config["inputs"], config["origin"],
-        )
-        detector = Detector(
-            preparation, PipelineModel.load(f"{root}/model").stages[0], config["features"],
-            clamp_threshold(config["threshold"]), bool(config["binary"]),
+            spark.read.parquet(f"{place}/ranks"), config["classes"],
+            PipelineModel.load(f"{place}/stages").stages, config["inputs"], config["origin"],
         )
+        binary = bool(config["binary"])
+        model = PipelineModel.load(f"{place}/model").stages[0] if binary else SoftmaxTrees.load(spark, f"{place}/model")
+        detector = Detector(preparation, model, config["features"], clamp_threshold(config["threshold"]), binary)
         return SavedState(
-            detector, spark.read.parquet(f"{root}/test_rows"), spark.read.parquet(f"{root}/normal_rows")
+            detector, spark.read.parquet(f"{place}/test_rows"), spark.read.parquet(f"{place}/normal_rows")
         )
     except errors.DataError:
         raise

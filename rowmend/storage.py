@@ -36,6 +36,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back(spark: SparkSession, *paths: str) -> None:
+    """Free the space of written tables that nothing reads any more."""
+    for path in paths:
+        spark.createDataFrame([], "gone int").write.mode("overwrite").parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise reliably; later plans read the files, not the steps behind them."""
     shared_dir(df.sparkSession)
