@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rowmend.llm import tables
 from rowmend.llm.text import ALPHANUMERIC, LOWER, flat, hashes, mix, per_text, pieces, spans
@@ -15,6 +15,8 @@ from rowmend.llm.text import ALPHANUMERIC, LOWER, flat, hashes, mix, per_text, p
 # The longest k-grams that may vote, and the least agreement of a span with its template.
 K = 3
 LEAST_LIKENESS = 0.8
+# Grams in a list of one text, and the most template grams that are broadcast (some 40 MB).
+LIST_GRAMS, BROADCAST_GRAMS = 1 << 16, 1 << 20
 
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -99,16 +101,11 @@ def sought(label: str, text: str, likeness: float = LEAST_LIKENESS) -> Sought:
     return Sought(label, words, k, least, edits[0][1])
 
 
-def postings(listed: list[Sought]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length ``k`` in use: the grams, ascending, with their templates and places."""
-    out = []
-    for k in sorted({t.k for t in listed}):
-        rows = [
-            (g, number, at) for number, t in enumerate(listed) if t.k == k
-            for at, g in enumerate(grams(hashes_of(t.words), k).tolist())
-        ]
-        out.append((k, *(np.array(column, np.int64) for column in zip(*sorted(rows)))))
-    return out
+def postings(listed: list[Sought]) -> list[tuple[int, int, int, int]]:
+    """``(k, gram, template, at)`` for the grams of every template, of the length it uses."""
+    return [
+        (t.k, g, number, at) for number, t in enumerate(listed) for at, g in enumerate(grams(hashes_of(t.words), t.k).tolist())
+    ]
 
 
 def phrase_places(
@@ -136,43 +133,66 @@ def phrase_places(
     return np.bincount(owner, minlength=n), first, last, labels
 
 
-def candidate_spans(
-    hashed: np.ndarray, doc: np.ndarray, bounds: np.ndarray, listed: list[Sought], posted: list[tuple],
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, template, first word and end of every run of words that may hold a span like enough.
+def gram_lists(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``(row, k, first, grams)``: all rolling k-grams of every text, in lists of at most
+    ``LIST_GRAMS``; ``first`` is the word at which a list begins."""
 
-    Equal k-grams vote for their offset in the text less the one in the template. Offsets as
-    far apart as added words can move them are one place; it is kept if it has the votes that
-    the likeness guarantees, and reaches as far as the words of such a span can.
+    def work(batches):
+        for batch in pieces(batches, "text"):
+            _, _, _, doc, hashed = _located(batch.column("text"))
+            words = np.diff(per_text(doc, batch.num_rows))
+            for k in lengths:
+                rolled = grams(hashed, k)[doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :]]
+                count = np.maximum(words - k + 1, 0)
+                lists = -(-count // LIST_GRAMS)
+                owner = np.repeat(np.arange(batch.num_rows), lists)
+                first = (np.arange(len(owner)) - np.repeat(np.cumsum(lists) - lists, lists)) * LIST_GRAMS
+                size = np.minimum(LIST_GRAMS, count[owner] - first)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                yield pa.record_batch(
+                    [batch.column("row").take(pa.array(owner)), pa.array(np.full(len(owner), k)), pa.array(first),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rolled))],
+                    ["row", "k", "first", "grams"],
+                )
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(work, f"row {kind}, k bigint, first bigint, grams array<bigint>")
+
+
+def candidate_spans(rows: DataFrame, listed: list[Sought]) -> DataFrame:
+    """``(row, spans)``: runs of words, ``(template, begin, stop)``, that may hold a span like enough.
+
+    Every k-gram is joined with the places of templates it stands at and votes for its place in
+    the text less the one in the template, its diagonal. Diagonals as far apart as added words
+    can move them are one; it is kept if it has the votes that the likeness guarantees, and
+    reaches as far as the words of such a span can.
     """
-    hits = []
-    for k, gram, template, at in posted:
-        rolled = grams(hashed, k)
-        slots = np.zeros(1 << 16, bool)
-        slots[gram & 0xFFFF] = True
-        place = np.flatnonzero(slots[rolled & 0xFFFF])
-        place = place[doc[place] == doc[place + k - 1]]
-        low = np.searchsorted(gram, rolled[place], side="left")
-        many = np.searchsorted(gram, rolled[place], side="right") - low
-        place = np.repeat(place, many)
-        which = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(place))
-        hits.append((doc[place], template[which], place - bounds[doc[place]] - at[which], at[which]))
-    owner, template, diagonal, at = (np.concatenate(column) for column in zip(*hits))
-    order = np.lexsort((diagonal, template, owner))
-    owner, template, diagonal, at = owner[order], template[order], diagonal[order], at[order]
-    least, extra, size = (np.array(x, np.int64) for x in zip(*((t.least, t.extra, len(t.words)) for t in listed)))
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (template[1:] != template[:-1]) | (np.diff(diagonal) > extra[template[1:]])
-    starts = np.flatnonzero(new)
-    width = int(size.max())
-    votes = np.bincount(np.unique((np.cumsum(new) - 1) * width + at) // width, minlength=len(starts))
-    kept = votes >= least[template[starts]]
-    ends = np.append(starts[1:], len(owner))[: len(starts)] - 1
-    first, last = diagonal[starts][kept], diagonal[ends][kept]
-    owner, template = owner[starts][kept], template[starts][kept]
-    begin = np.maximum(bounds[owner] + first - extra[template], bounds[owner])
-    stop = np.minimum(bounds[owner] + last + size[template] + extra[template], bounds[owner + 1])
-    return owner, template, begin, stop
+    spark = rows.sparkSession
+    places = postings(listed)
+    posted = spark.createDataFrame(places, "k bigint, gram bigint, template int, at bigint")
+    if len(places) <= BROADCAST_GRAMS:
+        posted = F.broadcast(posted)
+    limits = spark.createDataFrame(
+        [(n, t.least, t.extra, len(t.words)) for n, t in enumerate(listed)], "template int, least int, extra int, size int"
+    )
+    each = gram_lists(rows, sorted({t.k for t in listed})).select("row", "k", "first", F.posexplode("grams").alias("place", "gram"))
+    votes = each.join(posted, ["k", "gram"]).groupBy(
+        "row", "template", (F.col("first") + F.col("place") - F.col("at")).alias("diagonal")
+    ).agg(F.collect_set("at").alias("at"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.col("extra")
+    merged = (
+        votes.join(F.broadcast(limits), "template").withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
+        .withColumn("run", F.sum("new").over(along))
+        .groupBy("row", "template", "run", "least", "extra", "size")
+        .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.flatten(F.collect_list("at")).alias("at"))
+        .filter(F.size(F.array_distinct("at")) >= F.col("least"))
+    )
+    span = F.struct(
+        "template", F.greatest(F.col("low") - F.col("extra"), F.lit(0)).alias("begin"),
+        (F.col("high") + F.col("size") + F.col("extra")).alias("stop"),
+    )
+    return merged.groupBy("row").agg(F.collect_list(span).alias("spans"))
 
 
 def best_agreement(words: list[bytes], places: dict[bytes, int], size: int, extra: int) -> float:
@@ -201,21 +221,9 @@ def best_agreement(words: list[bytes], places: dict[bytes, int], size: int, extr
     return most / of
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per input row.
-
-    Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Base
-    labels come from phrases anywhere in the text, the others from spans whose words agree
-    with a template's: every span that agrees enough counts. The score is the best
-    agreement, 1 where a phrase stands. The templates are a fixed list, so a row needs no
-    other row. Null texts have no words, ids may be null or repeat, an empty table gives an
-    empty result.
-    """
-    tables.ready(docs)
-    rows = docs.select(F.col(id_col).alias("id"), tables.text_or_empty(text_col).alias("text"))
-    phrases = [(hashes_of(words_of(p)), label) for p, label in PHRASES.items()]
-    listed = [sought(label, text) for label, text in templates]
-    posted = postings(listed)
+def verified(rows: DataFrame, listed: list[Sought]) -> DataFrame:
+    """``(row, found, best)`` from rows with ``text`` and ``spans``: labels of templates with a span
+    that agrees enough, and the best agreement; rows without one are left out."""
     wanted = []
     for t in listed:
         places: dict[bytes, int] = {}
@@ -225,29 +233,75 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
 
     def work(batches):
         for batch in pieces(batches, "text"):
-            low, starts, ends, doc, hashed = _located(batch.column("text"))
-            bounds = per_text(doc, batch.num_rows)
-            count, first, last, base = phrase_places(hashed, doc, bounds, phrases)
-            labels, best = [set(b) for b in base], np.where(count > 0, 1.0, 0.0)
-            raw = low.tobytes()
-            if listed:
-                for d, number, a, b in zip(*(x.tolist() for x in candidate_spans(hashed, doc, bounds, listed, posted))):
-                    template, places = wanted[number]
+            low, starts, ends, doc, _ = _located(batch.column("text"))
+            bounds, raw = per_text(doc, batch.num_rows), low.tobytes()
+            labels, best = [set() for _ in range(batch.num_rows)], np.zeros(batch.num_rows)
+            for d, spans_of in enumerate(batch.column("spans").to_pylist()):
+                for s in spans_of:
+                    template, places = wanted[s["template"]]
+                    a, b = bounds[d] + s["begin"], min(bounds[d] + s["stop"], bounds[d + 1])
                     words = [raw[i:j] for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist())]
                     ratio = best_agreement(words, places, len(template.words), template.extra)
                     if ratio >= LEAST_LIKENESS:
                         labels[d].add(template.label)
                         best[d] = max(best[d], ratio)
+            some = pa.array([bool(found) for found in labels])
+            found = pa.array([sorted(found) for found in labels], pa.list_(pa.string()))
+            yield pa.record_batch([batch.column("row"), found, pa.array(best)], ["row", "found", "best"]).filter(some)
+
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(work, f"row {kind}, found array<string>, best double")
+
+
+def phrases_in(rows: DataFrame) -> DataFrame:
+    """``(row, id, n_words, n_base, first_word, last_word, base)`` of every row."""
+    phrases = [(hashes_of(words_of(p)), label) for p, label in PHRASES.items()]
+
+    def work(batches):
+        for batch in pieces(batches, "text"):
+            _, _, _, doc, hashed = _located(batch.column("text"))
+            bounds = per_text(doc, batch.num_rows)
+            count, first, last, base = phrase_places(hashed, doc, bounds, phrases)
             none = count == 0
-            text = lambda found: pa.array([",".join(sorted(f)) for f in found], pa.string())
             yield pa.record_batch(
-                [batch.column("id"), pa.array(np.diff(bounds)), pa.array(count), pa.array(first, mask=none),
-                 pa.array(last, mask=none), text(base), text(labels), pa.array(best)],
-                ["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                [batch.column("row"), batch.column("id"), pa.array(np.diff(bounds)), pa.array(count), pa.array(first, mask=none),
+                 pa.array(last, mask=none), pa.array([sorted(b) for b in base], pa.list_(pa.string()))],
+                ["row", "id", "n_words", "n_base", "first_word", "last_word", "base"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(
-        work, f"id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
-        "labels string, score double"
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("row", "id")]
+    return rows.select("row", "id", "text").mapInArrow(
+        work, f"row {kinds[0]}, id {kinds[1]}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
+        "base array<string>"
+    )
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per input row.
+
+    Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Base
+    labels come from phrases anywhere in the text, the others from spans whose words agree
+    with a template's: every span that agrees enough counts. The score is the best
+    agreement, 1 where a phrase stands. Only texts with a candidate span are shuffled. Null
+    texts have no words, ids may be null or repeat, an empty table gives an empty result,
+    other columns are not read.
+    """
+    spark = tables.ready(docs)
+    rows = tables.numbered(docs, "scanned").select(
+        "row", F.col(f"whole.`{id_col}`").alias("id"), F.coalesce(F.col(f"whole.`{text_col}`").cast("string"), F.lit("")).alias("text")
+    )
+    result = phrases_in(rows)
+    added = spark.createDataFrame([], f"row {rows.schema['row'].dataType.simpleString()}, found array<string>, best double")
+    if templates:
+        listed = [sought(label, text) for label, text in templates]
+        spans, path = tables.temporary(candidate_spans(rows, listed), "spans")
+        key = F.xxhash64("row")
+        likely = tables.only_possible(rows.select("row", "text"), key, spans, key, "__perhaps").filter("__perhaps")
+        added = tables.written(verified(likely.join(spans, "row").select("row", "text", "spans"), listed), "licences")
+        tables.release(spark, path)
+    every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
+    return result.join(added, "row", "left").select(
+        "id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce("best", F.lit(0.0))).alias("score"),
     )

@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 from conftest_llm import ODD_ROWS, SMALL, frame, rows_of, table
 
-from rowmend.llm import licences, queries, spotsigs, urlrules
+from pyspark.sql import functions as F
+
+from rowmend.llm import licences, queries, spotsigs, tables, urlrules
 
 URLS = [
     "http://net/", "http://a.net", "https://EXAMPLE.net/en/x?y=/de/", "http://b.example.net/en/", "http://example.net/en",
@@ -204,3 +206,22 @@ def test_near_pairs(spark, small_docs):
     want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if spotsigs.likeness(sets[x], sets[y], 0.8)}
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
     assert members.count() == len(texts)
+
+
+def test_lists_of_grams_may_be_cut_anywhere(spark, monkeypatch):
+    text = " ".join(["some words"] * 9 + [licences.TEMPLATES[3][1]] + ["others"] * 5 + [licences.TEMPLATES[8][1]])
+    docs = frame(spark, [(1, text, None, None, None), (1, text, None, None, None), (2, "none here", None, None, None)])
+    whole = sorted(tuple(r) for r in licences.scan(docs).collect())
+    monkeypatch.setattr(licences, "LIST_GRAMS", 4)
+    monkeypatch.setattr(licences, "BROADCAST_GRAMS", 0)
+    assert sorted(tuple(r) for r in licences.scan(docs).collect()) == whole
+    assert [r[6] for r in whole] == ["bsd,mit", "bsd,mit", ""]
+
+
+def test_votes_are_joined_and_counted_by_spark(spark):
+    rows = tables.numbered(frame(spark, [(1, "a b c d", None, None, None)]), "rows").select("row", F.lit("a b c d").alias("text"))
+    plan = licences.candidate_spans(rows, [licences.sought("x", "a b c d")])
+    spans = plan.collect()
+    assert len(spans) == 1 and [s["template"] for s in spans[0]["spans"]] == [0]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in text and "diagonal" in text and "Aggregate" in text
