@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Imputer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowmend import storage
 from rowmend.functions import kinds
@@ -11,7 +11,8 @@ from rowmend.operators.ordering import dense_positions
 
 # Fixed value: the class that missing categories form.
 MISSING_CLASS = "nan"
-BROADCAST_CLASSES = 200_000
+# What the values of a column may take to be sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -57,12 +58,15 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>_idx`` with the code of each value; the raw column stays."""
     codes = storage.cut_lineage(label_codes(df, columns))
-    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
+    sizes = {
+        r["column"]: r["bytes"]
+        for r in codes.groupBy("column").agg(F.sum(F.octet_length("value") + 48).alias("bytes")).collect()
+    }
     for c in columns:
         mapping = codes.filter(F.col("column") == c).select(
             F.col("value").alias(f"{c}_value"), F.col("code").alias(f"{c}_idx")
         )
-        if sizes.get(c, 0) <= BROADCAST_CLASSES:
+        if sizes.get(c, 0) <= BROADCAST_BYTES:
             mapping = F.broadcast(mapping)
         df = df.join(mapping, class_text(c) == F.col(f"{c}_value"), "left").drop(f"{c}_value")
     return df
@@ -93,6 +97,44 @@ def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *flags)
 
 
+def flag_places(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value, place)``: where the flag of a value stands in a sparse row.
+
+    Columns and then values are in order, the first value of a column has no flag. Places
+    come from one range shuffle; the values stay on the executors.
+    """
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    values = texts.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull()).distinct()
+    placed = storage.cut_lineage(dense_positions(values, ["column", "value"], "position"))
+    first = placed.groupBy("column").agg(F.min("position").alias("first")).select(
+        "column", "first", F.row_number().over(Window.orderBy("column")).alias("number")
+    )
+    return placed.join(F.broadcast(first), "column").filter(F.col("position") > F.col("first")).select(
+        "column", "value", (F.col("position") - F.col("number")).alias("place")
+    )
+
+
+def one_hot_sparse(df: DataFrame, columns: list[str], name: str = "flags") -> tuple[DataFrame, DataFrame]:
+    """The rows with the ascending places of their set flags instead of ``columns``, and ``flag_places``.
+
+    The same flags as ``one_hot`` for columns of any number of values: a row has at most one
+    place per column. The values of a column are broadcast up to ``BROADCAST_BYTES``,
+    measured, and joined by a shuffle beyond.
+    """
+    places = flag_places(df, columns)
+    sizes = {
+        r["column"]: r["bytes"]
+        for r in places.groupBy("column").agg(F.sum(F.octet_length("value") + 48).alias("bytes")).collect()
+    }
+    for i, c in enumerate(columns):
+        known = places.filter(F.col("column") == c).select(F.col("value").alias(f"__value{i}"), F.col("place").alias(f"__place{i}"))
+        if sizes.get(c, 0) <= BROADCAST_BYTES:
+            known = F.broadcast(known)
+        df = df.join(known, F.col(c).cast("string") == F.col(f"__value{i}"), "left").drop(f"__value{i}")
+    flags = F.array_sort(F.array_compact(F.array(*[f"__place{i}" for i in range(len(columns))])))
+    return df.withColumn(name, flags).drop(*columns, *[f"__place{i}" for i in range(len(columns))]), places
+
+
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>_z``: (x - mean) / population deviation; a constant column is only centred."""
     stats = df.agg(

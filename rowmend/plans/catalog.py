@@ -210,6 +210,11 @@ def one_hot(spark, sf):
     return wide.unpivot("doc_id", flags, "indicator", "flag").withColumn("flag", F.col("flag").cast("int"))
 
 
+def one_hot_sparse(spark, sf):
+    rows, _ = prep.one_hot_sparse(views.table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"])
+    return rows.select("doc_id", F.array_join("flags", " ").alias("flags"))
+
+
 def standardise(spark, sf):
     columns = ["c_nationkey", "o_totalprice", "c_acctbal"]
     wide = prep.standardise(views.orders_mixed(spark, sf), columns)
@@ -698,7 +703,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         csv_scan, csv_scan_breaks, head_preview, scored_csv_sink, scored_csv_anomalies, saved_scores, target_check_failures,
         attribution_sums, batch_detect_range, suggest_repairs_frozen, greedy_repair_dry, repair_report_sink, save_state, load_state,
         table_overview, missing_report, numeric_describe, category_distribution, target_distribution, target_check,
-        drop_columns, mean_impute, row_filter, label_encode, one_hot, standardise, stratified_split,
+        drop_columns, mean_impute, row_filter, label_encode, one_hot, one_hot_sparse, standardise, stratified_split,
         validation_split, random_split, class_weights, healthy_pool, discrete_columns,
         gower_distance, knn_join, numeric_scales, neighbour_consensus, suggested_value,
         confusion_matrix, accuracy, anomaly_prf, weighted_prf, fbeta, roc_auc, roc_curve,

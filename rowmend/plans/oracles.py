@@ -358,6 +358,14 @@ def all_oracles() -> dict[str, str]:
         "label_encode": f"""with {CUSTOMERS} select *,
             (dense_rank() over (order by coalesce(c_mktsegment, 'nan')) - 1)::int as c_mktsegment_idx from cm""",
         "one_hot": _LEVELS,
+        "one_hot_sparse": """with v as (
+              select distinct 'lang' as col, lang::varchar as value from documents where lang is not null
+              union all select distinct 'source', source::varchar from documents where source is not null),
+            n as (select col, value, row_number() over (partition by col order by value) as nth,
+              row_number() over (order by col, value) - 1 - dense_rank() over (order by col) as place from v)
+            select doc_id, concat_ws(' ', l.place, s.place) as flags from documents
+              left join n l on l.col = 'lang' and l.value = lang and l.nth > 1
+              left join n s on s.col = 'source' and s.value = source and s.nth > 1""",
         "standardise": f"with {ORDERS} select row_id, " + ", ".join(
             f"round(({c} - avg({c}) over ()) / stddev_pop({c}) over (), 6) as {c}_z" for c in NUMERIC
         ) + " from om",

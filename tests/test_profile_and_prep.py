@@ -84,6 +84,19 @@ def test_one_hot_of_many_values(spark):
     assert long.count() == 2001
 
 
+def test_sparse_one_hot_of_many_values(spark, monkeypatch):
+    df = spark.range(100_001).selectExpr("id", "lpad(cast(id as string), 6, '0') as s", "if(id % 3 = 0, null, id % 3) as r")
+    for limit in (prep.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(prep, "BROADCAST_BYTES", limit)
+        rows, places = prep.one_hot_sparse(df, ["s", "r"])
+        # Column r comes first: its value 1 has no flag, 2 has flag 0; of s the first value has none.
+        assert rows.columns == ["id", "flags"] and places.count() == 100_001
+        wrong = rows.filter("flags != if(id % 3 = 2, array(0L), array()) || if(id = 0, array(), array(id))")
+        assert rows.count() == 100_001 and wrong.count() == 0
+    empty, places = prep.one_hot_sparse(df.limit(0), ["s"])
+    assert empty.count() == 0 and places.count() == 0
+
+
 def test_class_weights_of_missing_labels(spark):
     df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "row_id int, y int")
     got = {r["row_id"]: r["class_weight"] for r in prep.class_weights(df, "y").collect()}
