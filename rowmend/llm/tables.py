@@ -74,6 +74,13 @@ def tasks(spark: SparkSession) -> int:
     return parallel.tasks(spark)
 
 
+def hash_below(hashed: Column | str, wanted: int, rows: int) -> Column:
+    """Whether a 64-bit hash is among the smallest: holds for some ``wanted`` of ``rows`` different hashes, for all if there are fewer."""
+    if rows <= wanted:
+        return F.lit(True)
+    return (F.col(hashed) if isinstance(hashed, str) else hashed) < F.lit(-(1 << 63) + (1 << 64) * wanted // rows)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

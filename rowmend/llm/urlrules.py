@@ -48,7 +48,7 @@ def judge(
     and path. Ids may be null or repeat.
 
     Pages are cut into ranges of (key, row hash), so one host may fill many ranges; the
-    bounds come from a bounded sample and change only the cut. A rule goes to every range its
+    bounds come from a sample of bounded size and change only the cut. A rule goes to every range its
     interval touches. In a range both are sorted, and one sweep keeps the stack of rules
     whose intervals hold the current key: intervals nest, so what ended is on top.
     """
@@ -79,8 +79,9 @@ def judge(
 
 
 def _bounds(keyed: DataFrame, n: int) -> list[tuple[str, int]]:
-    """At most ``n - 1`` cuts from at most ``SAMPLE_ROWS`` rows with the smallest salts."""
-    sample = sorted((r["key"], r["salt"]) for r in keyed.select("salt", "key").orderBy("salt").limit(SAMPLE_ROWS).collect())
+    """At most ``n - 1`` cuts from the rows with small salts, some ``SAMPLE_ROWS`` of all tasks together."""
+    picked = keyed.filter(tables.hash_below("salt", SAMPLE_ROWS, keyed.count()))
+    sample = sorted((r["key"], r["salt"]) for r in picked.select("key", "salt").collect())
     return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
 
