@@ -14,6 +14,8 @@ from rowmend.llm.text import ALPHANUMERIC, LOWER, flat, hashes, mix, per_text, p
 
 CHAIN = 2
 SAMPLE_ROWS = 20_000
+# Bytes of text in a range of ids.
+RANGE_BYTES = 32 << 20
 
 # Common words of English, French, German and Spanish that anchor signatures.
 ANCHORS = (
@@ -93,18 +95,27 @@ def length_class(size: int, least: float) -> int:
     return int(np.floor(np.log(max(size, 1)) / -np.log(least) + 1e-9))
 
 
+def _cuts(rows_of: dict, n: int) -> list:
+    """At most ``n - 1`` ids that cut the rows into ``n`` about equal parts."""
+    ids = sorted(rows_of)
+    upto = np.cumsum([rows_of[i] for i in ids])
+    return sorted({ids[np.searchsorted(upto, upto[-1] * i // n, side="right")] for i in range(1, n)}) if ids else []
+
+
 def _ordered_with_next(rows: DataFrame) -> DataFrame:
     """Rows dealt into ranges of descending ids, each range closed by the row that follows it.
 
     ``(range, helper, id, tie, text)``; the helper row is a copy of the next range's first
     row, and of the very first row for the last range. Ids cut the ranges, so one
-    shuffle of the texts is enough; the driver sees a bound and a largest id per range.
+    shuffle of the texts is enough; the driver sees a bound and a largest id per range,
+    and a sample of the ids with their rows, of some ``SAMPLE_ROWS`` from all tasks together.
+    There are as many ranges as the bytes of the texts ask for.
     """
     spark = rows.sparkSession
-    n = tables.tasks(spark)
-    sample = [r["id"] for r in rows.select("id").filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()]
-    sample.sort()
-    cuts = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
+    size = rows.agg(F.count("id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(tables.tasks(spark), -(-(size["bytes"] or 0) // RANGE_BYTES))
+    picked = rows.filter(F.col("id").isNotNull() & tables.hash_below(F.xxhash64("id"), SAMPLE_ROWS, size["ids"]))
+    cuts = _cuts({r["id"]: r["n"] for r in picked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect()}, n)
 
     def place(ids: pa.Array) -> pa.Array:
         # Null ids come last.

@@ -225,3 +225,15 @@ def test_votes_are_joined_and_counted_by_spark(spark):
     assert len(spans) == 1 and [s["template"] for s in spans[0]["spans"]] == [0]
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in text and "diagonal" in text and "Aggregate" in text
+
+
+def test_samples_are_bounded_over_all_tasks(spark):
+    rows = spark.range(0, 50_000, 1, 64).withColumn("h", F.xxhash64("id"))
+    assert abs(rows.filter(tables.hash_below("h", 2_000, 50_000)).count() - 2_000) < 250
+    assert rows.filter(tables.hash_below(F.col("h"), 50_000, 50_000)).count() == 50_000
+
+
+def test_cuts_follow_the_rows_of_an_id():
+    assert spotsigs._cuts({}, 4) == []
+    assert spotsigs._cuts({i: 1 for i in range(100)}, 4) == [25, 50, 75]
+    assert spotsigs._cuts({1: 1, 2: 97, 3: 1, 4: 1}, 4) == [2]
