@@ -140,7 +140,7 @@ def _ordered_with_next(rows: DataFrame) -> DataFrame:
         lambda c: c.isNotNull(),
     )
     out = dealt.select("id", "tie", "text", F.explode(copies).alias("copy")).select("copy.*", "id", "tie", "text")
-    return out.repartition(n, "range").sortWithinPartitions("range", "helper", F.col("id").desc_nulls_last(), "tie")
+    return out.repartitionById(len(cuts) + 2, "range").sortWithinPartitions("range", "helper", F.col("id").desc_nulls_last(), "tie")
 
 
 def edited_likeness(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,7 +72,7 @@ def judge(
         lambda batches: _deal(batches, bounds),
         f"range int, id {id_type}, host string, path string, salt bigint, key string, upto string, verdict string",
     )
-    swept = dealt.repartition(n, "range").sortWithinPartitions("range", "key", F.col("upto").desc_nulls_last(), "salt")
+    swept = dealt.repartitionById(len(bounds) + 1, "range").sortWithinPartitions("range", "key", F.col("upto").desc_nulls_last(), "salt")
     return swept.mapInArrow(
         lambda batches: _sweep(batches, default), f"id {id_type}, host string, path string, rule string, verdict string"
     )
