@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Imputer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowmend import storage
+from rowmend import parallel, storage
 from rowmend.functions import kinds
 from rowmend.operators.ordering import dense_positions
 
@@ -13,6 +15,11 @@ from rowmend.operators.ordering import dense_positions
 MISSING_CLASS = "nan"
 # What the values of a column may take to be sent to every executor.
 BROADCAST_BYTES = 32 << 20
+# A column with no more values and bytes than these has them in the plan itself.
+PLAN_VALUES, PLAN_BYTES = 64, 8 << 10
+# Frequent values of a column that are looked for before its rows are shuffled.
+HOT_VALUES = 256
+SALTS_PER_TASK = 4
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -41,6 +48,79 @@ def class_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(MISSING_CLASS))
 
 
+@dataclass(frozen=True)
+class ValueTable:
+    """``(column, value, <number>)``, and how each column's values reach the rows that ask for them.
+
+    ``few`` holds the numbers of columns with few short values, ``light`` names the columns
+    whose values may be broadcast; the others are joined by a shuffle.
+    """
+
+    rows: DataFrame
+    number: str
+    few: dict[str, dict]
+    light: frozenset[str]
+
+
+def value_table(rows: DataFrame, number: str) -> ValueTable:
+    """Measure a written table of distinct values; at most ``PLAN_BYTES`` per column come to the driver."""
+    sizes = rows.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 48).alias("bytes")
+    ).collect()
+    short = [r["column"] for r in sizes if r["n"] <= PLAN_VALUES and r["bytes"] <= PLAN_BYTES]
+    few: dict[str, dict] = {c: {} for c in short}
+    for r in rows.filter(F.col("column").isin(short)).collect() if short else []:
+        few[r["column"]][r["value"]] = r[number]
+    return ValueTable(rows, number, few, frozenset(r["column"] for r in sizes if r["bytes"] <= BROADCAST_BYTES))
+
+
+def look_up(df: DataFrame, table: ValueTable, texts: dict[str, Column], names: dict[str, str]) -> DataFrame:
+    """Add ``names[c]``: the number of the value that ``texts[c]`` has, null for nulls and unknown values.
+
+    Columns with few values need no join, and those with up to ``BROADCAST_BYTES`` no shuffle. For the
+    rest one pass counts frequent values with a counter of fixed size, known values or not; their
+    rows are dealt under several salts and their numbers repeated under each, so that no
+    task gets all rows of a value. A stream is joined without salts.
+    """
+    kind = table.rows.schema[table.number].dataType
+    in_plan = {}
+    for c, numbers in table.few.items():
+        if c in texts:
+            pairs = [F.lit(x) for pair in numbers.items() for x in pair]
+            in_plan[names[c]] = F.element_at(F.create_map(*pairs), texts[c]).cast(kind)
+    large = [c for c in texts if c not in table.few and c not in table.light]
+    large = [c for c in large if not table.rows.filter(F.col("column") == c).isEmpty()] if large else []
+    hot = _frequent(df, {c: texts[c] for c in large}) if large and not df.isStreaming else {}
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    row = F.xxhash64(F.spark_partition_id(), *[c.cast("string") for c in plain])
+    salts = SALTS_PER_TASK * parallel.tasks(df.sparkSession)
+    out, passing = df, []
+    for i, c in enumerate(c for c in texts if c not in table.few):
+        known = table.rows.filter(F.col("column") == c).select(
+            F.col("value").alias(f"__value{i}"), F.col(table.number).cast(kind).alias(names[c])
+        )
+        same = texts[c] == F.col(f"__value{i}")
+        if c not in large:
+            known = F.broadcast(known)
+        elif hot.get(c):
+            every = F.when(F.xxhash64(f"__value{i}").isin(hot[c]), F.sequence(F.lit(0), F.lit(salts - 1)))
+            known = known.withColumn(f"__salt{i}", F.explode(F.coalesce(every, F.array(F.lit(0)))))
+            own = F.when(F.xxhash64(texts[c]).isin(hot[c]), F.pmod(row, F.lit(salts)).cast("int")).otherwise(0)
+            out = out.withColumn(f"__own{i}", own)
+            same = same & (F.col(f"__own{i}") == F.col(f"__salt{i}"))
+            passing += [f"__own{i}", f"__salt{i}"]
+        out = out.join(known, same, "left")
+        passing.append(f"__value{i}")
+    return out.withColumns(in_plan).drop(*passing) if in_plan else out.drop(*passing)
+
+
+def _frequent(df: DataFrame, texts: dict[str, Column]) -> dict[str, list[int]]:
+    """Hashes of values that may be frequent, at most ``HOT_VALUES`` per column, from one pass."""
+    hashed = df.select(*[F.xxhash64(text).alias(f"h{i}") for i, text in enumerate(texts.values())])
+    found = hashed.agg(*[F.expr(f"approx_top_k(h{i}, {HOT_VALUES})").alias(f"h{i}") for i in range(len(texts))]).first()
+    return {c: [r["item"] for r in found[i] or []] for i, c in enumerate(texts)}
+
+
 def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, value, code)``: dense codes in the order of the values, per column."""
     values = (
@@ -57,19 +137,8 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``<c>_idx`` with the code of each value; the raw column stays."""
-    codes = storage.cut_lineage(label_codes(df, columns))
-    sizes = {
-        r["column"]: r["bytes"]
-        for r in codes.groupBy("column").agg(F.sum(F.octet_length("value") + 48).alias("bytes")).collect()
-    }
-    for c in columns:
-        mapping = codes.filter(F.col("column") == c).select(
-            F.col("value").alias(f"{c}_value"), F.col("code").alias(f"{c}_idx")
-        )
-        if sizes.get(c, 0) <= BROADCAST_BYTES:
-            mapping = F.broadcast(mapping)
-        df = df.join(mapping, class_text(c) == F.col(f"{c}_value"), "left").drop(f"{c}_value")
-    return df
+    codes = value_table(storage.cut_lineage(label_codes(df, columns)), "code")
+    return look_up(df, codes, {c: class_text(c) for c in columns}, {c: f"{c}_idx" for c in columns})
 
 
 def levels(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -122,15 +191,8 @@ def one_hot_sparse(df: DataFrame, columns: list[str], name: str = "flags") -> tu
     measured, and joined by a shuffle beyond.
     """
     places = flag_places(df, columns)
-    sizes = {
-        r["column"]: r["bytes"]
-        for r in places.groupBy("column").agg(F.sum(F.octet_length("value") + 48).alias("bytes")).collect()
-    }
-    for i, c in enumerate(columns):
-        known = places.filter(F.col("column") == c).select(F.col("value").alias(f"__value{i}"), F.col("place").alias(f"__place{i}"))
-        if sizes.get(c, 0) <= BROADCAST_BYTES:
-            known = F.broadcast(known)
-        df = df.join(known, F.col(c).cast("string") == F.col(f"__value{i}"), "left").drop(f"__value{i}")
+    texts = {c: F.col(c).cast("string") for c in columns}
+    df = look_up(df, value_table(places, "place"), texts, {c: f"__place{i}" for i, c in enumerate(columns)})
     flags = F.array_sort(F.array_compact(F.array(*[f"__place{i}" for i in range(len(columns))])))
     return df.withColumn(name, flags).drop(*columns, *[f"__place{i}" for i in range(len(columns))]), places
 

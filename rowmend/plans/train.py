@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -52,16 +53,17 @@ class Preparation:
     inputs: list[str]
     origin: list[str]
 
+    @cached_property
+    def known(self) -> prep.ValueTable:
+        return prep.value_table(self.ranks, "rank")
+
     def rank(self, df: DataFrame) -> DataFrame:
         """Add ``<c>__idx`` for each category column."""
-        for c in self.classes:
-            known = self.ranks.filter(F.col("column") == c).select(
-                F.col("value").alias(f"{c}__value"), F.col("rank").alias(f"{c}__rank")
-            )
-            df = df.join(known, prep.class_text(c) == F.col(f"{c}__value"), "left").withColumn(
-                f"{c}__idx", F.coalesce(f"{c}__rank", F.lit(0.0))
-            ).drop(f"{c}__value", f"{c}__rank")
-        return df
+        if not self.classes:
+            return df
+        names = {c: f"{c}__idx" for c in self.classes}
+        ranked = prep.look_up(df, self.known, {c: prep.class_text(c) for c in self.classes}, names)
+        return ranked.fillna(0.0, list(names.values()))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return PipelineModel(self.stages).transform(self.rank(df))

@@ -162,3 +162,36 @@ def test_value_rules(spark):
     times = spark.createDataFrame([(0,), (1700000000123,)], "ms long")
     back = times.select(values.epoch_ms(values.from_epoch_ms(F.col("ms"))).alias("ms")).collect()
     assert [r["ms"] for r in back] == [0, 1700000000123]
+
+
+@pytest.mark.parametrize("plan_values, broadcast_bytes", [(64, 1 << 20), (0, 1 << 20), (0, 0)])
+def test_look_up_by_every_way(spark, monkeypatch, plan_values, broadcast_bytes):
+    monkeypatch.setattr(prep, "PLAN_VALUES", plan_values)
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", broadcast_bytes)
+    rows = [("a" if i % 3 else f"v{i % 7}", None if i % 2 else "x", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "one string, two string, n int")
+    known = [("one", "a", 5), ("one", "v0", 6), ("two", "x", 7), ("three", "x", 8)]
+    table = prep.value_table(spark.createDataFrame(known, "column string, value string, number int"), "number")
+    found = prep.look_up(df, table, {c: F.col(c) for c in ("one", "two")}, {"one": "p", "two": "q"})
+    assert found.columns == ["one", "two", "n", "p", "q"] or found.columns == ["one", "two", "n", "q", "p"]
+    numbers = {(c, v): n for c, v, n in known}
+    want = [(*row, numbers.get(("one", row[0])), numbers.get(("two", row[1]))) for row in rows]
+    assert sorted(map(tuple, found.select("one", "two", "n", "p", "q").collect()), key=str) == sorted(want, key=str)
+    assert prep.look_up(df.limit(0), table, {"one": F.col("one")}, {"one": "p"}).count() == 0
+
+
+def test_a_frequent_value_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
+    df = spark.range(0, 60_000, 1, 16).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("c"), "id")
+    known = spark.range(0, 60_000, 2).select(F.lit("c").alias("column"), F.col("id").cast("string").alias("value"), F.col("id").alias("number"))
+    table = prep.value_table(known, "number")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = prep.look_up(df, table, {"c": F.col("c")}, {"c": "p"}).cache()
+        assert found.count() == 60_000 and found.filter("p is not null").count() == 20_000
+        sizes = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
