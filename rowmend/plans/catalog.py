@@ -13,7 +13,7 @@ from rowmend.operators import (
     consensus, detect, evaluate, explain, forest, prep, profile, repair, runlog, split, threshold,
 )
 from rowmend.plans import compare, suggest, train
-from rowmend.sources import csv, sinks, state, views
+from rowmend.sources import csv, sinks, snapshot, state, views
 
 FEATURES = views.ORDER_FEATURES
 KEY = "row_id"
@@ -669,6 +669,15 @@ def latest_per_key(spark, sf):
     return _latest(spark, sf).select("id", "seq", "status", "payload")
 
 
+def upsert_latest(spark, sf):
+    """The log in three increments, late snapshots among them, and the stored table."""
+    path = storage.fresh_path(spark, "snapshot")
+    log = views.events_log(spark, sf)
+    for part in range(3):
+        snapshot.upsert(spark, path, log.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part), "id", "updated", "seq", buckets=16)
+    return snapshot.read(spark, path).select("id", "seq", "status", "payload")
+
+
 def keep_recent_n(spark, sf):
     return runlog.keep_recent_n(_latest(spark, sf), "id", "updated", 50).select("id", "seq", "status")
 
@@ -713,7 +722,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         batch_detect, batch_detect_trained, detect_summary, detect_filter, anomaly_ids, lookup_rows,
         suggest_repairs, apply_suggestions, verify_repairs, verify_repairs_trained, verify_repeated_keys,
         greedy_repair, greedy_repair_trained, clip_bounds, cast_like, repair_status, repair_summary,
-        latest_per_key, keep_recent_n, lookup_by_key, recent_n, parse_payload, epoch_ms,
+        latest_per_key, upsert_latest, keep_recent_n, lookup_by_key, recent_n, parse_payload, epoch_ms,
     ]
     queries = {query.__name__: query for query in listed}
     queries["mixed_distance"] = mixed_distance_query

@@ -477,6 +477,8 @@ def all_oracles() -> dict[str, str]:
             round(avg(score - after), 6) as mean_reduction from oo group by 1""",
         "latest_per_key": f"""with {EVENTS} select id, seq, status, payload from ev
             qualify row_number() over (partition by id order by updated desc, seq desc) = 1""",
+        "upsert_latest": f"""with {EVENTS} select id, seq, status, payload from ev
+            qualify row_number() over (partition by id order by updated desc, seq desc) = 1""",
         "keep_recent_n": f"""with {EVENTS}, l as (select * from ev
             qualify row_number() over (partition by id order by updated desc, seq desc) = 1)
             select id, seq, status from l order by updated desc, id desc limit 50""",

@@ -6,7 +6,6 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +13,7 @@ from rowmend import errors
 from rowmend.functions.values import clamp_threshold
 from rowmend.operators.boosting import SoftmaxTrees
 from rowmend.plans.train import Detector, Preparation, TrainingResult
+from rowmend.sources import manifests
 
 PARTS = ("model", "stages", "ranks", "test_rows", "normal_rows", "config")
 
@@ -25,25 +25,6 @@ class SavedState:
     normal_rows: DataFrame
 
 
-def _missing(spark: SparkSession, path: str) -> bool:
-    """Whether nothing lies at ``path``; only names are listed."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return True
-    return False
-
-
-def _published(spark: SparkSession, root: str) -> list[dict]:
-    """What has been published, a manifest per save, the last one first."""
-    if _missing(spark, f"{root}/manifests"):
-        return []
-    found = [json.loads(r["value"]) for r in spark.read.text(f"{root}/manifests").collect()]
-    return sorted(found, key=lambda m: (m["number"], m["folder"]), reverse=True)
-
-
 def save_state(result: TrainingResult, path: str) -> str:
     """Write every part into a folder of its own and publish it by one manifest at the end.
 
@@ -53,7 +34,7 @@ def save_state(result: TrainingResult, path: str) -> str:
     root = path.rstrip("/")
     detector = result.detector
     spark = result.test_rows.sparkSession
-    number = 1 + max((m["number"] for m in _published(spark, root)), default=0)
+    number = 1 + max((m["number"] for m in manifests.published(spark, root)), default=0)
     folder = f"save-{number}-{uuid.uuid4().hex}"
     place = f"{root}/{folder}"
     if detector.binary:
@@ -69,23 +50,19 @@ def save_state(result: TrainingResult, path: str) -> str:
         "classes": detector.preparation.classes,
         "threshold": detector.threshold, "binary": detector.binary,
     }
-    _text(spark, config).write.text(f"{place}/config")
-    _text(spark, {"number": number, "folder": folder, "parts": PARTS}).write.mode("append").text(f"{root}/manifests")
+    manifests.write_text(spark, config, f"{place}/config")
+    manifests.publish(spark, root, {"number": number, "folder": folder, "parts": PARTS})
     return root
 
 
-def _text(spark: SparkSession, content: dict) -> DataFrame:
-    return spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1)
-
-
 def load_state(spark: SparkSession, path: str) -> SavedState:
     """Load all parts of the last published save; a missing one is named in the error."""
     root = path.rstrip("/")
-    published = _published(spark, root)
+    published = manifests.published(spark, root)
     if not published:
         raise errors.DataError(errors.FILE_NOT_FOUND, "no complete saved state", path=root, missing=list(PARTS))
     place = f"{root}/{published[0]['folder']}"
-    missing = [part for part in published[0]["parts"] if _missing(spark, f"{place}/{part}")]
+    missing = [part for part in published[0]["parts"] if manifests.missing(spark, f"{place}/{part}")]
     if missing:
         raise errors.DataError(errors.FILE_NOT_FOUND, "saved state is incomplete", path=root, missing=missing)
     try:

@@ -4,6 +4,7 @@ import pytest
 
 from rowmend import errors
 from rowmend.operators import runlog
+from rowmend.sources import manifests, snapshot
 from rowmend.sources.csv import csv_scan, normalise_columns
 
 
@@ -65,3 +66,52 @@ def test_quoted_text_and_long_records(spark, tmp_path):
     path.write_text('a,t\n1,x\n2,"y,z",\n3,p,q\n')
     with pytest.raises(errors.DataError):
         csv_scan(spark, str(path))
+
+
+LOG = "id string, seq int, updated long, status string"
+
+
+def test_increments_equal_the_full_recomputation(spark, tmp_path):
+    rows = [(None if i % 11 == 0 else f"k{i * i % 40}", i, (i * 37) % 50, f"s{i}") for i in range(300)]
+    path = str(tmp_path / "snapshot")
+    for start in (200, 0, 100):
+        part = spark.createDataFrame(rows[start : start + 100] + rows[start : start + 3], LOG)
+        assert snapshot.upsert(spark, path, part, "id", "updated", "seq", buckets=7) > 0
+    want = runlog.latest_per_key(spark.createDataFrame(rows, LOG), "id", "updated", "seq")
+    assert sorted(map(tuple, snapshot.read(spark, path).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert snapshot.give_back_superseded(spark, path) > 0
+    assert snapshot.read(spark, path).count() == want.count()
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    nothing = spark.createDataFrame([], LOG)
+    assert snapshot.upsert(spark, path, nothing, "id", "updated", "seq", buckets=50) == 0
+    assert snapshot.read(spark, path).count() == 0
+    snapshot.upsert(spark, path, spark.range(500).selectExpr("string(id) id", "1 seq", "id updated", "'new' status"), "id", "updated", "seq")
+    before = manifests.published(spark, path)[0]["places"]
+    one = spark.createDataFrame([("7", 2, 99, "done")], LOG)
+    assert snapshot.upsert(spark, path, one, "id", "updated", "seq") == 1
+    after = manifests.published(spark, path)[0]["places"]
+    assert len(before) == 50 and sum(before[b] != after[b] for b in before) == 1
+    assert snapshot.upsert(spark, path, nothing, "id", "updated", "seq") == 0
+    table = snapshot.read(spark, path)
+    assert table.count() == 500 and table.filter("status = 'done'").first()["id"] == "7"
+
+
+def test_an_increment_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snapshot")
+    with pytest.raises(errors.DataError):
+        snapshot.read(spark, path)
+    snapshot.upsert(spark, path, spark.createDataFrame([("a", 1, 1, "x")], LOG), "id", "updated", "seq", buckets=4)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(manifests, "publish", broken)
+        with pytest.raises(RuntimeError):
+            snapshot.upsert(spark, path, spark.createDataFrame([("a", 2, 2, "y")], LOG), "id", "updated", "seq")
+    assert [tuple(r) for r in snapshot.read(spark, path).collect()] == [("a", 1, 1, "x")]
+    with pytest.raises(errors.DataError):
+        snapshot.upsert(spark, path, spark.createDataFrame([("a", 1)], "id string, seq int"), "id", "seq", "seq")
