@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from rowmend.functions.kinds import Feature
@@ -192,3 +193,46 @@ def test_a_third_of_pool_and_queries_in_one_cell(spark, shuffled_joins, monkeypa
         df.loc[: third - 1, "x"] = (df.loc[: third - 1, "x"] / 50).round(4)
     index = neighbours.build_index(frame(spark, pool), FEATURES, "key", 5, rows_per_cell=40)
     agree(found(spark, index, frame(spark, queries), broadcast_bytes=0), brute(queries, pool, FEATURES, 5))
+
+
+def grid(spark, stretch=False):
+    """An index of many cells with gaps in it, and queries as tasks see them."""
+    pool = frame(spark, make(1500, 31, gaps=0.1))
+    ranges = {"x": (-1.0, 2.0), "y": (0.0, 0.0)} if stretch else None
+    index = neighbours.build_index(pool, FEATURES, "key", 3, stretch_ranges=ranges, rows_per_cell=8)
+    queries = frame(spark, make(60, 32, gaps=0.1))
+    for split in index.splits:
+        if split.name in ("color", "city", "grade"):
+            queries = queries.withColumn(f"bucket_{split.name}", neighbours._bucket(split, queries.schema[split.name].dataType))
+    task = neighbours._Task(index.features, tuple(s.name for s in index.splits), stretch, ranges or {}, 3)
+    return index, task, queries
+
+
+@pytest.mark.parametrize("stretch", [False, True])
+def test_bound_of_a_group_is_below_that_of_its_queries(spark, stretch):
+    index, task, queries = grid(spark, stretch)
+    rows = queries.toArrow().combine_chunks().to_batches()[0].to_struct_array()
+    each = neighbours._bounds(task, index.cells, rows, False)
+    assert len(index.cells["cell"]) > 50
+    for start in range(0, 60, 7):
+        group = neighbours._group_bounds(task, index.cells, rows.slice(start, 7))
+        assert (group <= each[start : start + 7].min(axis=0) + 1e-12).all()
+        alone = neighbours._group_bounds(task, index.cells, rows.slice(start, 1))
+        assert alone == pytest.approx(each[start])
+
+
+def test_a_block_meets_the_queries_of_a_task_at_once(spark, monkeypatch):
+    index, task, queries = grid(spark)
+    monkeypatch.setattr(neighbours, "_TILE", 256)
+    rows = queries.toArrow().combine_chunks().to_batches()[0].to_struct_array()
+    pool = index.blocks.limit(4).select("pool_rows").toArrow().combine_chunks().column(0).combine_chunks()
+    offsets = pa.array([0, 15, 30, 45, 60], pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, rows), pool], names=["query_rows", "pool_rows"])
+    shared = type("Shared", (), {"value": index.cells})
+    packed = [r for b in neighbours._make_visits(task, shared)(iter([batch])) for r in b.to_pylist()]
+    met = [(r["cell"], r["chunk"]) for r in packed]
+    assert len(met) == len(set(met)) > 1 and sum(len(r["query_rows"]) for r in packed) > len(met)
+    monkeypatch.setattr(neighbours, "PACK_ROWS", 5)
+    again = [r for b in neighbours._make_visits(task, shared)(iter([batch])) for r in b.to_pylist()]
+    assert max(len(r["query_rows"]) for r in again) == 5
+    assert sum(len(r["query_rows"]) for r in again) == sum(len(r["query_rows"]) for r in packed)
