@@ -155,3 +155,17 @@ def test_unfinished_save_is_never_read(spark, levels, tmp_path, monkeypatch):
         state.save_state(result, root)
     assert state.load_state(spark, root).normal_rows.count() == result.normal_rows.count()
     assert [m["folder"] for m in state._published(spark, root)] == [first]
+
+
+def test_jobs_add_few_earlier_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(90, 3)), rng.integers(0, 3, 90)
+    df = table(spark, x, y)
+    most, sums = [], boosting._level_sums
+    monkeypatch.setattr(boosting, "_level_sums", lambda *a: most.append(len(a[2])) or sums(*a))
+    model = boosting.fit_softmax_trees(df, "label", "weight", 7, 1)
+    assert max(most) < 5
+    monkeypatch.setattr(boosting, "_ROUNDS_A_TABLE", 100)
+    again = boosting.fit_softmax_trees(df, "label", "weight", 7, 1)
+    values = lambda m: [t.value.tolist() for r in m.rounds for t in r]
+    assert values(again) == values(model)
