@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def missing(spark: SparkSession, path: str) -> bool:
@@ -27,9 +27,14 @@ def published(spark: SparkSession, root: str) -> list[dict]:
     return sorted(found, key=lambda m: (m["number"], m["folder"]), reverse=True)
 
 
+def text(spark: SparkSession, content: dict) -> DataFrame:
+    """One row, in one partition, with the content as one line of JSON."""
+    return spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1)
+
+
 def write_text(spark: SparkSession, content: dict, path: str, mode: str = "errorifexists") -> None:
     """One file with the content as one line of JSON."""
-    spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1).write.mode(mode).text(path)
+    text(spark, content).write.mode(mode).text(path)
 
 
 def publish(spark: SparkSession, root: str, content: dict) -> None:

@@ -17,6 +17,8 @@ from rowmend.sources import manifests
 
 PARTS = ("model", "stages", "ranks", "test_rows", "normal_rows", "config")
 
+_published, _text = manifests.published, manifests.text
+
 
 @dataclass(frozen=True)
 class SavedState:
@@ -34,7 +36,7 @@ def save_state(result: TrainingResult, path: str) -> str:
     root = path.rstrip("/")
     detector = result.detector
     spark = result.test_rows.sparkSession
-    number = 1 + max((m["number"] for m in manifests.published(spark, root)), default=0)
+    number = 1 + max((m["number"] for m in _published(spark, root)), default=0)
     folder = f"save-{number}-{uuid.uuid4().hex}"
     place = f"{root}/{folder}"
     if detector.binary:
@@ -50,15 +52,15 @@ def save_state(result: TrainingResult, path: str) -> str:
         "classes": detector.preparation.classes,
         "threshold": detector.threshold, "binary": detector.binary,
     }
-    manifests.write_text(spark, config, f"{place}/config")
-    manifests.publish(spark, root, {"number": number, "folder": folder, "parts": PARTS})
+    _text(spark, config).write.text(f"{place}/config")
+    _text(spark, {"number": number, "folder": folder, "parts": PARTS}).write.mode("append").text(f"{root}/manifests")
     return root
 
 
 def load_state(spark: SparkSession, path: str) -> SavedState:
     """Load all parts of the last published save; a missing one is named in the error."""
     root = path.rstrip("/")
-    published = manifests.published(spark, root)
+    published = _published(spark, root)
     if not published:
         raise errors.DataError(errors.FILE_NOT_FOUND, "no complete saved state", path=root, missing=list(PARTS))
     place = f"{root}/{published[0]['folder']}"
