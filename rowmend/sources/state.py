@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rowmend import errors
 from rowmend.functions.values import clamp_threshold
 from rowmend.operators.boosting import SoftmaxTrees
+from rowmend.operators.logistic import LogisticTrees
 from rowmend.plans.train import Detector, Preparation, TrainingResult
 from rowmend.sources import manifests
 
@@ -39,10 +40,7 @@ def save_state(result: TrainingResult, path: str) -> str:
     number = 1 + max((m["number"] for m in _published(spark, root)), default=0)
     folder = f"save-{number}-{uuid.uuid4().hex}"
     place = f"{root}/{folder}"
-    if detector.binary:
-        PipelineModel([detector.classifier]).write().save(f"{place}/model")
-    else:
-        detector.classifier.save(spark, f"{place}/model")
+    detector.classifier.save(spark, f"{place}/model")
     PipelineModel(detector.preparation.stages).write().save(f"{place}/stages")
     detector.preparation.ranks.write.parquet(f"{place}/ranks")
     result.test_rows.write.parquet(f"{place}/test_rows")
@@ -74,7 +72,7 @@ def load_state(spark: SparkSession, path: str) -> SavedState:
             PipelineModel.load(f"{place}/stages").stages, config["inputs"], config["origin"],
         )
         binary = bool(config["binary"])
-        model = PipelineModel.load(f"{place}/model").stages[0] if binary else SoftmaxTrees.load(spark, f"{place}/model")
+        model = (LogisticTrees if binary else SoftmaxTrees).load(spark, f"{place}/model")
         detector = Detector(preparation, model, config["features"], clamp_threshold(config["threshold"]), binary)
         return SavedState(
             detector, spark.read.parquet(f"{place}/test_rows"), spark.read.parquet(f"{place}/normal_rows")
