@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from frames import mendable_frame, wear_frame
 from rowmend import errors
-from rowmend.operators import explain, forest, repair
+from rowmend.operators import explain, forest, repair, split
 from rowmend.operators.consensus import describe_features
-from rowmend.plans import suggest, train
+from rowmend.plans import compare, suggest, train
 from rowmend.sources import state
 
 RISK = ["site", "hours", "overheated", "retrofitted", "vibration", "load", "oil_grade"]
@@ -327,3 +327,16 @@ def test_repairs_by_suggestion_of_repeated_keys(spark, risk):
         for rows in (both, apart)
     ]
     assert len(found[0]) == both.count() and found[0] == found[1]
+
+
+def test_scores_of_baselines_are_made_once(spark, risk):
+    """Measures read stored scores: none joins, prepares or scores the test rows again."""
+    df, _ = risk
+    scored, seconds = compare.baseline_scores(df, "faulty", RISK, "row_id", tuned={"maxIter": 2})
+    assert set(scored) == set(seconds) == {"boosted_trees", "random_forest", "logistic_regression", "isolation_forest"}
+    held = split.random_split(df, "row_id", 0.2, 42).filter("not is_train")
+    ids = sorted(r["row_id"] for r in held.select("row_id").collect())
+    for rows in scored.values():
+        assert sorted(r["row_id"] for r in rows.collect()) == ids
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" in plan and "vector" not in plan and "UDF" not in plan
